@@ -5,38 +5,53 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.sqltext import quote_column
 from ..functions.typing import INTEGER, NUMERIC, STRING, field_type, is_id_name, kind_of
-from ..session import shared_dir
 from ..sources.tables import Tables
 
-# Kinds whose values compare exactly, and mean the same, after a cast to string.
-_KEY_KINDS = frozenset({INTEGER, NUMERIC, STRING})
+_BITS = 63  # columns per bigint
 
 
-def _column_values(df: DataFrame, names: list[str], first_id: int) -> DataFrame:
-    """(column_id, value) of several columns of one table, from one scan."""
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(first_id + i).alias("column_id"),
-                F.col(quote_column(name, df.schema)).cast("string").alias("value"),
-            )
-            for i, name in enumerate(names)
+def _key_kind(table: str, name: str, data_type: T.DataType) -> str:
+    """INTEGER or STRING: types whose values mean the same after a cast to string."""
+    kind = kind_of(data_type)
+    if kind == NUMERIC and data_type.scale == 0:
+        kind = INTEGER
+    if kind not in (INTEGER, STRING):
+        raise ValueError(f"{table}.{name} of type {data_type.simpleString()} cannot be a key")
+    return kind
+
+
+def _cells(
+    df: DataFrame, names: list[str], first_id: int, words: int, value_type: str
+) -> DataFrame:
+    """(value, w0, w1, ...) of several columns of one table, from one scan.
+
+    The words are a bit set with the column's own bit on.
+    """
+
+    def cell(name: str, column_id: int):
+        bits = [1 << column_id % _BITS if w == column_id // _BITS else 0 for w in range(words)]
+        value = F.col(quote_column(name, df.schema)).cast(value_type)
+        return F.struct(
+            value.alias("value"), *(F.lit(b).cast("long").alias(f"w{w}") for w, b in enumerate(bits))
         )
-    )
+
+    cells = F.array(*(cell(name, first_id + i) for i, name in enumerate(names)))
     return df.select(F.inline(cells)).where("value IS NOT NULL")
 
 
-def _bounds(values: DataFrame) -> DataFrame:
-    return values.groupBy("column_id").agg(
-        F.count(F.lit(1)).alias("distinct_values"),
-        F.max("n").alias("most_repeated"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
+def _filled(df: DataFrame, columns: dict[int, str]) -> DataFrame:
+    """(column_id, n_values): how many rows of each column are not NULL."""
+    counts = df.agg(
+        *(F.count(quote_column(c, df.schema)).alias(f"n{i}") for i, c in columns.items())
     )
+    pairs = (
+        F.struct(F.lit(i).alias("column_id"), F.col(f"n{i}").alias("n_values")) for i in columns
+    )
+    return counts.select(F.inline(F.array(*pairs)))
 
 
 def implied_foreign_keys(
@@ -48,74 +63,80 @@ def implied_foreign_keys(
     """(child_table, child_column, parent_table, parent_column, distinct_values, matched,
     coverage, parent_is_unique) for pairs that share at least one value.
 
-    Every column is reduced to its distinct values once, in a shuffle shared by all
-    pairs, and written out. Pairs whose value ranges are disjoint are dropped, which is
-    exact; the remaining pairs are counted together in one equi-join on (parent column,
-    value), where each side holds a value once. The work grows with distinct values,
-    and a value repeated in a third of the rows is one row here.
+    All columns are compared at once, in one shuffle. A cell is its value and a bit set
+    of one column; equal values are merged by OR, so a value ends as one row saying
+    which columns hold it, however often it is repeated. The bit sets that occur are few;
+    only they, with the number of values behind each, are matched with pairs. No column
+    is joined with another.
     """
     children, parents = list(children), list(parents)
     wanted = list(dict.fromkeys(children + parents))
-    ids, kinds, parts = {}, {}, []
-    for table in dict.fromkeys(t for t, _ in wanted):
-        df, names = tables(table), [c for t, c in wanted if t == table]
-        for name in names:
-            kind = kind_of(field_type(df.schema, name))
-            if kind not in _KEY_KINDS:
-                raise ValueError(f"{table}.{name} of kind {kind} cannot be a key")
-            kinds[table, name] = STRING if kind == STRING else INTEGER
-            ids[table, name] = len(ids)
-        parts.append(_column_values(df, names, ids[table, names[0]]))
-    spark = parts[0].sparkSession
-    path = shared_dir(spark, "column-values")
-    (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("column_id", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .write.parquet(path)
-    )
-    values = spark.read.schema("column_id int, value string, n bigint").parquet(path)
-    # One row per column: as large as the list of columns, not as their data.
-    bounds = {r.column_id: r for r in _bounds(values).collect()}
-
-    pairs = []
-    for child in children:
-        for parent in parents:
-            c, p = bounds.get(ids[child]), bounds.get(ids[parent])
-            if child == parent or c is None or p is None:
-                continue
-            by_id = is_id_name(child[1]) or is_id_name(parent[1])
-            if kinds[child] != kinds[parent] and not by_id:
-                continue
-            if c.low > p.high or c.high < p.low:
-                continue
-            pairs.append((*child, *parent, ids[child], ids[parent], c.distinct_values,
-                          p.most_repeated == 1))
-    pairs_frame = spark.createDataFrame(
+    words = len(wanted) // _BITS + 1
+    ids = {column: i for i, column in enumerate(sorted(wanted, key=lambda tc: tc[0]))}
+    frames = {table: tables(table) for table, _ in ids}
+    kinds = {(t, c): _key_kind(t, c, field_type(frames[t].schema, c)) for t, c in ids}
+    # Integers stay integers unless text has to be compared with them.
+    types = {kind_of(field_type(frames[t].schema, c)) for t, c in ids}
+    value_type = "bigint" if types == {INTEGER} else "string"
+    cells, filled = [], []
+    for table, df in frames.items():
+        names = [c for t, c in ids if t == table]
+        cells.append(_cells(df, names, ids[table, names[0]], words, value_type))
+        keys = {ids[table, c]: c for c in names if (table, c) in parents}
+        if keys:
+            filled.append(_filled(df, keys))
+
+    def compare(child, parent) -> bool:
+        by_id = is_id_name(child[1]) or is_id_name(parent[1])
+        return kinds[child] == kinds[parent] or by_id
+
+    # A column paired with itself gives its number of distinct values.
+    pairs = [(*c, *c, i, i) for c, i in ids.items()]
+    pairs += [(*c, *p, ids[c], ids[p]) for c in children for p in parents if c != p and compare(c, p)]
+    pair = cells[0].sparkSession.createDataFrame(
         pairs,
         "child_table string, child_column string, parent_table string, parent_column string,"
-        " child_id int, parent_id int, distinct_values bigint, parent_is_unique boolean",
+        " child_id int, parent_id int",
     )
-    looked_up = values.select("column_id", "value").join(
-        F.broadcast(pairs_frame.select("child_id", "parent_id")),  # at most columns squared
-        F.col("column_id") == F.col("child_id"),
+    names = [f"w{w}" for w in range(words)]
+    holders = (
+        reduce(DataFrame.unionByName, cells)
+        .groupBy("value")
+        .agg(*(F.bit_or(w).alias(w) for w in names))
+        .groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    matched = (
-        looked_up.select("child_id", "parent_id", "value")
+
+    def columns_in(word: int) -> Column:
+        bits = F.sequence(F.lit(0), F.lit(_BITS - 1))
+        on = F.filter(bits, lambda bit: F.getbit(names[word], bit) == 1)
+        return F.transform(on, lambda bit: bit + word * _BITS)
+
+    held = F.concat(*(columns_in(word) for word in range(words)))
+    counts = (
+        holders.select("n", held.alias("held"))
+        .select("n", "held", F.explode("held").alias("child_id"))
+        .join(F.broadcast(pair), "child_id")  # at most as many rows as columns squared
+        .where(F.array_contains("held", F.col("parent_id")))
+        .groupBy(*pair.columns)
+        .agg(F.sum("n").alias("matched"))
         .join(
-            values.select(F.col("column_id").alias("parent_id"), "value"),
-            ["parent_id", "value"],
-            "left_semi",
+            F.broadcast(reduce(DataFrame.unionByName, filled)),  # one row per parent column
+            F.col("parent_id") == F.col("column_id"),
+            "left",
         )
-        .groupBy("child_id", "parent_id")
-        .agg(F.count(F.lit(1)).alias("matched"))
     )
-    coverage = F.col("matched") / F.col("distinct_values")
+    itself = F.col("child_id") == F.col("parent_id")
+    of_child, of_parent = W.partitionBy("child_id"), W.partitionBy("parent_id")
+    own = F.when(itself, F.col("matched"))
     return (
-        matched.join(F.broadcast(pairs_frame), ["child_id", "parent_id"])
+        counts.withColumn("distinct_values", F.max(own).over(of_child))
+        .withColumn("parent_is_unique", F.max(own).over(of_parent) == F.col("n_values"))
+        .where(~itself)
         .select(
             "child_table", "child_column", "parent_table", "parent_column", "distinct_values",
-            "matched", coverage.alias("coverage"), "parent_is_unique",
+            "matched", (F.col("matched") / F.col("distinct_values")).alias("coverage"),
+            "parent_is_unique",
         )
         .where(F.col("coverage") >= min_coverage)
     )

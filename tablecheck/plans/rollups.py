@@ -87,8 +87,9 @@ def run_status(summary: DataFrame, mode: str, legacy_rules: bool = False) -> Dat
 def summary_from_details(runs: DataFrame) -> DataFrame:
     """execution_id and the counts of a stored run's results, from its details JSON.
 
-    A details object without its own summary is counted from the results it lists. The
-    counting is done inside the row, so no results are exploded or shuffled.
+    A details object without its own summary is counted from the results it lists; one
+    with neither has NULL counts. The counting is done inside the row, so no results are
+    exploded or shuffled, and the JSON is parsed once.
     """
     result = "array<struct<status:string>>"
     counts = "struct<total_tests:bigint,passed:bigint,failed:bigint,errors:bigint>"
@@ -101,14 +102,17 @@ def summary_from_details(runs: DataFrame) -> DataFrame:
 
     def having(status: str) -> Column:
         found = F.filter(listed(F.col("parsed")), lambda r: r["status"] == status)
-        return F.size(found).cast("long")
+        return F.when(found.isNotNull(), F.size(found).cast("long"))
+
+    def total() -> Column:
+        found = listed(F.col("parsed"))
+        return F.when(found.isNotNull(), F.size(found).cast("long"))
 
     rows = runs.select("execution_id", parsed.alias("parsed"))
     stored = F.col("parsed.summary")
-    return rows.where(listed(F.col("parsed")).isNotNull() | stored.isNotNull()).select(
+    return rows.select(
         "execution_id",
-        F.coalesce(stored["total_tests"], F.size(listed(F.col("parsed"))).cast("long"))
-        .alias("total_tests"),
+        F.coalesce(stored["total_tests"], total()).alias("total_tests"),
         F.coalesce(stored["passed"], having("PASS")).alias("passed"),
         F.coalesce(stored["failed"], having("FAIL")).alias("failed"),
         F.coalesce(stored["errors"], having("ERROR")).alias("errors"),

@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions import predicates as P
 from ..functions.sqltext import quote_column, quote_table, string_literal
-from ..functions.typing import NUMBER_KINDS, kind_of
+from ..functions.typing import NUMBER_KINDS, field_type, kind_of
 from ..operators import customsql
 from ..operators.duplicates import no_duplicates_pk
 from ..operators.outliers import SIGMAS, chosen_columns, outlier_detection
 from ..operators.referential import comparable, referential_integrity
 from ..operators.rowchecks import fused_counts
 from ..operators.rowcount import row_count
-from ..functions.typing import field_type
 from ..sources import files
 from ..sources.tables import Tables
 from . import registry, specs
@@ -432,19 +431,40 @@ def violations(spark: SparkSession, mapping: Mapping, tables: Tables, test_id: s
 
 def run_custom_checks(spark: SparkSession, checks: DataFrame) -> DataFrame:
     """Run check queries (test_id, test_name, test_category, severity, description,
-    sql_query) with the pass rule; a blank query is skipped."""
-    rows = []
-    for c in checks.toLocalIterator():
-        if customsql.is_blank(c.sql_query):
-            continue
-        violating, error = 0, None
+    sql_query) with the pass rule; a blank query is skipped.
+
+    Queries that Spark can analyse are counted in one action, so their stages overlap;
+    if that fails, each is run on its own.
+    """
+    rows = [c for c in checks.toLocalIterator() if not customsql.is_blank(c.sql_query)]
+    frames, errors = {}, {}
+    for i, c in enumerate(rows):
         try:
-            violating = customsql.violation_count(spark, c.sql_query).first().rows_violating
+            frames[i] = customsql.violation_count(spark, c.sql_query)
         except Exception as e:
-            error = str(e)
-        status = "ERROR" if error else "PASS" if violating == 0 else "FAIL"
-        rows.append(
-            (None, len(rows), c.test_id, c.test_name, c.test_category, c.severity, status,
-             violating, violating, error, c.description, c.sql_query)
-        )
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+            errors[i] = str(e)
+
+    def counted(which: Iterable[int]) -> dict[int, int]:
+        parts = [frames[i].select(F.lit(i).alias("i"), "rows_violating") for i in which]
+        if not parts:
+            return {}
+        return {r.i: r.rows_violating for r in reduce(DataFrame.unionByName, parts).collect()}
+
+    try:
+        found = counted(frames)
+    except Exception:
+        found = {}
+        for i in frames:
+            try:
+                found.update(counted([i]))
+            except Exception as e:
+                errors[i] = str(e)
+    return spark.createDataFrame(
+        [
+            (None, i, c.test_id, c.test_name, c.test_category, c.severity,
+             "ERROR" if i in errors else "PASS" if found[i] == 0 else "FAIL",
+             found.get(i, 0), found.get(i, 0), errors.get(i), c.description, c.sql_query)
+            for i, c in enumerate(rows)
+        ],
+        RESULT_SCHEMA,
+    )

@@ -23,6 +23,12 @@ def duck():
     return con
 
 
+SQL_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
+    "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean",
+}
+
+
 def canonical(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
 
@@ -42,6 +48,7 @@ def test_query_agrees_with_sql(spark, duck, name):
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
     cursor = duck.execute(registered.oracle_sql()[name])
     expected = canonical([d[0] for d in cursor.description], cursor.fetchall())
+    assert dict(df.dtypes) == {d[0]: SQL_TYPES[str(d[1])] for d in cursor.description}
     assert got[0] == expected[0]
     assert len(got[1]) == len(expected[1])
     assert got[1] == expected[1]

@@ -134,7 +134,7 @@ def mapping_deactivation(spark, sf_dir):
 @query("""
     SELECT CAST(p_partkey AS VARCHAR) AS mapping_id, p_name AS test_name, status,
            estimated_failures
-    FROM (SELECT *, p_size AS estimated_failures,
+    FROM (SELECT *, CAST(p_size AS BIGINT) AS estimated_failures,
                  CASE WHEN p_size > 40 THEN 'approved' WHEN p_brand = 'Brand#2' THEN 'rejected'
                       ELSE 'pending' END AS status FROM part)
     WHERE status <> 'rejected'
@@ -238,7 +238,7 @@ _COLUMN_COUNTS = {
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {n} AS num_columns, count(*) AS num_rows FROM {t}"
+    f"SELECT '{t}' AS table_name, CAST({n} AS BIGINT) AS num_columns, count(*) AS num_rows FROM {t}"
     for t, n in _COLUMN_COUNTS.items()
 ))
 def table_metadata(spark, sf_dir):

@@ -160,9 +160,9 @@ def suite_mappings(spark, sf_dir):
 
 @query(f"""
     WITH {_COUNTED}
-    SELECT 4 AS total_mappings, count(*) AS total_tests,
+    SELECT CAST(4 AS BIGINT) AS total_mappings, count(*) AS total_tests,
            count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed,
-           count(*) FILTER (status = 'ERROR') AS errors, 0 AS total_suggestions,
+           count(*) FILTER (status = 'ERROR') AS errors, CAST(0 AS BIGINT) AS total_suggestions,
            'ERROR' AS run_status
     FROM results
 """)
@@ -317,7 +317,7 @@ def mapping_check_history(spark, sf_dir):
 
 
 @query("""
-    SELECT CAST(o_orderkey AS VARCHAR) AS execution_id, 3 AS total_tests,
+    SELECT CAST(o_orderkey AS VARCHAR) AS execution_id, CAST(3 AS BIGINT) AS total_tests,
            CAST((o_orderstatus = 'F')::INT + (o_totalprice > 100000)::INT
                 + (o_custkey > 700)::INT AS BIGINT) AS passed,
            CAST((o_orderstatus <> 'F')::INT + (o_totalprice <= 100000)::INT AS BIGINT) AS failed,
