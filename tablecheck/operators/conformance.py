@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sqltext import quote_column
 from ..functions.typing import NESTED_KINDS, declared_type, field_type, kind_of
+from ..session import local_frame
 
 MODEL_SCHEMA = (
     "table_name string, column_name string, data_type string, nullable boolean,"
@@ -31,8 +32,10 @@ def _kinds(model: DataFrame) -> DataFrame:
     """The model with the kind of each declared type; type names are few."""
     spark = model.sparkSession
     names = [r.data_type for r in model.select("data_type").distinct().collect()]
-    lookup = spark.createDataFrame(
-        [(n, kind_of(declared_type(n))) for n in names if n], "data_type string, kind string"
+    lookup = local_frame(
+        spark,
+        [(n, kind_of(declared_type(n))) for n in names if n],
+        "data_type string, kind string",
     )
     return model.join(F.broadcast(lookup), "data_type", "left")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions.sqltext import quote_column
 from ..functions.typing import INTEGER, NUMERIC, STRING, field_type, is_id_name, kind_of
+from ..session import local_frame
 from ..sources.tables import Tables
 
 _BITS = 63  # columns per bigint
@@ -93,7 +94,8 @@ def implied_foreign_keys(
     # A column paired with itself gives its number of distinct values.
     pairs = [(*c, *c, i, i) for c, i in ids.items()]
     pairs += [(*c, *p, ids[c], ids[p]) for c in children for p in parents if c != p and compare(c, p)]
-    pair = cells[0].sparkSession.createDataFrame(
+    pair = local_frame(
+        cells[0].sparkSession,
         pairs,
         "child_table string, child_column string, parent_table string, parent_column string,"
         " child_id int, parent_id int",

@@ -6,6 +6,8 @@ from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import local_frame
+
 SCHEMA = (
     "test_id string, test_name string, test_category string, severity string,"
     " description string, is_global boolean, ordinal int"
@@ -72,7 +74,7 @@ SINGLE_FILE_CHECKS = ("row_count_match", "no_nulls_required", "no_duplicates_pk"
 
 def frame(spark: SparkSession) -> DataFrame:
     """The registry in its own order, for joins and for seeding the definition table."""
-    return spark.createDataFrame([(*astuple(c), i) for i, c in enumerate(CHECKS)], SCHEMA)
+    return local_frame(spark, [(*astuple(c), i) for i, c in enumerate(CHECKS)], SCHEMA)
 
 
 def listing(spark: SparkSession) -> DataFrame:

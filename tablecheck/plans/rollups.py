@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 STATUSES = ("PASS", "FAIL", "ERROR")
 
+# How the kinds of run are named in the history.
+MODES = {
+    "config": "gcs_config_table",
+    "single": "gcs_single_file",
+    "schema": "schema_validation",
+}
+
 
 def _status_counts() -> list[Column]:
     return [
@@ -132,3 +139,39 @@ def history_rows(run_results: DataFrame, mappings: DataFrame, execution_id: str)
         "mapping_id", "test_id", "test_name", "status", "rows_affected", "error_message",
         "execution_time_ms", "source_row_count", "target_row_count",
     )
+
+
+def run_record(
+    run_results: DataFrame,
+    mappings: DataFrame,
+    mode: str,
+    source: str,
+    target: str,
+    project_id: str | None = None,
+    suggestions: DataFrame | None = None,
+    legacy_rules: bool = False,
+) -> DataFrame:
+    """The row of the run history for one run, its results kept as details JSON.
+
+    The results of a run are as many as its checks, so they fit one row.
+    """
+    errors = mappings.agg(F.count("error").alias("mapping_errors"))
+    summary = suite_summary(run_results, mappings, suggestions).withColumn(
+        "mapping_errors", errors.scalar()
+    )
+    counted = ("total_mappings", "total_tests", "passed", "failed", "errors", "total_suggestions")
+    listed = run_results.agg(F.collect_list(F.struct(*run_results.columns)).alias("r")).scalar()
+    details = F.to_json(
+        F.struct(F.struct(*counted).alias("summary"), listed.alias("predefined_results"))
+    )
+    return run_status(summary, mode, legacy_rules).select(
+        F.lit(project_id).alias("project_id"),
+        F.lit(MODES[mode]).alias("comparison_mode"),
+        F.lit(source).alias("source"),
+        F.lit(target).alias("target"),
+        F.col("run_status").alias("status"),
+        "total_tests",
+        F.col("passed").alias("passed_tests"),
+        F.col("failed").alias("failed_tests"),
+        details.alias("details"),
+    )

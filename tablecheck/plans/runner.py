@@ -9,6 +9,7 @@ checks are run one by one, so that one broken check does not hide the others.
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable, Iterable, Mapping as MappingType
 from concurrent.futures import ThreadPoolExecutor
@@ -27,9 +28,12 @@ from ..operators.outliers import SIGMAS, chosen_columns, outlier_detection
 from ..operators.referential import comparable, referential_integrity
 from ..operators.rowchecks import fused_counts
 from ..operators.rowcount import row_count
+from ..session import local_frame
 from ..sources import files
 from ..sources.tables import Tables
-from . import registry, specs
+from . import registry, specs, suggestions
+
+_log = logging.getLogger(__name__)
 
 RESULT_SCHEMA = (
     "mapping_id string, position int, test_id string, test_name string, category string,"
@@ -260,19 +264,31 @@ def metrics(source: DataFrame | None, target: DataFrame, plans: Iterable[Planned
 
 
 def _counted(source: DataFrame | None, target: DataFrame, plans: list[Planned]) -> dict:
-    """Values by metric. A failed check is marked on its plan and has no value."""
+    """Values by metric. A check that fails is marked on its plan and has no value."""
+
+    def collect(frame: DataFrame) -> dict:
+        return {r.metric: r.value for r in frame.collect()}
+
+    planned = [p for p in plans if p.error is None]
     try:
-        return {r.metric: r.value for r in metrics(source, target, plans).collect()}
-    except Exception:
+        return collect(metrics(source, target, planned))
+    except Exception:  # find out which; the row checks keep sharing their scan if they can
         pass
-    found = {r.metric: r.value for r in metrics(source, target, []).collect()}
-    for p in plans:
-        if p.error is None:
-            try:
-                single = metrics(None, target, [p]).where(F.col("metric") == p.metric)
-                found.update({r.metric: r.value for r in single.collect()})
-            except Exception as e:
-                p.error = str(e)
+    rows = [p for p in planned if p.predicate]
+    alone = [p for p in planned if not p.predicate]
+    try:
+        found = collect(metrics(source, target, rows))
+    except Exception:
+        found = collect(metrics(source, target, []))
+        alone = planned
+    for p in alone:
+        try:
+            if p.predicate:
+                found[p.metric] = collect(metrics(None, target, [p]))[p.metric]
+            else:
+                found.update(collect(row_count(p.violations, p.metric)))
+        except Exception as e:
+            p.error = str(e)
     return found
 
 
@@ -301,15 +317,54 @@ def _row_count_result(mapping_id: str, source_rows: int, target_rows: int) -> tu
 
 @dataclass(frozen=True)
 class Run:
-    """Results (one row per check) and mappings (one row per mapping, with its error)."""
+    """Results (one row per check), mappings (one row each, with its error) and the
+    suggested further checks."""
 
     results: DataFrame
     mappings: DataFrame
+    suggestions: DataFrame
+
+
+@dataclass
+class _Outcome:
+    about: tuple
+    results: list[tuple] = field(default_factory=list)
+    suggestions: list[tuple] = field(default_factory=list)
+
+
+def _as_run(spark: SparkSession, outcomes: Iterable[_Outcome]) -> Run:
+    outcomes = list(outcomes)
+    return Run(
+        local_frame(spark, [r for o in outcomes for r in o.results], RESULT_SCHEMA),
+        local_frame(spark, [o.about for o in outcomes], MAPPING_SCHEMA),
+        local_frame(spark, [r for o in outcomes for r in o.suggestions], suggestions.SCHEMA),
+    )
+
+
+def _suggested(
+    spark: SparkSession, mapping: Mapping, target: DataFrame, settled: dict
+) -> list[tuple]:
+    """Suggestions learnt from the source; failing to suggest is not an error."""
+    try:
+        source = mapping.source
+        if isinstance(source, files.SourceFiles):
+            source = files.read_as(spark, source, target.schema)
+        already = [(c, "completeness") for c in settled["required_columns"]]
+        key = settled["primary_key_columns"]
+        already += [(key[0], "integrity")] if len(key) == 1 else []
+        already += [(c, "quality") for c in (*mapping.numeric_range_checks, *mapping.pattern_checks)]
+        found = suggestions.suggest_checks(
+            mapping.mapping_id, target, mapping.target, source, already
+        )
+        return [tuple(r) for r in found.collect()]  # a few per column
+    except Exception:
+        _log.exception("no suggestions for mapping %s", mapping.mapping_id)
+        return []
 
 
 def _run_one(
     spark: SparkSession, mapping: Mapping, tables: Tables, required: Iterable[str]
-) -> tuple[list[tuple], tuple]:
+) -> _Outcome:
     started = time.monotonic()
 
     def about(source_rows=None, target_rows=None, error=None) -> tuple:
@@ -328,9 +383,30 @@ def _run_one(
         target_rows = found[TARGET_ROWS]
         rows = [_row_count_result(mapping.mapping_id, source_rows, target_rows)]
         rows += [_result(mapping.mapping_id, p, found.get(p.metric)) for p in plans]
-        return rows, about(source_rows, target_rows)
+        suggested = []
+        if mapping.auto_suggest:
+            suggested = _suggested(spark, mapping, target, _settled(mapping, target, required))
+        return _Outcome(about(source_rows, target_rows), rows, suggested)
     except Exception as e:  # a mapping that cannot be read has an error and no results
-        return [], about(error=str(e))
+        return _Outcome(about(error=str(e)))
+
+
+def _run_all(
+    spark: SparkSession,
+    mappings: list[Mapping],
+    tables: Tables,
+    required: MappingType[str, Iterable[str]] | None,
+    parallel: int,
+) -> list[_Outcome]:
+    required = required or {}
+
+    def run(mapping: Mapping) -> _Outcome:
+        return _run_one(spark, mapping, tables, required.get(mapping.target, ()))
+
+    if parallel > 1 and len(mappings) > 1:
+        with ThreadPoolExecutor(parallel) as pool:
+            return list(pool.map(inheritable_thread_target(spark)(run), mappings))
+    return [run(m) for m in mappings]
 
 
 def run_suite(
@@ -347,20 +423,7 @@ def run_suite(
     mappings = list(mappings)
     if not mappings:
         raise ValueError("no active mappings")
-    required = required or {}
-
-    def run(mapping: Mapping):
-        return _run_one(spark, mapping, tables, required.get(mapping.target, ()))
-
-    if parallel > 1 and len(mappings) > 1:
-        with ThreadPoolExecutor(parallel) as pool:
-            done = list(pool.map(inheritable_thread_target(spark)(run), mappings))
-    else:
-        done = [run(m) for m in mappings]
-    return Run(
-        spark.createDataFrame([row for rows, _ in done for row in rows], RESULT_SCHEMA),
-        spark.createDataFrame([about for _, about in done], MAPPING_SCHEMA),
-    )
+    return _as_run(spark, _run_all(spark, mappings, tables, required, parallel))
 
 
 def run_mapping(
@@ -376,13 +439,17 @@ def run_single_file(
     tables: Tables,
     required: Iterable[str] = (),
     enabled_test_ids: Iterable[str] = (),
+    auto_suggest: bool = True,
 ) -> Run:
     """Compare one file, or a pattern of files, with one table."""
+    dataset, _, table = target.rpartition(".")
     mapping = Mapping(
         "single_file_comparison",
         source,
-        target,
+        table,
+        target_dataset=dataset or None,
         enabled_test_ids=tuple(enabled_test_ids) or registry.SINGLE_FILE_CHECKS,
+        auto_suggest=auto_suggest,
     )
     return run_mapping(spark, mapping, tables, required)
 
@@ -404,16 +471,10 @@ def run_config(
         try:
             good.append(Mapping.from_row(row))
         except Exception as e:
-            bad.append((row.mapping_id, None, row.target_table, None, None, str(e), 0))
+            bad.append(_Outcome((row.mapping_id, None, row.target_table, None, None, str(e), 0)))
     if not good and not bad:
         raise ValueError("no active mappings")
-    if not good:
-        empty = spark.createDataFrame([], RESULT_SCHEMA)
-        return Run(empty, spark.createDataFrame(bad, MAPPING_SCHEMA))
-    run = run_suite(spark, good, tables, required, parallel)
-    if bad:
-        run = Run(run.results, run.mappings.unionByName(spark.createDataFrame(bad, MAPPING_SCHEMA)))
-    return run
+    return _as_run(spark, _run_all(spark, good, tables, required, parallel) + bad)
 
 
 def violations(spark: SparkSession, mapping: Mapping, tables: Tables, test_id: str) -> DataFrame:
@@ -459,7 +520,8 @@ def run_custom_checks(spark: SparkSession, checks: DataFrame) -> DataFrame:
                 found.update(counted([i]))
             except Exception as e:
                 errors[i] = str(e)
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [
             (None, i, c.test_id, c.test_name, c.test_category, c.severity,
              "ERROR" if i in errors else "PASS" if found[i] == 0 else "FAIL",

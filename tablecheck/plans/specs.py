@@ -41,6 +41,13 @@ def decode(config: DataFrame, check: str) -> Column:
     return F.from_json(name, ddl)
 
 
+def _has_settings(config: DataFrame, name: str) -> Column:
+    """Whether JSON settings name any column; only their keys are read."""
+    if isinstance(config.schema[name].dataType, T.MapType):
+        return F.size(name) > 0
+    return F.size(F.json_object_keys(name)) > 0
+
+
 def check_specs(config: DataFrame) -> DataFrame:
     """One row per mapping, check and column, with that check's parameters.
 
@@ -108,18 +115,19 @@ def planned_checks(config: DataFrame) -> DataFrame:
 
     One pass over the configuration, without a shuffle.
     """
-    has_rows = {
-        "no_nulls_required": F.size("required_columns") > 0,
-        "no_duplicates_pk": F.size("primary_key_columns") > 0,
-        "outlier_detection": F.size("outlier_columns") > 0,
-        **{check: F.size(decode(config, check)) > 0 for check in CONFIG_TYPES},
+    lists = {
+        "no_nulls_required": "required_columns",
+        "no_duplicates_pk": "primary_key_columns",
+        "outlier_detection": "outlier_columns",
     }
-    applicable = F.array_compact(
-        F.array(*(F.when(test, F.lit(check)) for check, test in has_rows.items()))
-    )
-    kept = _listed(config, applicable.alias("applicable")).where(
-        F.array_contains("applicable", F.col("test_id"))
-    )
+    # The branches are tried in turn, so a row parses no more than its own setting.
+    applies = F.lit(False)
+    for check, name in lists.items():
+        applies = F.when(F.col("test_id") == check, F.size(name) > 0).otherwise(applies)
+    for check, (name, _) in CONFIG_TYPES.items():
+        applies = F.when(F.col("test_id") == check, _has_settings(config, name)).otherwise(applies)
+    used = [*lists.values(), *(name for name, _ in CONFIG_TYPES.values())]
+    kept = _listed(config, *used).where(applies)
     first = registry.BY_ID["row_count_match"]
     always = config.select(
         "mapping_id",

@@ -15,6 +15,7 @@ from ..operators.duplicates import no_duplicates_pk
 from ..operators.profile import SHAPES, column_profile
 from ..operators.rowchecks import fused_counts
 from ..operators.rowcount import row_count
+from ..session import local_frame
 
 SCHEMA = (
     "mapping_id string, column_name string, test_name string, test_category string,"
@@ -135,7 +136,8 @@ def suggest_checks(
         c = quote_part(r.column)
         return f"SELECT {c}, count(*) AS n FROM {table} GROUP BY {c} HAVING count(*) > 1"
 
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [
             (mapping_id, r.column, r.name, r.category, r.severity, query(r), r.reasoning,
              failures[str(i)])

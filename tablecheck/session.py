@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -18,14 +19,34 @@ _SETTINGS = {
 }
 
 
-def build_session(app_name: str = "tablecheck", **conf: str) -> SparkSession:
-    """A session with the settings the checks assume; `conf` keys use `_` for `.`."""
+_FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def build_session(
+    app_name: str = "tablecheck", conf: Mapping[str, str] | None = None
+) -> SparkSession:
+    """A session with the settings the checks assume, `conf` winning over them.
+
+    Shuffles start with three partitions per core; adaptive execution merges those that
+    turn out small, so one setting serves small and large tables.
+    """
+    conf = dict(conf or {})
     builder = SparkSession.builder.appName(app_name)
-    for key, value in _SETTINGS.items():
+    for key, value in {**_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), str(value))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if _FIRST_PARTITIONS not in conf and "spark.sql.shuffle.partitions" not in conf:
+        partitions = max(200, 3 * spark.sparkContext.defaultParallelism)
+        spark.conf.set(_FIRST_PARTITIONS, str(partitions))
+    return spark
+
+
+def local_frame(spark: SparkSession, rows: Iterable, schema: T.StructType | str) -> DataFrame:
+    """A frame of a few driver-side rows, such as results or schemas, in one partition.
+
+    Without this a handful of rows would be spread over as many tasks as there are cores.
+    """
+    return spark.createDataFrame(list(rows), schema).coalesce(1)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

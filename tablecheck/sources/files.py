@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.sqltext import quote_part
+
 FORMATS = ("csv", "json", "parquet", "avro")  # avro needs the spark-avro package
 
 _EXTRA, _CORRUPT = "__extra_field", "__corrupt_record"
@@ -105,6 +107,22 @@ def read(
     return reader.load(resolve(spark, source))
 
 
+def read_as(spark: SparkSession, source: SourceFiles, schema: T.StructType) -> DataFrame:
+    """The source's columns that a table has too, by name, converted to its types.
+
+    A value that does not convert is NULL.
+    """
+    rows = read(spark, source)
+    found = {c.lower(): c for c in rows.columns}
+    return rows.select(
+        *(
+            F.col(quote_part(found[f.name.lower()])).try_cast(f.dataType).alias(f.name)
+            for f in schema.fields
+            if f.name.lower() in found
+        )
+    )
+
+
 def columns(spark: SparkSession, source: SourceFiles) -> list[str]:
     return read(spark, source).columns
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
+from ..session import local_frame
+
 
 _TYPES = {
     "string": T.StringType(),
@@ -157,29 +159,20 @@ class Store:
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return local_frame(self.spark, [], schema)
 
     def read(self) -> DataFrame:
         """The latest version of every record; all rows where there is no key."""
-        rows = self.versions()
-        if not self.key:
-            return rows.drop(_DATE)
+        return self._latest().drop(_VERSION) if self.key else self.versions().drop(_DATE)
+
+    def _latest(self) -> DataFrame:
         names = [f.name for f in self.schema.fields] + [_VERSION]
-        latest = rows.groupBy(self.key).agg(
-            F.max_by(F.struct(*names), F.col(_VERSION)).alias("latest")
-        )
-        return latest.select("latest.*").drop(_VERSION)
+        last = F.max_by(F.struct(*names), F.col(_VERSION)).alias("last")
+        return self.versions().groupBy(self.key).agg(last).select("last.*")
 
     def change(self, condition: Column | str, **changes: Column) -> None:
         """Append a changed version of every current record that meets `condition`."""
-        names = [f.name for f in self.schema.fields] + [_VERSION]
-        latest = (
-            self.versions()
-            .groupBy(self.key)
-            .agg(F.max_by(F.struct(*names), F.col(_VERSION)).alias("latest"))
-            .select("latest.*")
-        )
-        picked = latest.where(condition)
+        picked = self._latest().where(condition)
         self.append(picked.withColumns({**changes, _VERSION: F.col(_VERSION) + 1}))
 
 

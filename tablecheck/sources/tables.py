@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from ..functions.typing import kind_of
+from ..session import local_frame
 
 Tables = Callable[[str], DataFrame]
 
@@ -91,7 +92,7 @@ def columns(
              "REQUIRED" if f.name.lower() in must else "NULLABLE")
             for i, f in enumerate(schema.fields)
         ]
-    return spark.createDataFrame(rows, COLUMNS_SCHEMA)
+    return local_frame(spark, rows, COLUMNS_SCHEMA)
 
 
 def _size(name: str, df: DataFrame) -> DataFrame:

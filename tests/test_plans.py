@@ -42,6 +42,7 @@ def tables(spark, people):
 def mapping(people, **settings):
     given = dict(
         source=people,
+        auto_suggest=False,
         required_columns=("email",),
         numeric_range_checks={"age": {"min": 0, "max": 120}},
         foreign_key_checks={"team_id": {"table": "ds.teams", "column": "id"}},
@@ -363,3 +364,40 @@ def test_row_checks_share_one_scan(spark, people, tables):
     assert all(p.predicate for p in plans)
     metrics = runner.metrics(None, people, plans)
     assert metrics.count() == 4
+
+
+def test_a_mapping_suggests_further_checks(spark, people, tables):
+    run = run_mapping(spark, mapping(people, auto_suggest=True), tables)
+    found = {(r.column_name, r.test_category) for r in run.suggestions.collect()}
+    assert found == {("id", "completeness"), ("email", "business")}
+    assert run_mapping(spark, mapping(people), tables).suggestions.count() == 0
+    summary = rollups.suite_summary(run.results, run.mappings, run.suggestions).first()
+    assert summary.total_suggestions == run.suggestions.count()
+
+
+def test_suggestions_learn_from_source_files(spark, tmp_path, people):
+    people.where("id < 3").select("age", "id", "email").write.option("header", "true").csv(
+        str(tmp_path / "src"))
+    run = run_single_file(spark, SourceFiles(str(tmp_path), "src/*.csv"), "ds.people",
+                          T.from_frames({"ds.people": people}), ["email"])
+    found = {(r.column_name, r.test_category): r.estimated_failures
+             for r in run.suggestions.collect()}
+    assert found[("age", "completeness")] == 1 and found[("email", "quality")] == 1
+    assert run.mappings.first().target == "ds.people"
+
+
+def test_a_run_becomes_one_row_of_the_history(spark, tmp_path, people, tables):
+    run = run_suite(spark, [mapping(people), Mapping("gone", people, "nowhere")], tables)
+    store = stores.run_history_store(spark, str(tmp_path / "runs"))
+    for legacy in (True, False):
+        stores.log_runs(store, rollups.run_record(
+            run.results, run.mappings, "config", "config.loads", "many", "p", legacy_rules=legacy))
+    saved = store.read().collect()
+    assert sorted(r.status for r in saved) == ["AT_RISK", "ERROR"]
+    assert {(r.total_tests, r.passed_tests, r.failed_tests) for r in saved} == {(7, 2, 5)}
+    assert len({r.execution_id for r in saved}) == 2
+    details = json.loads(saved[0].details)
+    assert details["summary"]["total_mappings"] == 2
+    assert len(details["predefined_results"]) == 7
+    again = rollups.summary_from_details(store.read()).collect()
+    assert {tuple(r)[1:] for r in again} == {(7, 2, 5, 0)}

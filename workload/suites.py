@@ -31,6 +31,7 @@ def suite(spark, sf_dir):
             "documents_load",
             documents,
             "doc",
+            auto_suggest=False,
             foreign_key_checks={"doc_id": {"table": "label", "column": "doc_id"}},
             pattern_checks={"source": "^[a-z]+$", "lang": "^(en|fr)$"},
             outlier_columns=("n_chars",),
@@ -44,6 +45,7 @@ def suite(spark, sf_dir):
             load(spark, sf_dir, "orders"),
             "line",
             target_dataset="shop",
+            auto_suggest=False,
             primary_key_columns=("l_orderkey", "l_linenumber"),
             required_columns=("l_orderkey", "l_shipdate"),
             numeric_range_checks={
@@ -62,6 +64,7 @@ def suite(spark, sf_dir):
             "events_load",
             load(spark, sf_dir, "events"),
             "event",
+            auto_suggest=False,
             numeric_range_checks={"event_type": {"min": 0, "max": 1}},
             date_range_checks={"ts": {"min_date": "2024-01-02", "max_date": "2024-01-29"}},
             foreign_key_checks={"user_id": {"table": "building", "column": "c_custkey"}},
