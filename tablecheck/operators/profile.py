@@ -1,12 +1,12 @@
-"""One-scan column profile of a table."""
+"""Column profile of a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex
 from ..functions.sqltext import quote_part
-from ..functions.typing import NESTED_KINDS, NUMBER_KINDS, STRING, kind_of
+from ..functions.typing import BYTES, NESTED_KINDS, NUMBER_KINDS, STRING, kind_of
 
 # Shapes a text column may have throughout.
 SHAPES = {
@@ -17,50 +17,86 @@ SHAPES = {
     "integer": r"^-?[0-9]+$",
 }
 
-DISTINCT_RSD = 0.02
-
 
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: counts, bounds, mean, deviation, approximate distinct values
     and, for text, how many values have each known shape.
 
-    All columns are profiled in a single aggregate over a single scan.
+    All columns are profiled together, in two aggregates over the table. Distinct-value
+    sketches and bounds of text keep Spark from compiling the aggregate they are in, so
+    they have their own; the rest, which is most of the work, is compiled.
     """
-    aggregates, structs = [F.count(F.lit(1)).alias("rows")], []
-    for i, f in enumerate(df.schema.fields):
-        kind, column = kind_of(f.dataType), F.col(quote_part(f.name))
-        numeric, nested = kind in NUMBER_KINDS, kind in NESTED_KINDS
-        wanted = {
-            "values": F.count(column),
-            "distinct": None if nested else F.approx_count_distinct(column, DISTINCT_RSD),
-            "min": None if nested else F.min(column),
-            "max": None if nested else F.max(column),
-            "mean": F.avg(column.cast("double")) if numeric else None,
-            "stddev": F.stddev_samp(column.cast("double")) if numeric else None,
-        }
-        for shape, pattern in SHAPES.items():
-            matches = F.count_if(column.rlike(regex.to_java(pattern)))
-            wanted[shape] = matches if kind == STRING else None
-        aggregates += [a.alias(f"{name}{i}") for name, a in wanted.items() if a is not None]
+    fields = list(enumerate(df.schema.fields))
+    columns = {i: F.col(quote_part(f.name)) for i, f in fields}
+    kinds = {i: kind_of(f.dataType) for i, f in fields}
+    fixed_width = {i for i, k in kinds.items() if k not in NESTED_KINDS | {STRING, BYTES}}
+
+    def bounds(i: int) -> dict[str, Column]:
+        return {"min": F.min(columns[i]), "max": F.max(columns[i])}
+
+    compiled, sketched = {}, {}
+    for i, kind in kinds.items():
+        wanted = {"values": F.count(columns[i])}
+        if i in fixed_width:
+            wanted |= bounds(i)
+        if kind in NUMBER_KINDS:
+            number = columns[i].cast("double")
+            wanted |= {"mean": F.avg(number), "stddev": F.stddev_samp(number)}
+        if kind == STRING:
+            wanted |= {
+                shape: F.count_if(columns[i].rlike(regex.to_java(pattern)))
+                for shape, pattern in SHAPES.items()
+            }
+        compiled[i] = wanted
+        wanted = {}
+        if kind not in NESTED_KINDS:
+            wanted["distinct"] = F.approx_count_distinct(columns[i])
+            if i not in fixed_width:
+                wanted |= bounds(i)
+        sketched[i] = wanted
 
-        def value(name: str, cast: str):
-            found = F.lit(None) if wanted[name] is None else F.col(f"{name}{i}")
-            return found.cast(cast)
+    def rows(wanted: dict[int, dict[str, Column]], names: dict[str, str]) -> DataFrame:
+        """One row per column from one aggregate; what a column lacks is NULL."""
+        aggregates = [F.count(F.lit(1)).alias("rows")]
+        aggregates += [a.alias(f"{n}{i}") for i, w in wanted.items() for n, a in w.items()]
 
-        structs.append(
+        def value(i: int, name: str, cast: str) -> Column:
+            found = F.col(f"{name}{i}") if name in wanted[i] else F.lit(None)
+            return found.cast(cast).alias(name)
+
+        structs = (
             F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(kind).alias("kind"),
-                F.col("rows"),
-                value("values", "long").alias("n_values"),
-                (F.col("rows") - F.col(f"values{i}")).alias("n_nulls"),
-                value("distinct", "long").alias("approx_distinct"),
-                value("min", "string").alias("min_value"),
-                value("max", "string").alias("max_value"),
-                value("mean", "double").alias("mean"),
-                value("stddev", "double").alias("stddev"),
-                *(value(shape, "long").alias(f"n_{shape}") for shape in SHAPES),
+                F.lit(i).alias("position"), F.col("rows"),
+                *(value(i, name, cast) for name, cast in names.items()),
             )
+            for i in wanted
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+        return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+
+    text_bounds = {"min": "string", "max": "string"}
+    counts = rows(
+        compiled,
+        {"values": "long", **text_bounds, "mean": "double", "stddev": "double",
+         **dict.fromkeys(SHAPES, "long")},
+    )
+    sketches = rows(sketched, {"distinct": "long", **text_bounds}).select(
+        "position", "distinct", F.col("min").alias("text_min"), F.col("max").alias("text_max")
+    )
+    named = F.array(
+        *(F.struct(F.lit(f.name).alias("name"), F.lit(kinds[i]).alias("kind")) for i, f in fields)
+    )
+    about = F.get(named, F.col("position"))
+    return counts.join(F.broadcast(sketches), "position").select(  # one row per column
+        "position",
+        about["name"].alias("column_name"),
+        about["kind"].alias("kind"),
+        "rows",
+        F.col("values").alias("n_values"),
+        (F.col("rows") - F.col("values")).alias("n_nulls"),
+        F.col("distinct").alias("approx_distinct"),
+        F.coalesce("min", "text_min").alias("min_value"),
+        F.coalesce("max", "text_max").alias("max_value"),
+        "mean",
+        "stddev",
+        *(F.col(shape).alias(f"n_{shape}") for shape in SHAPES),
+    )

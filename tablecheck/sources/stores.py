@@ -53,6 +53,19 @@ CONFIG = _schema(
     updated_at="timestamp",
     updated_by="string",
 )
+CHECK_DEFINITIONS = _schema(
+    test_id="string",
+    test_name="string",
+    test_category="string",
+    severity="string",
+    description="string",
+    sql_template="string",
+    is_global="boolean",
+    is_system="boolean",
+    created_at="timestamp",
+    created_by="string",
+    updated_at="timestamp",
+)
 SUGGESTIONS = _schema(
     suggestion_id="string",
     mapping_id="string",
@@ -200,6 +213,19 @@ def set_mapping_active(store: Store, mapping_id: str, active: bool) -> None:
     )
 
 
+def check_definition_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, CHECK_DEFINITIONS, key="test_id")
+
+
+def seed_check_definitions(store: Store, definitions: DataFrame) -> None:
+    """Store check definitions, usually `registry.frame`, that are not there yet."""
+    new = definitions.join(store.read(), "test_id", "left_anti")
+    now = F.current_timestamp()
+    store.append(
+        new, is_system=F.lit(True), created_at=now, created_by=F.lit("system"), updated_at=now
+    )
+
+
 def custom_check_store(spark: SparkSession, path: str) -> Store:
     return Store(spark, path, CUSTOM_CHECKS, key="test_id")
 

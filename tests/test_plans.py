@@ -401,3 +401,8 @@ def test_a_run_becomes_one_row_of_the_history(spark, tmp_path, people, tables):
     assert len(details["predefined_results"]) == 7
     again = rollups.summary_from_details(store.read()).collect()
     assert {tuple(r)[1:] for r in again} == {(7, 2, 5, 0)}
+
+
+def test_a_format_without_its_reader_is_the_mapping_s_error(spark, people, tables):
+    run = run_mapping(spark, mapping(SourceFiles("/tmp", "no-such-file", "avro")), tables)
+    assert run.results.count() == 0 and run.mappings.first().error

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tablecheck.plans import registry
 from tablecheck.sources import stores
 
 
@@ -83,3 +84,13 @@ def test_history_of_one_mapping(spark, tmp_path):
         " status string, executed_at timestamp"))
     found = stores.mapping_history(store.read(), "m", 2).collect()
     assert [r.execution_id for r in found] == ["e5", "e3"]
+
+
+def test_check_definitions_are_seeded_once(spark, tmp_path):
+    store = stores.check_definition_store(spark, str(tmp_path / "definitions"))
+    for _ in range(2):
+        stores.seed_check_definitions(store, registry.frame(spark))
+    rows = {r.test_id: r for r in store.read().collect()}
+    assert len(rows) == store.versions().count() == 8
+    assert rows["numeric_range"].is_system and not rows["numeric_range"].is_global
+    assert rows["numeric_range"].created_by == "system" and rows["numeric_range"].created_at

@@ -18,6 +18,17 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# A customer's own target table: its columns, with their kinds and modes.
+_COLUMNS = """
+    SELECT concat('t', c_custkey) AS table_name, 0 AS position, 'Id' AS column_name,
+           'INTEGER' AS kind, 'REQUIRED' AS mode FROM customer
+    UNION ALL SELECT concat('t', c_custkey), 1, concat('T', c_custkey, '_ID'), 'STRING',
+        CASE WHEN c_acctbal > 0 THEN 'REQUIRED' ELSE 'NULLABLE' END FROM customer
+    UNION ALL SELECT concat('t', c_custkey), 2, 'amount',
+        CASE WHEN c_nationkey > 12 THEN 'FLOAT' ELSE 'NUMERIC' END, 'NULLABLE' FROM customer
+    UNION ALL SELECT concat('t', c_custkey), 3, 'segment', 'STRING', 'NULLABLE' FROM customer
+        WHERE c_mktsegment <> 'BUILDING'"""
+
 _ACTIVE = """CASE WHEN c_acctbal >= 0 THEN TRUE WHEN c_acctbal < -500 THEN FALSE END"""
 
 
@@ -84,6 +95,40 @@ def config_broken_settings(spark, sf_dir):
     return specs.broken_settings(_config(spark, sf_dir))
 
 
+@query("""
+    SELECT c_name AS mapping_id,
+           CASE WHEN c_nationkey = 3 THEN 'Id' ELSE 'Id,T' || c_custkey || '_ID' END
+               AS key_columns,
+           CASE WHEN c_acctbal > 0 THEN 'Id,T' || c_custkey || '_ID' ELSE 'Id' END
+               AS required_columns,
+           'Id,amount' AS outlier_columns
+    FROM customer
+""")
+def inferred_settings(spark, sf_dir):
+    """Key, required and outlier columns inferred for one target table per customer; the
+    key name only counts where the table's own name is written in lower case."""
+    customer = load(spark, sf_dir, "customer")
+    name = F.concat(F.lit("t"), F.col("c_custkey").cast("string"))
+    upper = F.col("c_nationkey") == 3
+    columns = spark.sql(_COLUMNS.replace("FROM customer", "FROM {customer}"), customer=customer)
+    targets = customer.select(
+        F.col("c_name").alias("mapping_id"), F.when(upper, F.upper(name)).otherwise(name)
+        .alias("target_table"),
+    )
+    shouted = customer.where(upper).select(name.alias("table_name"))
+    columns = columns.join(shouted.withColumn("shout", F.lit(True)), "table_name", "left")
+    columns = columns.withColumn(
+        "table_name", F.when(F.col("shout"), F.upper("table_name")).otherwise(F.col("table_name"))
+    )
+    found = specs.infer_settings(targets, columns.drop("shout"))
+    return found.select(
+        "mapping_id",
+        F.array_join("primary_key_columns", ",").alias("key_columns"),
+        F.array_join("required_columns", ",").alias("required_columns"),
+        F.array_join("outlier_columns", ",").alias("outlier_columns"),
+    )
+
+
 @query("""
     WITH listed(segment, position, test_id, severity) AS (VALUES
         ('BUILDING', 0, 'numeric_range', 'MEDIUM'), ('BUILDING', 2, 'row_count_match', 'HIGH'),
@@ -184,9 +229,7 @@ def source_row_counts(spark, sf_dir):
         root = shared_dir(spark, f"source-{fmt}")
         writer = events.write.format(fmt).option("escape", '"')
         (writer.option("header", "true") if fmt == "csv" else writer).save(root)
-        found = files.count_by_file(spark, SourceFiles(root, f"part-*.{fmt}", fmt)) if (
-            fmt != "parquet"
-        ) else files.count_by_file(spark, SourceFiles(root, "part-*.parquet", fmt))
+        found = files.count_by_file(spark, SourceFiles(root, f"part-*.{fmt}", fmt))
         total = found.agg(F.sum("rows").alias("rows")).select(F.lit(fmt).alias("format"), "rows")
         counts = total if counts is None else counts.unionByName(total)
     return counts
@@ -223,6 +266,19 @@ def source_wildcard(spark, sf_dir):
     return files.count_by_file(spark, source).groupBy(folder).agg(F.sum("rows").alias("rows"))
 
 
+@query("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority
+    FROM orders ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 5
+""")
+def source_head_sample(spark, sf_dir):
+    root = shared_dir(spark, "source-sample")
+    load(spark, sf_dir, "orders").write.option("header", "true").csv(root)
+    rows = files.read(spark, SourceFiles(root, "*.csv"))
+    return T.head(rows, 5, order_by=["o_orderkey"]).select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority"
+    )
+
+
 @query("""
     SELECT * FROM orders ORDER BY o_orderkey LIMIT 5
 """)
