@@ -90,7 +90,12 @@ class Mapping:
         return cls(
             mapping_id=given["mapping_id"],
             source=files.SourceFiles(
-                given["source_bucket"], given["source_file_path"], given["source_file_format"]
+                given["source_bucket"],
+                given["source_file_path"],
+                given["source_file_format"],
+                files=given.get("source_files") or "all",
+                pattern_mode=given.get("source_pattern_mode") or "glob",
+                multiline=bool(given.get("source_multiline")),
             ),
             target_dataset=given["target_dataset"],
             target_table=given["target_table"],

@@ -157,49 +157,55 @@ def _csv_with_extras(spark: SparkSession, source: SourceFiles) -> DataFrame:
     )
 
 
+def _rows_to_count(spark: SparkSession, source: SourceFiles) -> tuple[DataFrame, Column]:
+    """The source's rows, decoded no further than counting needs, and which are malformed."""
+    if source.format == "csv":
+        return _csv_with_extras(spark, source), F.col("is_extra")
+    if source.format == "json":
+        options = {"multiLine": str(source.multiline).lower(), **source.options}
+        reader = spark.read.format("json").options(**options)
+        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT)
+        rows = reader.schema(f"unread string, {_CORRUPT} string").load(resolve(spark, source))
+        return rows, F.col("unread").isNull() & F.col(_CORRUPT).isNotNull()
+    return read(spark, source), F.lit(False)
+
+
 def count_by_file(spark: SparkSession, source: SourceFiles) -> DataFrame:
-    """(path, length, rows, extra_rows) of every matching file.
+    """(path, length, rows, malformed_rows) of every matching file.
 
     A file without rows is listed with 0. The join is on file names, one row each.
     """
-    listed = list_files(spark, source)
-    if source.format == "csv":
-        rows = _csv_with_extras(spark, source)
-        extra = F.count_if("is_extra")
-    elif source.format == "json":
-        options = {"multiLine": str(source.multiline).lower(), **source.options}
-        reader = spark.read.format("json").options(**options)
-        rows = reader.schema("unread string").load(resolve(spark, source))
-        extra = F.lit(0).cast("long")
-    else:
-        rows = read(spark, source)
-        extra = F.lit(0).cast("long")
+    rows, malformed = _rows_to_count(spark, source)
     # the metadata path is percent-encoded, but a plus sign in it is a plus sign
     encoded = F.regexp_replace("_metadata.file_path", r"\+", "%2B")
     counts = rows.groupBy(_plain(F.url_decode(encoded)).alias("path")).agg(
-        F.count(F.lit(1)).alias("rows"), extra.alias("extra_rows")
+        F.count(F.lit(1)).alias("rows"), F.count_if(malformed).alias("malformed_rows")
     )
     return (
-        listed.select("path", "length")
+        list_files(spark, source)
+        .select("path", "length")
         .join(counts, "path", "left")
-        .na.fill(0, ["rows", "extra_rows"])
+        .na.fill(0, ["rows", "malformed_rows"])
     )
 
 
 def row_count(spark: SparkSession, source: SourceFiles) -> int:
     """Rows of the source without its headers.
 
-    Raises SourceError for a missing file, an empty CSV file, or CSV rows with more
-    fields than the header.
+    Raises SourceError for a missing file, an empty CSV file, CSV rows with more fields
+    than the header, or JSON that does not parse. Columnar formats are counted from their
+    footers; only text needs to be read, and listed to notice files without a header.
     """
+    if source.format not in ("csv", "json"):
+        return read(spark, source).count()
     row = (
         count_by_file(spark, source)
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.sum("rows").alias("rows"),
-            F.sum("extra_rows").alias("extra_rows"),
+            F.sum("malformed_rows").alias("malformed_rows"),
             F.min(F.when(F.col("length") == 0, F.col("path"))).alias("empty_file"),
-            F.min(F.when(F.col("extra_rows") > 0, F.col("path"))).alias("extra_file"),
+            F.min(F.when(F.col("malformed_rows") > 0, F.col("path"))).alias("malformed_file"),
         )
         .first()
     )
@@ -207,8 +213,7 @@ def row_count(spark: SparkSession, source: SourceFiles) -> int:
         raise SourceError(f"no files match {source.location}")
     if source.format == "csv" and row.empty_file:
         raise SourceError(f"no header in empty file {row.empty_file}")
-    if row.extra_file:
-        raise SourceError(
-            f"{row.extra_rows} rows have more fields than the header, first in {row.extra_file}"
-        )
+    if row.malformed_file:
+        what = "have more fields than the header" if source.format == "csv" else "do not parse"
+        raise SourceError(f"{row.malformed_rows} rows {what}, first in {row.malformed_file}")
     return row.rows

@@ -52,6 +52,10 @@ CONFIG = _schema(
     created_by="string",
     updated_at="timestamp",
     updated_by="string",
+    # How to read the source; NULL means all files, a glob, one row per line.
+    source_files="string",
+    source_pattern_mode="string",
+    source_multiline="boolean",
 )
 CHECK_DEFINITIONS = _schema(
     test_id="string",

@@ -228,6 +228,24 @@ def test_suite_from_the_configuration_table(spark, tmp_path, people):
     assert [tuple(r) for r in broken] == [("broken", "numeric_range_checks")]
 
 
+def test_how_to_read_the_source_comes_from_the_configuration(spark, tmp_path, people):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text('id,t\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text("id,t\n1,x\n")
+    rows = [("glob", None, None, True), ("regex", None, "regex", True), ("one", "first", "regex", True)]
+    frame = spark.createDataFrame(
+        rows, "mapping_id string, source_files string, source_pattern_mode string,"
+        " source_multiline boolean")
+    store = stores.config_store(spark, str(tmp_path / "config"))
+    stores.add_mappings(store, frame.select(
+        "*", F.lit(str(tmp_path)).alias("source_bucket"), F.lit("*.csv").alias("source_file_path"),
+        F.lit("csv").alias("source_file_format"), F.lit("ds").alias("target_dataset"),
+        F.lit("people").alias("target_table"), F.lit(False).alias("auto_suggest")))
+    run = run_config(spark, store.read(), T.from_frames({"ds.people": people}))
+    counts = {r.mapping_id: r.file_row_count for r in run.mappings.collect()}
+    assert counts == {"glob": 1, "regex": 2, "one": 1}
+
+
 def test_decoded_settings_of_every_kind(spark):
     row = dict(
         mapping_id="m",

@@ -93,6 +93,11 @@ def test_json_and_parquet(spark, tmp_path):
     df.write.parquet(str(tmp_path / "p"))
     assert count(spark, tmp_path, "j", format="json") == 25
     assert count(spark, tmp_path, "p/*.parquet", format="parquet") == 25
+    write(tmp_path, "lines/a.json", '{"id": 1}\n\n{"id": 2}\n')
+    assert count(spark, tmp_path, "lines/a.json", format="json") == 2
+    write(tmp_path, "lines/b.json", '{"id": 1}\n{"id"')
+    with pytest.raises(SourceError, match="do not parse"):
+        count(spark, tmp_path, "lines/*.json", format="json")
     write(tmp_path, "multi/a.json", '[{"id": 1},\n {"id": 2}]')
     assert count(spark, tmp_path, "multi/a.json", format="json", multiline=True) == 2
 

@@ -236,7 +236,7 @@ def source_row_counts(spark, sf_dir):
 
 
 @query("""
-    SELECT count(*) AS rows, CAST(0 AS BIGINT) AS extra_rows,
+    SELECT count(*) AS rows, CAST(0 AS BIGINT) AS malformed_rows,
            CAST(sum(length(text)) AS BIGINT) AS characters FROM documents
 """)
 def source_multiline_csv(spark, sf_dir):
@@ -246,7 +246,7 @@ def source_multiline_csv(spark, sf_dir):
     documents.write.option("header", "true").option("escape", '"').csv(root)
     source = SourceFiles(root, "*.csv", multiline=True)
     counts = files.count_by_file(spark, source).agg(
-        F.sum("rows").alias("rows"), F.sum("extra_rows").alias("extra_rows")
+        F.sum("rows").alias("rows"), F.sum("malformed_rows").alias("malformed_rows")
     )
     characters = files.read(spark, source).agg(F.sum(F.length("text")).alias("characters"))
     return counts.withColumn("characters", characters.scalar())
