@@ -27,6 +27,9 @@ FINDING_SCHEMA = (
 )
 CATEGORY = "schema_validation"
 
+# Columns per aggregate: more would outgrow what Spark compiles into one method.
+WIDTH = 100
+
 
 def _kinds(model: DataFrame) -> DataFrame:
     """The model with the kind of each declared type; type names are few."""
@@ -81,7 +84,17 @@ def column_differences(model: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def type_conformance(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
-    """(column_name, declared, n_values, unconvertible) for several columns in one scan."""
+    """(column_name, declared, n_values, unconvertible) of several columns, counted
+    together; wide tables WIDTH columns at a time."""
+    names = list(declared)
+    parts = [names[at : at + WIDTH] for at in range(0, len(names), WIDTH)]
+    return reduce(
+        DataFrame.unionByName,
+        (_conformance(df, {name: declared[name] for name in part}) for part in parts),
+    )
+
+
+def _conformance(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
     aggregates, rows = [], []
     for i, (name, type_name) in enumerate(declared.items()):
         column = F.col(quote_column(name, df.schema))
@@ -90,7 +103,7 @@ def type_conformance(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
         if not nested:
             bad = F.count_if(column.isNotNull() & column.try_cast(wanted).isNull())
         elif wanted == found:
-            bad = F.lit(0).cast("long")
+            bad = F.count_if(F.lit(False))
         else:
             bad = F.count(column)
         aggregates += [F.count(column).alias(f"n{i}"), bad.alias(f"bad{i}")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex
@@ -18,6 +21,10 @@ SHAPES = {
 }
 
 
+# Columns per aggregate: more would outgrow what Spark compiles into one method.
+WIDTH = 40
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: counts, bounds, mean, deviation, approximate distinct values
     and, for text, how many values have each known shape.
@@ -25,6 +32,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     All columns are profiled together, in two aggregates over the table. Distinct-value
     sketches and bounds of text keep Spark from compiling the aggregate they are in, so
     they have their own; the rest, which is most of the work, is compiled.
+    Wide tables are taken WIDTH columns at a time; each scan reads only those.
     """
     fields = list(enumerate(df.schema.fields))
     columns = {i: F.col(quote_part(f.name)) for i, f in fields}
@@ -56,22 +64,27 @@ def column_profile(df: DataFrame) -> DataFrame:
         sketched[i] = wanted
 
     def rows(wanted: dict[int, dict[str, Column]], names: dict[str, str]) -> DataFrame:
-        """One row per column from one aggregate; what a column lacks is NULL."""
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        aggregates += [a.alias(f"{n}{i}") for i, w in wanted.items() for n, a in w.items()]
+        """One row per column; what a column lacks is NULL."""
 
         def value(i: int, name: str, cast: str) -> Column:
             found = F.col(f"{name}{i}") if name in wanted[i] else F.lit(None)
             return found.cast(cast).alias(name)
 
-        structs = (
-            F.struct(
-                F.lit(i).alias("position"), F.col("rows"),
-                *(value(i, name, cast) for name, cast in names.items()),
+        def of(part: Sequence[int]) -> DataFrame:
+            aggregates = [F.count(F.lit(1)).alias("rows")]
+            aggregates += [a.alias(f"{n}{i}") for i in part for n, a in wanted[i].items()]
+            structs = (
+                F.struct(
+                    F.lit(i).alias("position"), F.col("rows"),
+                    *(value(i, name, cast) for name, cast in names.items()),
+                )
+                for i in part
             )
-            for i in wanted
-        )
-        return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+            return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+
+        ids = list(wanted)
+        parts = [ids[at : at + WIDTH] for at in range(0, len(ids), WIDTH)]
+        return reduce(DataFrame.unionByName, (of(part) for part in parts))
 
     text_bounds = {"min": "string", "max": "string"}
     counts = rows(

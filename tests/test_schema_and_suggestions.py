@@ -81,6 +81,13 @@ def test_profile_of_awkward_columns(spark):
     assert got["list"].n_values == 2 and got["list"].approx_distinct is None
 
 
+def test_profile_of_a_wide_table(spark):
+    wide = spark.range(30).select(*((F.col("id") * i).alias(f"c{i}") for i in range(95)))
+    rows = column_profile(wide).orderBy("position").collect()
+    assert [r.column_name for r in rows] == wide.columns
+    assert all(r.max_value == str(29 * i) and r.n_values == 30 for i, r in enumerate(rows))
+
+
 def test_suggestions_learn_from_the_source_and_count_target_failures(spark):
     source = spark.range(200).select(
         "id", F.concat(F.lit("u"), F.col("id"), F.lit("@x.org")).alias("mail"),
