@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Mapping as MappingType
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -134,85 +135,99 @@ class Planned:
         return f"{self.position}:{self.check.test_id}"
 
 
-def _settled(mapping: Mapping, target: DataFrame, required: Iterable[str]) -> dict:
-    """Settings of the mapping, inferred from the target's columns where none are given."""
-    return {
-        "primary_key_columns": list(mapping.primary_key_columns)
-        or specs.infer_key(mapping.target_table, target.columns),
-        "required_columns": list(mapping.required_columns) or list(required),
-        "outlier_columns": list(mapping.outlier_columns)
-        or [f.name for f in target.schema.fields if kind_of(f.dataType) in NUMBER_KINDS],
-    }
+@dataclass(frozen=True)
+class LoadedMapping:
+    """A mapping with its target table and its settings, given or inferred."""
 
+    spark: SparkSession
+    mapping: Mapping
+    target: DataFrame
+    tables: Tables
+    required: tuple[str, ...] = ()
 
-def _row_check(plan: Planned, target: DataFrame, name: str, predicate: str) -> None:
+    @property
+    def table(self) -> str:
+        return quote_table(self.mapping.target)
+
+    def setting(self, name: str) -> Any:
+        given = getattr(self.mapping, name)
+        if given:
+            return given
+        if name == "primary_key_columns":
+            return specs.infer_key(self.mapping.target_table, self.target.columns)
+        if name == "required_columns":
+            return self.required
+        if name == "outlier_columns":
+            fields = self.target.schema.fields
+            return [f.name for f in fields if kind_of(f.dataType) in NUMBER_KINDS]
+        return given
+
+    def column(self, name: str) -> str:
+        return quote_column(name, self.target.schema)
+
+
+def _row_check(plan: Planned, loaded: LoadedMapping, predicate: str) -> None:
     plan.predicate = predicate
-    plan.sql_query = f"SELECT * FROM {quote_table(name)} WHERE {predicate}"
+    plan.sql_query = f"SELECT * FROM {loaded.table} WHERE {predicate}"
 
 
-def _no_nulls(plan, spark, mapping, target, settled, tables):
-    _row_check(plan, target, mapping.target,
-               P.null_predicate(target.schema, settled["required_columns"]))
+def _no_nulls(plan: Planned, loaded: LoadedMapping, columns) -> None:
+    _row_check(plan, loaded, P.null_predicate(loaded.target.schema, columns))
 
 
-def _numeric_range(plan, spark, mapping, target, settled, tables):
-    _row_check(plan, target, mapping.target,
-               P.numeric_range_predicate(target.schema, mapping.numeric_range_checks))
+def _numeric_range(plan: Planned, loaded: LoadedMapping, checks) -> None:
+    _row_check(plan, loaded, P.numeric_range_predicate(loaded.target.schema, checks))
 
 
-def _date_range(plan, spark, mapping, target, settled, tables):
-    _row_check(plan, target, mapping.target,
-               P.date_range_predicate(spark, target.schema, mapping.date_range_checks))
+def _date_range(plan: Planned, loaded: LoadedMapping, checks) -> None:
+    _row_check(plan, loaded, P.date_range_predicate(loaded.spark, loaded.target.schema, checks))
 
 
-def _pattern(plan, spark, mapping, target, settled, tables):
-    _row_check(plan, target, mapping.target,
-               P.pattern_predicate(spark, target.schema, mapping.pattern_checks))
+def _pattern(plan: Planned, loaded: LoadedMapping, patterns) -> None:
+    _row_check(plan, loaded, P.pattern_predicate(loaded.spark, loaded.target.schema, patterns))
 
 
-def _duplicates(plan, spark, mapping, target, settled, tables):
-    key = settled["primary_key_columns"]
-    plan.violations = no_duplicates_pk(target, key)
-    columns = ", ".join(quote_column(c, target.schema) for c in key)
+def _duplicates(plan: Planned, loaded: LoadedMapping, key) -> None:
+    plan.violations = no_duplicates_pk(loaded.target, key)
+    columns = ", ".join(loaded.column(c) for c in key)
     plan.sql_query = (
-        f"SELECT {columns}, count(*) AS duplicate_count FROM {quote_table(mapping.target)}"
+        f"SELECT {columns}, count(*) AS duplicate_count FROM {loaded.table}"
         f" GROUP BY {columns} HAVING count(*) > 1"
     )
 
 
-def _referential(plan, spark, mapping, target, settled, tables):
-    plan.violations = referential_integrity(target, mapping.foreign_key_checks, tables)
+def _referential(plan: Planned, loaded: LoadedMapping, checks) -> None:
+    plan.violations = referential_integrity(loaded.target, checks, loaded.tables)
     selects = []
-    for column, ref in mapping.foreign_key_checks.items():
-        parent = tables(ref["table"])
+    for column, ref in checks.items():
+        parent = loaded.tables(ref["table"]).schema
         cast_to = comparable(
-            (column, field_type(target.schema, column)),
-            (ref["column"], field_type(parent.schema, ref["column"])),
+            (column, field_type(loaded.target.schema, column)),
+            (ref["column"], field_type(parent, ref["column"])),
         )
-        child, known = quote_column(column, target.schema), quote_column(ref["column"])
+        child, known = loaded.column(column), quote_column(ref["column"], parent)
         if cast_to:
             child, known = f"CAST({child} AS {cast_to})", f"CAST({known} AS {cast_to})"
         selects.append(
             f"SELECT {string_literal(column)} AS fk_column, CAST(v AS STRING) AS invalid_value,"
             f" occurrence_count FROM (SELECT {child} AS v, count(*) AS occurrence_count"
-            f" FROM {quote_table(mapping.target)} GROUP BY 1) LEFT ANTI JOIN"
+            f" FROM {loaded.table} GROUP BY 1) LEFT ANTI JOIN"
             f" (SELECT {known} AS known FROM {quote_table(ref['table'])}) ON v = known"
             f" WHERE v IS NOT NULL"
         )
     plan.sql_query = " UNION ALL ".join(selects)
 
 
-def _outliers(plan, spark, mapping, target, settled, tables):
-    columns = chosen_columns(settled["outlier_columns"], mapping.outlier_which)
-    plan.violations = outlier_detection(target, columns, "all")
-    names = [f"CAST({quote_column(c, target.schema)} AS DOUBLE)" for c in columns]
-    table = quote_table(mapping.target)
+def _outliers(plan: Planned, loaded: LoadedMapping, columns) -> None:
+    columns = chosen_columns(columns, loaded.mapping.outlier_which)
+    plan.violations = outlier_detection(loaded.target, columns, "all")
+    values = [f"CAST({loaded.column(c)} AS DOUBLE)" for c in columns]
     far = P.any_of(
-        f"abs({n} - (SELECT avg({n}) FROM {table}))"
-        f" > {SIGMAS} * (SELECT stddev_samp({n}) FROM {table})"
-        for n in names
+        f"abs({v} - (SELECT avg({v}) FROM {loaded.table}))"
+        f" > {SIGMAS} * (SELECT stddev_samp({v}) FROM {loaded.table})"
+        for v in values
     )
-    plan.sql_query = f"SELECT * FROM {table} WHERE {far}"
+    plan.sql_query = f"SELECT * FROM {loaded.table} WHERE {far}"
 
 
 # Per check: the setting without which it is skipped, and how it is planned.
@@ -227,27 +242,23 @@ _PLANNERS: dict[str, tuple[str, Callable]] = {
 }
 
 
-def plan_mapping(
-    spark: SparkSession,
-    mapping: Mapping,
-    target: DataFrame,
-    tables: Tables,
-    required: Iterable[str] = (),
-) -> list[Planned]:
+def plan_mapping(loaded: LoadedMapping) -> list[Planned]:
     """The checks of one mapping, without running any. A check that cannot be planned
     carries its error."""
-    settled = _settled(mapping, target, required)
-    wanted = mapping.enabled_test_ids or [c.test_id for c in registry.CHECKS if c.is_global]
+    wanted = loaded.mapping.enabled_test_ids or [
+        c.test_id for c in registry.CHECKS if c.is_global
+    ]
     plans = []
     for position, test_id in enumerate(wanted, 1):
         if test_id not in _PLANNERS:
             continue  # unknown, or the row count, which always runs
         setting, planner = _PLANNERS[test_id]
-        if not (settled.get(setting) or getattr(mapping, setting)):
+        value = loaded.setting(setting)
+        if not value:
             continue
         plan = Planned(registry.BY_ID[test_id], position)
         try:
-            planner(plan, spark, mapping, target, settled, tables)
+            planner(plan, loaded, value)
         except Exception as e:  # whatever is wrong with one check, the others still run
             plan.error = str(e)
         plans.append(plan)
@@ -346,16 +357,15 @@ def _as_run(spark: SparkSession, outcomes: Iterable[_Outcome]) -> Run:
     )
 
 
-def _suggested(
-    spark: SparkSession, mapping: Mapping, target: DataFrame, settled: dict
-) -> list[tuple]:
+def _suggested(loaded: LoadedMapping) -> list[tuple]:
     """Suggestions learnt from the source; failing to suggest is not an error."""
+    mapping, target = loaded.mapping, loaded.target
     try:
         source = mapping.source
         if isinstance(source, files.SourceFiles):
-            source = files.read_as(spark, source, target.schema)
-        already = [(c, "completeness") for c in settled["required_columns"]]
-        key = settled["primary_key_columns"]
+            source = files.read_as(loaded.spark, source, target.schema)
+        already = [(c, "completeness") for c in loaded.setting("required_columns")]
+        key = loaded.setting("primary_key_columns")
         already += [(key[0], "integrity")] if len(key) == 1 else []
         already += [(c, "quality") for c in (*mapping.numeric_range_checks, *mapping.pattern_checks)]
         found = suggestions.suggest_checks(
@@ -378,19 +388,17 @@ def _run_one(
                 target_rows, error, elapsed)
 
     try:
-        target = tables(mapping.target)
+        loaded = LoadedMapping(spark, mapping, tables(mapping.target), tables, tuple(required))
         from_files = isinstance(mapping.source, files.SourceFiles)
         source_rows = files.row_count(spark, mapping.source) if from_files else None
-        plans = plan_mapping(spark, mapping, target, tables, required)
-        found = _counted(None if from_files else mapping.source, target, plans)
+        plans = plan_mapping(loaded)
+        found = _counted(None if from_files else mapping.source, loaded.target, plans)
         if source_rows is None:
             source_rows = found[SOURCE_ROWS]
         target_rows = found[TARGET_ROWS]
         rows = [_row_count_result(mapping.mapping_id, source_rows, target_rows)]
         rows += [_result(mapping.mapping_id, p, found.get(p.metric)) for p in plans]
-        suggested = []
-        if mapping.auto_suggest:
-            suggested = _suggested(spark, mapping, target, _settled(mapping, target, required))
+        suggested = _suggested(loaded) if mapping.auto_suggest else []
         return _Outcome(about(source_rows, target_rows), rows, suggested)
     except Exception as e:  # a mapping that cannot be read has an error and no results
         return _Outcome(about(error=str(e)))
@@ -482,15 +490,21 @@ def run_config(
     return _as_run(spark, _run_all(spark, good, tables, required, parallel) + bad)
 
 
-def violations(spark: SparkSession, mapping: Mapping, tables: Tables, test_id: str) -> DataFrame:
+def violations(
+    spark: SparkSession,
+    mapping: Mapping,
+    tables: Tables,
+    test_id: str,
+    required: Iterable[str] = (),
+) -> DataFrame:
     """All violations of one of a mapping's checks, for a closer look."""
-    target = tables(mapping.target)
-    for plan in plan_mapping(spark, mapping, target, tables):
+    loaded = LoadedMapping(spark, mapping, tables(mapping.target), tables, tuple(required))
+    for plan in plan_mapping(loaded):
         if plan.check.test_id == test_id:
             if plan.error:
                 raise ValueError(plan.error)
             if plan.predicate:
-                return P.violating_rows(target, plan.predicate)
+                return P.violating_rows(loaded.target, plan.predicate)
             return plan.violations
     raise ValueError(f"{test_id!r} does not apply to mapping {mapping.mapping_id!r}")
 

@@ -378,7 +378,7 @@ def test_results_go_to_the_history(spark, tmp_path, people, tables):
 def test_row_checks_share_one_scan(spark, people, tables):
     m = mapping(people, enabled_test_ids=("no_nulls_required", "numeric_range",
                                           "pattern_validation"))
-    plans = runner.plan_mapping(spark, m, people, tables)
+    plans = runner.plan_mapping(runner.LoadedMapping(spark, m, people, tables))
     assert all(p.predicate for p in plans)
     metrics = runner.metrics(None, people, plans)
     assert metrics.count() == 4
