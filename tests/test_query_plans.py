@@ -69,7 +69,8 @@ def test_outliers_need_no_join(spark):
 
 def test_no_registered_query_has_a_cross_join(spark):
     eager = {"suite_results", "suite_mappings", "suite_summary", "mapping_counts",
-             "custom_checks_run", "suggested_checks"}
+             "custom_checks_run", "suggested_checks", "run_history_record",
+             "single_file_comparison"}
     for name, query in registered.queries().items():
         if name in eager:
             continue

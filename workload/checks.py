@@ -346,18 +346,19 @@ def implied_fk(spark, sf_dir):
 """)
 def fused_row_checks(spark, sf_dir):
     lineitem = load(spark, sf_dir, "lineitem")
+    return rowchecks.fused_counts(lineitem, row_check_predicates(spark, lineitem))
+
+
+def row_check_predicates(spark, lineitem):
     schema = lineitem.schema
     ranges = {"l_quantity": {"min": 5, "max": 45}, "l_discount": {"min": 0, "max": 0.09}}
     dates = {"l_shipdate": {"min_date": "1994-01-01", "max_date": "2000-12-31"}}
-    return rowchecks.fused_counts(
-        lineitem,
-        {
-            "nulls": P.null_predicate(schema, ["l_shipdate", "l_returnflag"]),
-            "ranges": P.numeric_range_predicate(schema, ranges),
-            "dates": P.date_range_predicate(spark, schema, dates),
-            "patterns": P.pattern_predicate(spark, schema, {"l_returnflag": "^[AN]$"}),
-        },
-    )
+    return {
+        "nulls": P.null_predicate(schema, ["l_shipdate", "l_returnflag"]),
+        "ranges": P.numeric_range_predicate(schema, ranges),
+        "dates": P.date_range_predicate(spark, schema, dates),
+        "patterns": P.pattern_predicate(spark, schema, {"l_returnflag": "^[AN]$"}),
+    }
 
 
 def _profile_sql() -> str:

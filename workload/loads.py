@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablecheck import run_single_file
+from tablecheck.functions.predicates import null_predicate
 from tablecheck.operators import conformance
+from tablecheck.operators.rowchecks import fused_counts
 from tablecheck.plans import specs
 from tablecheck.plans.conformance import validate_schema
 from tablecheck.session import shared_dir
@@ -302,6 +305,80 @@ def table_metadata(spark, sf_dir):
     return found.select("table_name", "num_columns", "num_rows")
 
 
+_FILLED = ("customer", "orders", "lineitem", "events", "documents", "conversations")
+_NULLED = {"events": ("value", "value > 50"), "orders": ("o_custkey", "o_totalprice > 200000")}
+
+
+def _columns_sql() -> str:
+    columns = {
+        "customer": "c_custkey:INTEGER c_name:STRING c_nationkey:INTEGER c_acctbal:FLOAT"
+        " c_mktsegment:STRING",
+        "orders": "o_orderkey:INTEGER o_custkey:INTEGER o_orderstatus:STRING o_totalprice:FLOAT"
+        " o_orderdate:DATETIME o_orderpriority:STRING",
+        "lineitem": "l_orderkey:INTEGER l_partkey:INTEGER l_suppkey:INTEGER l_linenumber:INTEGER"
+        " l_quantity:FLOAT l_extendedprice:FLOAT l_discount:FLOAT l_tax:FLOAT"
+        " l_returnflag:STRING l_linestatus:STRING l_shipdate:DATETIME",
+        "events": "event_id:INTEGER ts:DATETIME user_id:INTEGER event_type:STRING value:FLOAT"
+        " props:STRING",
+        "documents": "doc_id:INTEGER text:STRING lang:STRING source:STRING n_chars:INTEGER",
+        "conversations": "conv_id:INTEGER turn:INTEGER role:STRING text:STRING",
+    }
+
+    def nulls(table: str, column: str) -> str:
+        name, condition = _NULLED.get(table, (None, None))
+        return f"count(*) FILTER ({condition})" if name == column else "count(*) FILTER (FALSE)"
+
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, '{k}' AS kind,"
+        f" '{'REQUIRED' if i == 0 else 'NULLABLE'}' AS mode, {nulls(t, c)} AS n_nulls FROM {t}"
+        for t in _FILLED
+        for i, (c, k) in enumerate(x.split(":") for x in columns[t].split())
+    )
+
+
+@query(_columns_sql())
+def table_columns(spark, sf_dir):
+    """The columns of several tables, with the NULLs found in each."""
+    frames = {t: load(spark, sf_dir, t) for t in _FILLED}
+    for t, (column, condition) in _NULLED.items():
+        kept = F.when(~F.expr(condition), F.col(column))
+        frames[t] = frames[t].withColumn(column, kept)
+    required = {t: [df.columns[0]] for t, df in frames.items()}
+    columns = T.columns(spark, T.from_frames(frames), (*_FILLED, "no_such_table"), required)
+    counts = None
+    for t, df in frames.items():
+        found = fused_counts(df, {c: null_predicate(df.schema, [c]) for c in df.columns})
+        found = found.select(
+            F.lit(t).alias("table_name"), F.col("metric").alias("column_name"),
+            F.col("value").alias("n_nulls"),
+        )
+        counts = found if counts is None else counts.unionByName(found)
+    return columns.drop("data_type").join(counts, ["table_name", "column_name"])
+
+
+@query("""
+    WITH doc AS (SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l
+                 ON d.doc_id = l.doc_id)
+    SELECT 'row_count_match' AS test_id, 'PASS' AS status, CAST(0 AS BIGINT) AS rows_violating
+    UNION ALL
+    SELECT 'no_nulls_required', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*)
+    FROM doc WHERE doc_id IS NULL OR quality IS NULL
+    UNION ALL
+    SELECT 'no_duplicates_pk', 'PASS', 0
+""")
+def single_file_comparison(spark, sf_dir):
+    """A table written as CSV against its target, with the default checks."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    root = shared_dir(spark, "source-documents")
+    documents.write.option("header", "true").csv(root)
+    target = documents.join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    run = run_single_file(
+        spark, SourceFiles(root, "part-*.csv"), "shop.doc", T.from_frames({"shop.doc": target}),
+        required=["doc_id", "quality"], auto_suggest=False,
+    )
+    return run.results.select("test_id", "status", "rows_violating")
+
+
 _MODEL = [
     ("customer", "c_custkey", "bigint", False, None, None),
     ("customer", "c_name", "BIGNUMERIC", False, None, None),

@@ -187,6 +187,37 @@ def mapping_counts(spark, sf_dir):
     return rollups.mapping_counts(suite(spark, sf_dir).results)
 
 
+@query(f"""
+    WITH {_COUNTED}
+    SELECT 'gcs_config_table' AS comparison_mode, 'AT_RISK' AS status, count(*) AS total_tests,
+           count(*) FILTER (status = 'PASS') AS passed_tests,
+           count(*) FILTER (status = 'FAIL') AS failed_tests,
+           count(*) FILTER (status = 'ERROR') AS other
+    FROM results
+""")
+def run_history_record(spark, sf_dir):
+    """A suite logged in the run history and read back; its counts come from its details."""
+    run = suite(spark, sf_dir)
+    store = stores.run_history_store(spark, shared_dir(spark, "runs"))
+    stores.log_runs(
+        store,
+        rollups.run_record(
+            run.results, run.mappings, "config", "config.loads", "several", legacy_rules=True
+        ),
+    )
+    saved = store.read()
+    counted = rollups.summary_from_details(saved).drop("total_tests", "errors")
+    return (
+        rollups.with_other(stores.recent_runs(saved))
+        .drop("passed_tests", "failed_tests")
+        .join(counted, "execution_id")
+        .select(
+            "comparison_mode", "status", "total_tests", F.col("passed").alias("passed_tests"),
+            F.col("failed").alias("failed_tests"), "other",
+        )
+    )
+
+
 # Stored results at scale: each event stands for one check result of the mapping user_id.
 _EVENT_STATUS = """
     CASE WHEN value > 100 THEN 'ERROR' WHEN event_type IN ('click', 'view') THEN 'PASS'
