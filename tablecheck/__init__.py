@@ -3,6 +3,7 @@
 from .plans.runner import (
     Mapping,
     Run,
+    mapping_metrics,
     run_config,
     run_custom_checks,
     run_mapping,
@@ -19,6 +20,7 @@ __all__ = [
     "SourceError",
     "SourceFiles",
     "build_session",
+    "mapping_metrics",
     "run_config",
     "run_custom_checks",
     "run_mapping",

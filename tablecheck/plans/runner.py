@@ -490,6 +490,18 @@ def run_config(
     return _as_run(spark, _run_all(spark, good, tables, required, parallel) + bad)
 
 
+def mapping_metrics(
+    spark: SparkSession, mapping: Mapping, tables: Tables, required: Iterable[str] = ()
+) -> DataFrame:
+    """(metric, value) of a mapping's checks as one lazy frame, to run or explain.
+
+    Checks that cannot be planned have no row; a source of files is counted apart.
+    """
+    loaded = LoadedMapping(spark, mapping, tables(mapping.target), tables, tuple(required))
+    source = None if isinstance(mapping.source, files.SourceFiles) else mapping.source
+    return metrics(source, loaded.target, plan_mapping(loaded))
+
+
 def violations(
     spark: SparkSession,
     mapping: Mapping,

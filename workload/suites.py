@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablecheck import Mapping, run_custom_checks, run_suite
+from tablecheck import Mapping, mapping_metrics as runner_metrics, run_custom_checks, run_suite
 from tablecheck.plans import rollups
 from tablecheck.session import shared_dir
 from tablecheck.sources import stores, tables as T
@@ -14,8 +14,8 @@ from .registered import load, query
 REQUIRED = {"doc": ["doc_id", "quality", "toxic"], "event": ["event_id", "ts"]}
 
 
-def suite(spark, sf_dir):
-    """Four loads to check; the last one names a table that does not exist."""
+def loads_to_check(spark, sf_dir):
+    """Four mappings and their tables; the last one names a table that does not exist."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     labels = load(spark, sf_dir, "labels")
     frames = {
@@ -76,7 +76,11 @@ def suite(spark, sf_dir):
         ),
         Mapping("lost_load", documents, "no_such_table"),
     ]
-    return run_suite(spark, mappings, T.from_frames(frames), REQUIRED)
+    return mappings, T.from_frames(frames)
+
+
+def suite(spark, sf_dir):
+    return run_suite(spark, *loads_to_check(spark, sf_dir), REQUIRED)
 
 
 # Violations of every check above, counted one by one.
@@ -144,6 +148,21 @@ def suite_results(spark, sf_dir):
     )
 
 
+@query(f"""
+    WITH {_COUNTED}
+    SELECT test_id AS metric, rows_violating AS value FROM results
+    WHERE mapping_id = 'lineitem_load' AND test_id <> 'row_count_match'
+    UNION ALL SELECT 'source_rows', count(*) FROM orders
+    UNION ALL SELECT 'target_rows', count(*) FROM lineitem
+""")
+def mapping_metrics(spark, sf_dir):
+    """Everything one mapping counts, as the one lazy frame the runner executes."""
+    mappings, tables = loads_to_check(spark, sf_dir)
+    lineitem = next(m for m in mappings if m.mapping_id == "lineitem_load")
+    found = runner_metrics(spark, lineitem, tables)
+    return found.withColumn("metric", F.regexp_replace("metric", "^[0-9]+:", ""))
+
+
 @query("""
     SELECT 'documents_load' AS mapping_id, 'doc' AS target,
            (SELECT count(*) FROM documents) AS file_row_count,
