@@ -38,6 +38,14 @@ def validate_schema(
     return conformance.schema_findings(model, actual, conversions, implied)
 
 
+def required_columns(model: DataFrame) -> dict[str, list[str]]:
+    """{table: columns declared not nullable}: what the runner takes as `required`."""
+    found: dict[str, list[str]] = {}
+    for row in model.where("NOT nullable").select("table_name", "column_name").collect():
+        found.setdefault(row.table_name, []).append(row.column_name)
+    return found
+
+
 def schema_summary(findings: DataFrame, total_tables: int) -> DataFrame:
     """One row: total_tables and total_issues, which counts every finding."""
     return findings.agg(F.count(F.lit(1)).alias("total_issues")).select(

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablecheck import Mapping, run_suite
 from tablecheck.functions import typing as Y
 from tablecheck.operators import conformance as C
 from tablecheck.operators.profile import column_profile
-from tablecheck.plans.conformance import schema_summary, validate_schema
+from tablecheck.plans.conformance import required_columns, schema_summary, validate_schema
 from tablecheck.plans.suggestions import suggest_checks
 from tablecheck.sources import tables as T
 
@@ -53,6 +54,18 @@ def test_findings(spark, tables):
         ("Undeclared column", "code"), ("Undeclared column", "price")}
 
 
+def test_required_columns_come_from_the_model(spark, tables):
+    model = spark.createDataFrame(
+        [("orders", "id", "INT64", False, None, None),
+         ("orders", "price", "FLOAT64", False, None, None),
+         ("orders", "code", "STRING", True, None, None)], C.MODEL_SCHEMA)
+    required = required_columns(model)
+    assert {t: sorted(c) for t, c in required.items()} == {"orders": ["id", "price"]}
+    load = Mapping("m", tables("orders"), "orders", auto_suggest=False)
+    results = run_suite(spark, [load], tables, required).results
+    assert results.where("test_id = 'no_nulls_required'").first().rows_violating == 1
+
+
 def test_values_that_do_not_convert(spark):
     df = spark.createDataFrame(
         [("1", "2024-01-01", [1]), ("x", "soon", [2]), (None, None, None)],
