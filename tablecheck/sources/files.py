@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -48,24 +49,25 @@ class SourceFiles:
         return f"{self.root.rstrip('/')}/{self.path.lstrip('/')}"
 
 
+_FILE_SCHEME = "^file:/+"
+
+
 def _plain(path: Column) -> Column:
     """`file:/x` and `file:///x` are one path."""
-    return F.regexp_replace(path, "^file:/+", "/")
+    return F.regexp_replace(path, _FILE_SCHEME, "/")
 
 
 def list_files(spark: SparkSession, source: SourceFiles) -> DataFrame:
     """(path, length, modified) of the matching files; their content is not read."""
-    root = source.root.rstrip("/")
     reader = spark.read.format("binaryFile")
     if source.pattern_mode == "regex" and "*" in source.path:
-        fixed = source.path.split("*")[0]
-        folder = fixed.rpartition("/")[0]
+        root, path = source.root.rstrip("/"), source.path.lstrip("/")
+        folder = path.split("*")[0].rpartition("/")[0]
         files = reader.option("recursiveFileLookup", "true").load(f"{root}/{folder}".rstrip("/"))
-        pattern = "^" + source.path.lstrip("/").replace("*", ".*") + r"\z"
-        name = F.expr("substr(path, instr(path, :root) + length(:root) + 1)".replace(
-            ":root", "'" + root.replace("'", "\\'") + "'"
-        ))
-        files = files.where(name.rlike(pattern))
+        root = re.sub(_FILE_SCHEME, "/", root)
+        full = _plain(F.col("path"))
+        name = F.substr(full, F.locate(root, full) + F.lit(len(root) + 1))
+        files = files.where(name.rlike("^" + path.replace("*", ".*") + r"\z"))
     else:
         files = reader.load(source.location)
     listed = files.select(

@@ -72,6 +72,12 @@ def test_star_as_glob_and_as_regex(spark, wildcard_folder):
     ]
 
 
+def test_root_with_a_scheme(spark, wildcard_folder):
+    source = SourceFiles(f"file://{wildcard_folder}/", "/d/cust_*.csv", pattern_mode="regex")
+    assert files.list_files(spark, source).count() == 3
+    assert files.row_count(spark, source) == 5
+
+
 def test_all_files_or_the_first(spark, wildcard_folder):
     assert count(spark, wildcard_folder, "d/cust_*.csv") == 4
     assert count(spark, wildcard_folder, "d/cust_*.csv", files="first") == 1
