@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, tokencount
+from . import decontamination, jaccard, packing, quality, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +21,19 @@ PACK_TOKENIZER = "byte_bpe_50k.json"
 COUNT_MODEL = "piece_bpe_32k.model"
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Registers a query; its Python workers find this package also if only the driver's
+    path has it."""
+
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
     return function
 
 
@@ -28,6 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(
+        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
