@@ -9,7 +9,18 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, jaccard, packing, pii, quality, tokencount
+from . import (
+    chat,
+    decontamination,
+    divergence,
+    jaccard,
+    licenses,
+    packing,
+    pii,
+    quality,
+    secrets,
+    tokencount,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(spark, table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_license_scan"] = licenses.oracle_sql()
+
+
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(
@@ -48,11 +67,24 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(spark, table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op5_perspective_rotation"] = chat.ORACLE_SQL
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents"))
