@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.sqltext import quote_column
 from ..functions.typing import field_type
-from ..session import shared_dir
 
 _WIDE = (T.StringType, T.BinaryType, T.ArrayType, T.StructType)
 _ROW_HASH = "__row_hash"
@@ -37,24 +36,17 @@ def _count_equal_rows(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def full_row_duplicates(df: DataFrame, broadcast_limit: int = 1_000_000) -> DataFrame:
+def full_row_duplicates(df: DataFrame) -> DataFrame:
     """Rows whose every column is repeated, once each with their count.
 
     Shuffling wide rows to find the few that repeat is wasteful, so wide tables are
-    first reduced to row hashes. The hashes seen twice are written out and counted:
-    up to `broadcast_limit` of them (8 bytes each) are broadcast to keep only rows
-    that may have a copy; with more, all rows are grouped. Either way equality of all
-    columns decides, and equal rows are collapsed before they are shuffled.
+    first reduced to row hashes; only rows whose hash repeats are compared whole. The
+    join with the repeated hashes is left to Spark, which broadcasts them if they are few.
+    Equality of all columns decides, and equal rows are collapsed before they are shuffled.
     """
     names = [quote_column(c, df.schema) for c in df.columns]
     if not any(isinstance(f.dataType, _WIDE) for f in df.schema.fields):
         return _count_equal_rows(df, names)
-    spark = df.sparkSession
     hashed = df.withColumn(_ROW_HASH, F.xxhash64(*names))
-    path = shared_dir(spark, "row-hashes")
-    hashed.groupBy(_ROW_HASH).count().where("count > 1").select(_ROW_HASH).write.parquet(path)
-    repeated = spark.read.schema(f"{_ROW_HASH} bigint").parquet(path)
-    if repeated.count() > broadcast_limit:
-        return _count_equal_rows(df, names)
-    candidates = hashed.join(F.broadcast(repeated), _ROW_HASH, "left_semi")
-    return _count_equal_rows(candidates, names)
+    repeated = hashed.groupBy(_ROW_HASH).count().where("count > 1").select(_ROW_HASH)
+    return _count_equal_rows(hashed.join(repeated, _ROW_HASH, "left_semi"), names)

@@ -13,9 +13,6 @@ SCHEMA = (
     " description string, is_global boolean, ordinal int"
 )
 
-# The most violations a check reports; the full number is kept next to it.
-REPORT_CAP = 100
-
 
 @dataclass(frozen=True)
 class Check:
@@ -65,7 +62,7 @@ CHECKS = (
 
 BY_ID = {c.test_id: c for c in CHECKS}
 
-# Checks that report whole groups, however many; the others report up to REPORT_CAP rows.
+# Checks that report whole groups: a caller's `report_cap` does not apply to them.
 UNCAPPED = frozenset({"row_count_match", "no_duplicates_pk", "referential_integrity"})
 
 # What a comparison of one file with one table runs unless told otherwise.

@@ -151,27 +151,80 @@ def run_record(
     suggestions: DataFrame | None = None,
     legacy_rules: bool = False,
 ) -> DataFrame:
-    """The row of the run history for one run, its results kept as details JSON.
+    """The row of the run history for one run; its details JSON holds the summary.
 
-    The results of a run are as many as its checks, so they fit one row.
+    What each mapping found is kept by `run_details`, one row for each.
     """
+    if mode == "schema":
+        raise ValueError("a run over schemas is recorded by schema_record")
     errors = mappings.agg(F.count("error").alias("mapping_errors"))
     summary = suite_summary(run_results, mappings, suggestions).withColumn(
         "mapping_errors", errors.scalar()
     )
     counted = ("total_mappings", "total_tests", "passed", "failed", "errors", "total_suggestions")
-    listed = run_results.agg(F.collect_list(F.struct(*run_results.columns)).alias("r")).scalar()
-    details = F.to_json(
-        F.struct(F.struct(*counted).alias("summary"), listed.alias("predefined_results"))
-    )
+    details = F.to_json(F.struct(F.struct(*counted).alias("summary")))
     return run_status(summary, mode, legacy_rules).select(
+        *_run_columns(project_id, mode, source, target),
+        "total_tests",
+        F.col("passed").alias("passed_tests"),
+        F.col("failed").alias("failed_tests"),
+        details.alias("details"),
+    )
+
+
+def _run_columns(project_id: str | None, mode: str, source: str, target: str) -> list[Column]:
+    return [
         F.lit(project_id).alias("project_id"),
         F.lit(MODES[mode]).alias("comparison_mode"),
         F.lit(source).alias("source"),
         F.lit(target).alias("target"),
         F.col("run_status").alias("status"),
-        "total_tests",
-        F.col("passed").alias("passed_tests"),
-        F.col("failed").alias("failed_tests"),
+    ]
+
+
+def schema_record(
+    summary: DataFrame, source: str, target: str, project_id: str | None = None
+) -> DataFrame:
+    """The row of the run history for a run over schemas.
+
+    summary: total_tables and total_issues (see `schema_summary`); tables count as tests
+    and issues as failed, so a table with several issues counts as often.
+    """
+    details = F.to_json(F.struct(F.struct("total_tables", "total_issues").alias("summary")))
+    return run_status(summary, "schema").select(
+        *_run_columns(project_id, "schema", source, target),
+        F.col("total_tables").alias("total_tests"),
+        F.greatest(F.col("total_tables") - F.col("total_issues"), F.lit(0)).alias("passed_tests"),
+        F.col("total_issues").alias("failed_tests"),
         details.alias("details"),
     )
+
+
+def run_details(
+    run_results: DataFrame,
+    mappings: DataFrame,
+    execution_id: str,
+    suggestions: DataFrame | None = None,
+) -> DataFrame:
+    """A row for each mapping of a run: row counts, error, results and suggestions as JSON.
+
+    What is gathered in a row are the checks of one mapping.
+    """
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        fields = F.struct(*(c for c in rows.columns if c != "mapping_id"))
+        found = F.to_json(F.sort_array(F.collect_list(fields)))
+        return rows.groupBy("mapping_id").agg(found.alias(name))
+
+    out = mappings.join(listed(run_results, "predefined_results"), "mapping_id", "left")
+    if suggestions is None:
+        out = out.withColumn("suggestions", F.lit(None).cast("string"))
+    else:
+        out = out.join(listed(suggestions, "suggestions"), "mapping_id", "left")
+    return out.select(
+        F.lit(execution_id).alias("execution_id"), "mapping_id", "source", "target", "error",
+        F.col("file_row_count").alias("source_row_count"),
+        F.col("table_row_count").alias("target_row_count"),
+        F.coalesce("predefined_results", F.lit("[]")).alias("predefined_results"),
+        F.coalesce("suggestions", F.lit("[]")).alias("suggestions"),
+    )

@@ -279,8 +279,24 @@ def metrics(source: DataFrame | None, target: DataFrame, plans: Iterable[Planned
     return reduce(DataFrame.unionByName, parts)
 
 
+# What the messages of lost executors, cancelled jobs and ended sessions contain.
+_ENGINE_FAILURES = (
+    "ExecutorLostFailure", "OutOfMemoryError", "was cancelled", "SparkContext was shut down",
+    "FetchFailed", "stopped SparkContext",
+)
+
+
+def is_engine_failure(error: Exception) -> bool:
+    """Whether the cluster failed rather than a check or its data."""
+    return any(x in str(error) for x in _ENGINE_FAILURES)
+
+
 def _counted(source: DataFrame | None, target: DataFrame, plans: list[Planned]) -> dict:
-    """Values by metric. A check that fails is marked on its plan and has no value."""
+    """Values by metric. A check that fails is marked on its plan and has no value.
+
+    Only what may be the data's or a check's fault is tried again in smaller parts. If
+    the cluster fails, running the same scans once more would not help.
+    """
 
     def collect(frame: DataFrame) -> dict:
         return {r.metric: r.value for r in frame.collect()}
@@ -288,13 +304,18 @@ def _counted(source: DataFrame | None, target: DataFrame, plans: list[Planned])
     planned = [p for p in plans if p.error is None]
     try:
         return collect(metrics(source, target, planned))
-    except Exception:  # find out which; the row checks keep sharing their scan if they can
-        pass
+    except Exception as e:  # find out which; the row checks share their scan if they can
+        if is_engine_failure(e):
+            raise
+        _log.warning("checks failed together and are run apart", exc_info=True)
     rows = [p for p in planned if p.predicate]
     alone = [p for p in planned if not p.predicate]
     try:
         found = collect(metrics(source, target, rows))
-    except Exception:
+    except Exception as e:
+        if is_engine_failure(e):
+            raise
+        _log.warning("row checks failed together and are run apart", exc_info=True)
         found = collect(metrics(source, target, []))
         alone = planned
     for p in alone:
@@ -308,11 +329,13 @@ def _counted(source: DataFrame | None, target: DataFrame, plans: list[Planned])
     return found
 
 
-def _result(mapping_id: str, p: Planned, violating: int | None) -> tuple:
+def _result(
+    mapping_id: str, p: Planned, violating: int | None, report_cap: int | None
+) -> tuple:
     c = p.check
     reported = violating or 0
-    if c.test_id not in registry.UNCAPPED:
-        reported = min(reported, registry.REPORT_CAP)
+    if report_cap is not None and c.test_id not in registry.UNCAPPED:
+        reported = min(reported, report_cap)
     status = "ERROR" if p.error else "PASS" if violating == 0 else "FAIL"
     return (
         mapping_id, p.position, c.test_id, c.test_name, c.category, c.severity, status,
@@ -378,7 +401,11 @@ def _suggested(loaded: LoadedMapping) -> list[tuple]:
 
 
 def _run_one(
-    spark: SparkSession, mapping: Mapping, tables: Tables, required: Iterable[str]
+    spark: SparkSession,
+    mapping: Mapping,
+    tables: Tables,
+    required: Iterable[str],
+    report_cap: int | None,
 ) -> _Outcome:
     started = time.monotonic()
 
@@ -397,7 +424,7 @@ def _run_one(
             source_rows = found[SOURCE_ROWS]
         target_rows = found[TARGET_ROWS]
         rows = [_row_count_result(mapping.mapping_id, source_rows, target_rows)]
-        rows += [_result(mapping.mapping_id, p, found.get(p.metric)) for p in plans]
+        rows += [_result(mapping.mapping_id, p, found.get(p.metric), report_cap) for p in plans]
         suggested = _suggested(loaded) if mapping.auto_suggest else []
         return _Outcome(about(source_rows, target_rows), rows, suggested)
     except Exception as e:  # a mapping that cannot be read has an error and no results
@@ -410,11 +437,12 @@ def _run_all(
     tables: Tables,
     required: MappingType[str, Iterable[str]] | None,
     parallel: int,
+    report_cap: int | None,
 ) -> list[_Outcome]:
     required = required or {}
 
     def run(mapping: Mapping) -> _Outcome:
-        return _run_one(spark, mapping, tables, required.get(mapping.target, ()))
+        return _run_one(spark, mapping, tables, required.get(mapping.target, ()), report_cap)
 
     if parallel > 1 and len(mappings) > 1:
         with ThreadPoolExecutor(parallel) as pool:
@@ -428,21 +456,28 @@ def run_suite(
     tables: Tables,
     required: MappingType[str, Iterable[str]] | None = None,
     parallel: int = 4,
+    report_cap: int | None = None,
 ) -> Run:
     """Run every mapping, `parallel` of them at a time on one cluster.
 
     required: columns that must be filled, by table, where a mapping names none.
+    report_cap: the most rows that `rows_affected` of a row-level check reports, if it
+    is to be limited; `rows_violating` is the full number in any case.
     """
     mappings = list(mappings)
     if not mappings:
         raise ValueError("no active mappings")
-    return _as_run(spark, _run_all(spark, mappings, tables, required, parallel))
+    return _as_run(spark, _run_all(spark, mappings, tables, required, parallel, report_cap))
 
 
 def run_mapping(
-    spark: SparkSession, mapping: Mapping, tables: Tables, required: Iterable[str] = ()
+    spark: SparkSession,
+    mapping: Mapping,
+    tables: Tables,
+    required: Iterable[str] = (),
+    report_cap: int | None = None,
 ) -> Run:
-    return run_suite(spark, [mapping], tables, {mapping.target: required}, parallel=1)
+    return run_suite(spark, [mapping], tables, {mapping.target: required}, 1, report_cap)
 
 
 def run_single_file(
@@ -453,6 +488,7 @@ def run_single_file(
     required: Iterable[str] = (),
     enabled_test_ids: Iterable[str] = (),
     auto_suggest: bool = True,
+    report_cap: int | None = None,
 ) -> Run:
     """Compare one file, or a pattern of files, with one table."""
     dataset, _, table = target.rpartition(".")
@@ -464,7 +500,7 @@ def run_single_file(
         enabled_test_ids=tuple(enabled_test_ids) or registry.SINGLE_FILE_CHECKS,
         auto_suggest=auto_suggest,
     )
-    return run_mapping(spark, mapping, tables, required)
+    return run_mapping(spark, mapping, tables, required, report_cap)
 
 
 def run_config(
@@ -473,6 +509,7 @@ def run_config(
     tables: Tables,
     required: MappingType[str, Iterable[str]] | None = None,
     parallel: int = 4,
+    report_cap: int | None = None,
 ) -> Run:
     """Run the active mappings of a configuration table.
 
@@ -487,7 +524,8 @@ def run_config(
             bad.append(_Outcome((row.mapping_id, None, row.target_table, None, None, str(e), 0)))
     if not good and not bad:
         raise ValueError("no active mappings")
-    return _as_run(spark, _run_all(spark, good, tables, required, parallel) + bad)
+    ran = _run_all(spark, good, tables, required, parallel, report_cap)
+    return _as_run(spark, ran + bad)
 
 
 def mapping_metrics(

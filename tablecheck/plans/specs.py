@@ -13,7 +13,7 @@ from . import registry
 KEY_NAMES = ("id", "key", "uuid", "guid")
 
 CONFIG_TYPES = {
-    "numeric_range": ("numeric_range_checks", "map<string,struct<min:double,max:double>>"),
+    "numeric_range": ("numeric_range_checks", "map<string,struct<min:string,max:string>>"),
     "date_range": ("date_range_checks", "map<string,struct<min_date:string,max_date:string>>"),
     "referential_integrity": (
         "foreign_key_checks",
@@ -63,7 +63,8 @@ def check_specs(config: DataFrame) -> DataFrame:
             return F.struct(
                 F.lit(check).alias("test_id"),
                 entry["key"].alias("column_name"),
-                *(given.get(k, F.lit(None)).cast(t).alias(k) for k, t in _SPEC.items()),
+                # a number may be written as text; one that is not a number is NULL
+                *(given.get(k, F.lit(None)).try_cast(t).alias(k) for k, t in _SPEC.items()),
             )
 
         found = F.transform(F.map_entries(decode(config, check)), spec)

@@ -22,11 +22,9 @@ SCHEMA = (
     " severity string, sql_query string, reasoning string, estimated_failures bigint"
 )
 
-# A text column with at most this many values is taken to be a list of codes.
-MAX_CODES = 20
-# Distinct values are estimated with a standard error of 5 %; a column that reaches this
-# share of its rows may be a key, and is then counted exactly.
-KEY_SHARE = 0.75
+# Distinct values are first estimated with a standard error of 5 %. A column whose estimate
+# is within this factor of a limit is counted exactly, and the exact number decides.
+MARGIN = 1.25
 # Kinds of column that may identify a row.
 KEY_KINDS = frozenset({"INTEGER", "NUMERIC", STRING})
 
@@ -47,7 +45,7 @@ def _rules(df: DataFrame, profile: list[Row], codes: dict[str, list[str]]) -> li
         name, column = p.column_name, quote_part(p.column_name)
         if not p.n_values:
             continue
-        key_like = p.kind in KEY_KINDS and p.approx_distinct >= KEY_SHARE * p.n_values
+        key_like = p.kind in KEY_KINDS and p.approx_distinct * MARGIN >= p.n_values
         if not p.n_nulls:
             rules.append(_Rule(name, f"{name} is never NULL", "completeness", "MEDIUM",
                                f"none of {p.rows} rows lacks {name}", f"{column} IS NULL"))
@@ -77,18 +75,18 @@ def _rules(df: DataFrame, profile: list[Row], codes: dict[str, list[str]]) -> li
     return rules
 
 
-def _codes(df: DataFrame, profile: list[Row]) -> dict[str, list[str]]:
-    """Values of text columns the profile found to have few; one scan of those columns."""
+def _codes(df: DataFrame, profile: list[Row], max_codes: int) -> dict[str, list[str]]:
+    """Values of text columns that have at most `max_codes`; one scan of those columns."""
     names = [
         p.column_name for p in profile
-        if p.kind == STRING and p.n_values and p.approx_distinct <= MAX_CODES
+        if p.kind == STRING and p.n_values and p.approx_distinct <= MARGIN * max_codes
     ]
     if not names:
         return {}
     sets = df.agg(
         *(F.array_sort(F.collect_set(quote_part(c))).alias(f"s{i}") for i, c in enumerate(names))
     ).first()
-    return {c: values for c, values in zip(names, sets) if len(values) <= MAX_CODES}
+    return {c: values for c, values in zip(names, sets) if len(values) <= max_codes}
 
 
 def suggest_checks(
@@ -97,19 +95,21 @@ def suggest_checks(
     target_name: str,
     learn_from: DataFrame | None = None,
     already: Iterable[tuple[str, str]] = (),
+    max_codes: int = 20,
 ) -> DataFrame:
     """Checks that hold for `learn_from` (the source, or the target itself) and how many
     rows of the target fail them.
 
-    already: (column, category) pairs that need no suggestion. The rows collected on the
-    way are one per column. Uniqueness is only suggested where it is exact.
+    already: (column, category) pairs that need no suggestion. max_codes: a text column
+    with at most that many values is taken to be a list of codes. The rows collected on
+    the way are one per column. Uniqueness is only suggested where it is exact.
     """
     basis = target if learn_from is None else learn_from
     spark = target.sparkSession
     profile = column_profile(basis).collect()
     skip = set(already)
     rules = [
-        r for r in _rules(basis, profile, _codes(basis, profile))
+        r for r in _rules(basis, profile, _codes(basis, profile, max_codes))
         if (r.column, r.category) not in skip
     ]
     keys = [r for r in rules if r.predicate is None]

@@ -11,7 +11,7 @@ from ..functions.sqltext import quote_part
 
 FORMATS = ("csv", "json", "parquet", "avro")  # avro needs the spark-avro package
 
-_EXTRA, _CORRUPT = "__extra_field", "__corrupt_record"
+_CORRUPT = "__corrupt_record"
 
 
 class SourceError(ValueError):
@@ -37,6 +37,9 @@ class SourceFiles:
     options: dict = field(default_factory=dict)
 
     def __post_init__(self):
+        for name in ("root", "path", "format"):
+            if not isinstance(getattr(self, name), str):
+                raise SourceError(f"a source needs a {name}, not {getattr(self, name)!r}")
         if self.format not in FORMATS:
             raise SourceError(f"format {self.format!r} is not one of {', '.join(FORMATS)}")
         if self.files not in ("all", "first"):
@@ -101,7 +104,9 @@ def read(
     """The rows of the source; CSV columns are strings unless a schema is given."""
     reader = spark.read.format(source.format)
     if source.format == "csv":
-        reader = reader.options(**_csv_options(source))
+        # without a schema, every file's header is compared with the first's
+        strict = {} if schema is not None else {"enforceSchema": "false"}
+        reader = reader.options(**_csv_options(source), **strict)
     else:
         reader = reader.options(**source.options)
     if schema is not None:
@@ -136,27 +141,54 @@ def head(spark: SparkSession, source: SourceFiles, n: int = 100) -> DataFrame:
 def _csv_with_extras(spark: SparkSession, source: SourceFiles) -> DataFrame:
     """CSV rows as (is_extra), TRUE where a row has more fields than the header.
 
-    The schema has one field more than the header, so a normal row is one short.
-    A short row is padded, as loaders do; a row that fills the extra field is not.
+    A row as wide as the header is done with. Of others the text is kept, and its
+    separators outside quotes are counted: a short row is padded, as loaders do; a longer
+    one is not.
     """
     paths = resolve(spark, source)
-    header = spark.read.format("csv").options(**_csv_options(source)).load(paths).schema
+    options = _csv_options(source)
+    header = spark.read.format("csv").options(**options).load(paths).schema
     schema = T.StructType(
-        [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
-        + [T.StructField(_EXTRA, T.StringType()), T.StructField(_CORRUPT, T.StringType())]
+        [T.StructField(f.name, T.StringType()) for f in header]
+        + [T.StructField(_CORRUPT, T.StringType())]
     )
     rows = (
         spark.read.format("csv")
-        .options(**_csv_options(source))
+        .options(**options)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("columnPruning", "false")
         .schema(schema)
         .load(paths)
     )
-    return rows.withColumn(
-        "is_extra", F.col(_CORRUPT).isNull() | F.col(_EXTRA).isNotNull()
+    separator = options.get("sep", options.get("delimiter", ","))
+    quote = re.escape(options.get("quote", '"'))
+    plain = F.regexp_replace(_CORRUPT, f"(?s){quote}(?:[^{quote}]|{quote}{quote})*{quote}", "")
+    fields = F.size(F.split(plain, re.escape(separator), -1))
+    if not len(header):  # an empty file, which the caller reports
+        return rows.withColumn("is_extra", F.lit(False))
+    # Spark wants another column to be read along with the rows' text; this is always true.
+    first = F.col(quote_part(header[0].name))
+    read_too = first.isNull() | (F.length(first) >= 0)
+    is_extra = F.col(_CORRUPT).isNotNull() & (fields > len(header)) & read_too
+    return rows.withColumn("is_extra", is_extra)
+
+
+def one_header(spark: SparkSession, source: SourceFiles) -> None:
+    """Raises SourceError if files of a CSV source begin with different headers.
+
+    Lines are read as text, which costs little next to decoding them; a file begins in one
+    task, so its first line is the one with the smallest id there.
+    """
+    lines = spark.read.text(resolve(spark, source)).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
     )
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    found = first.groupBy(F.rtrim("header")).agg(F.min("path").alias("path")).limit(2).collect()
+    if len(found) > 1:
+        raise SourceError(f"the headers of {found[0].path} and {found[1].path} differ")
 
 
 def _rows_to_count(spark: SparkSession, source: SourceFiles) -> tuple[DataFrame, Column]:
@@ -200,6 +232,8 @@ def row_count(spark: SparkSession, source: SourceFiles) -> int:
     """
     if source.format not in ("csv", "json"):
         return read(spark, source).count()
+    if source.format == "csv" and "*" in source.path:
+        one_header(spark, source)
     row = (
         count_by_file(spark, source)
         .agg(

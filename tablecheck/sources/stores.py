@@ -113,6 +113,21 @@ RUN_HISTORY = _schema(
     failed_tests="long",
     details="string",
 )
+# One row for each mapping of a run: what it found, kept apart from the run's own row so
+# that neither grows with the number of mappings.
+RUN_DETAILS = _schema(
+    execution_id="string",
+    mapping_id="string",
+    source="string",
+    target="string",
+    error="string",
+    source_row_count="long",
+    target_row_count="long",
+    predefined_results="string",
+    suggestions="string",
+    executed_at="timestamp",
+)
+
 CUSTOM_CHECKS = _schema(
     test_id="string",
     created_at="timestamp",
@@ -126,7 +141,10 @@ CUSTOM_CHECKS = _schema(
     is_active="boolean",
 )
 
-_VERSION, _DATE = "record_version", "run_date"
+_VERSION, _WRITTEN, _TAG, _DATE = "record_version", "record_written", "record_tag", "run_date"
+#: Which of two rows of a record is newer: its version; of equal versions, which concurrent
+#: writers can give, the one written later; of those, either, but the same for every reader.
+_ORDER = (_VERSION, _WRITTEN, _TAG)
 
 
 @dataclass(frozen=True)
@@ -134,7 +152,7 @@ class Store:
     """One table below `path`.
 
     `key` names the column that identifies a record; `date_column` the timestamp whose
-    day partitions the files, so that a reader of recent rows prunes the rest.
+    day partitions the files, so that `newest` prunes the rest.
     """
 
     spark: SparkSession
@@ -154,21 +172,39 @@ class Store:
         if self.key:
             version = F.col(_VERSION) if _VERSION in rows.columns else F.lit(1)
             out.append(version.cast("long").alias(_VERSION))
+            out += [F.current_timestamp().alias(_WRITTEN), F.uuid().alias(_TAG)]
         return rows.select(*out)
 
     def append(self, rows: DataFrame, **defaults: Column) -> None:
+        """Write rows as they are; each day's go to few files, a large day's to several."""
         shaped = self._shaped(rows, defaults)
         writer = shaped.write.mode("append")
         if self.date_column:
             shaped = shaped.withColumn(_DATE, F.to_date(self.date_column))
+            shaped = shaped.hint("rebalance", F.col(_DATE))
             writer = shaped.write.mode("append").partitionBy(_DATE)
         writer.parquet(self.path)
 
+    def add(self, rows: DataFrame, **defaults: Column) -> None:
+        """Append records as the newest version of their key.
+
+        A key given twice is refused: neither row would be the right one to keep.
+        """
+        if self.key in rows.columns:
+            named = rows.where(F.col(self.key).isNotNull())
+            twice = named.groupBy(self.key).count().where("count > 1").limit(5).collect()
+            if twice:
+                raise ValueError(f"{self.key} given more than once: {[r[0] for r in twice]}")
+            last = self.versions().groupBy(self.key).agg(F.max(_VERSION).alias(_VERSION))
+            version = F.coalesce(F.col(_VERSION), F.lit(0)) + 1
+            rows = rows.join(last, self.key, "left").withColumn(_VERSION, version)
+        self.append(rows, **defaults)
+
     def versions(self) -> DataFrame:
         """Every row ever appended; no rows before the first append."""
         schema = T.StructType(list(self.schema.fields))
         if self.key:
-            schema = schema.add(_VERSION, "long")
+            schema = schema.add(_VERSION, "long").add(_WRITTEN, "timestamp").add(_TAG, "string")
         if self.date_column:
             schema = schema.add(_DATE, "date")
         try:
@@ -182,9 +218,24 @@ class Store:
         """The latest version of every record; all rows where there is no key."""
         return self._latest().drop(_VERSION) if self.key else self.versions().drop(_DATE)
 
+    def newest(self, limit: int, condition: Column | str = "true") -> DataFrame:
+        """At least the `limit` newest rows that meet the condition, whole days at a time.
+
+        Rows are counted by day first, without reading more than the condition needs; then
+        only the files of the days that reach `limit` are read.
+        """
+        rows = self.versions().where(condition)
+        days = rows.groupBy(_DATE).count().orderBy(F.desc(_DATE)).collect()  # one row a day
+        found, first = 0, None
+        for day in days:
+            found, first = found + day["count"], day[_DATE]
+            if found >= limit:
+                break
+        return rows.where(F.col(_DATE) >= F.lit(first)).drop(_DATE)
+
     def _latest(self) -> DataFrame:
         names = [f.name for f in self.schema.fields] + [_VERSION]
-        last = F.max_by(F.struct(*names), F.col(_VERSION)).alias("last")
+        last = F.max_by(F.struct(*names), F.struct(*_ORDER)).alias("last")
         return self.versions().groupBy(self.key).agg(last).select("last.*")
 
     def change(self, condition: Column | str, **changes: Column) -> None:
@@ -198,8 +249,9 @@ def config_store(spark: SparkSession, path: str) -> Store:
 
 
 def add_mappings(store: Store, rows: DataFrame) -> None:
+    """Store mappings; one that is there already, also if switched off, is replaced."""
     now = F.current_timestamp()
-    store.append(
+    store.add(
         rows, auto_suggest=F.lit(True), is_active=F.lit(True), created_at=now, updated_at=now
     )
 
@@ -308,6 +360,11 @@ def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
     return runs.orderBy(F.col("timestamp").desc(), "execution_id").limit(limit)
 
 
+def newest_runs(store: Store, limit: int = 50) -> DataFrame:
+    """`recent_runs` of a store, reading only the days that hold them."""
+    return recent_runs(store.newest(limit), limit)
+
+
 def check_history_store(spark: SparkSession, path: str) -> Store:
     return Store(spark, path, CHECK_HISTORY, date_column="executed_at")
 
@@ -322,3 +379,17 @@ def mapping_history(checks: DataFrame, mapping_id: str, limit: int = 100) -> Dat
         .orderBy(F.col("executed_at").desc(), "execution_id", "test_id")
         .limit(limit)
     )
+
+
+def newest_of_mapping(store: Store, mapping_id: str, limit: int = 100) -> DataFrame:
+    """`mapping_history` of a store, reading only the days that hold it."""
+    rows = store.newest(limit, F.col("mapping_id") == mapping_id)
+    return mapping_history(rows, mapping_id, limit)
+
+
+def run_details_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, RUN_DETAILS, date_column="executed_at")
+
+
+def log_run_details(store: Store, rows: DataFrame) -> None:
+    store.append(rows, executed_at=F.current_timestamp())

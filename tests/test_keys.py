@@ -39,14 +39,19 @@ def test_duplicates_with_a_hot_key_against_brute_force(spark):
     assert rows(no_duplicates_pk(df, ["k"])) == expected
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_full_row_duplicates_both_ways(spark, limit):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_full_row_duplicates_in_any_plan(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     data = hot()
     df = spark.createDataFrame(data, "k int, t string")
-    expected = sorted((*row, n) for row, n in Counter(data).items() if n > 1)
-    assert rows(full_row_duplicates(df, broadcast_limit=limit)) == expected
+    jobs = spark.sparkContext.statusTracker()
+    before = max(jobs.getJobIdsForGroup(None), default=-1)
+    found = full_row_duplicates(df)
+    assert max(jobs.getJobIdsForGroup(None), default=-1) == before  # building starts no job
+    assert rows(found) == sorted((*row, n) for row, n in Counter(data).items() if n > 1)
     with_null = spark.createDataFrame([(None, "a"), (None, "a"), (1, None)], "k int, t string")
-    assert rows(full_row_duplicates(with_null, broadcast_limit=limit)) == [(None, "a", 2)]
+    assert rows(full_row_duplicates(with_null)) == [(None, "a", 2)]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_orphans_ignore_null_and_count_occurrences(spark):

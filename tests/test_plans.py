@@ -97,14 +97,15 @@ def test_reported_sql_finds_as_many_rows(spark, people, tables):
         assert r.status != "ERROR" and spark.sql(r.sql_query).count() == r.rows_violating, r.test_id
 
 
-def test_report_is_capped_but_the_count_is_not(spark):
+@pytest.mark.parametrize("cap, reported", [(None, 1000), (100, 100)])
+def test_a_report_is_only_capped_on_request(spark, cap, reported):
     df = spark.range(1000).select(F.lit(None).cast("string").alias("v"), (F.col("id") % 300)
                                   .alias("id"))
     m = Mapping("m", df, "t", required_columns=("v",))
-    results = {r.test_id: r for r in run_mapping(spark, m, T.from_frames({"t": df}))
-               .results.collect()}
+    run = run_mapping(spark, m, T.from_frames({"t": df}), report_cap=cap)
+    results = {r.test_id: r for r in run.results.collect()}
     nulls, keys = results["no_nulls_required"], results["no_duplicates_pk"]
-    assert (nulls.rows_affected, nulls.rows_violating) == (100, 1000)
+    assert (nulls.rows_affected, nulls.rows_violating) == (reported, 1000)
     assert (keys.rows_affected, keys.rows_violating) == (300, 300)
 
 
@@ -416,9 +417,26 @@ def test_a_run_becomes_one_row_of_the_history(spark, tmp_path, people, tables):
     assert len({r.execution_id for r in saved}) == 2
     details = json.loads(saved[0].details)
     assert details["summary"]["total_mappings"] == 2
-    assert len(details["predefined_results"]) == 7
     again = rollups.summary_from_details(store.read()).collect()
     assert {tuple(r)[1:] for r in again} == {(7, 2, 5, 0)}
+    found = {r.mapping_id: r for r in rollups.run_details(
+        run.results, run.mappings, "e", run.suggestions).collect()}
+    assert len(json.loads(found["m"].predefined_results)) == 7 and found["m"].error is None
+    assert json.loads(found["gone"].predefined_results) == [] and found["gone"].error
+    with pytest.raises(ValueError, match="schema_record"):
+        rollups.run_record(run.results, run.mappings, "schema", "a", "b")
+
+
+def test_a_row_without_a_bucket_is_its_own_error(spark, people, tables, tmp_path):
+    people.write.option("header", "true").csv(str(tmp_path / "p"))
+    rows = [("good", str(tmp_path), "p/*.csv"), ("bad", None, "p/*.csv"), ("none", str(tmp_path), None)]
+    config = spark.createDataFrame(rows, "mapping_id string, source_bucket string, source_file_path string")
+    config = config.selectExpr(
+        "*", "'csv' AS source_file_format", "'people' AS target_table", "true AS is_active",
+        "cast(NULL AS string) AS target_dataset", "false AS auto_suggest")
+    found = {r.mapping_id: r for r in run_config(spark, config, tables).mappings.collect()}
+    assert found["good"].error is None and found["good"].file_row_count == 5
+    assert "needs a root" in found["bad"].error and "needs a path" in found["none"].error
 
 
 def test_a_format_without_its_reader_is_the_mapping_s_error(spark, people, tables):

@@ -138,3 +138,29 @@ def test_catalog_tables(spark, tmp_path):
 def test_metadata_of_a_frame_without_files(spark):
     size = T.metadata(T.from_frames({"x": spark.range(4)}), ["x"]).first()
     assert size.num_rows == 4 and size.created is None
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+@pytest.mark.parametrize("row, wrong", [
+    ("3,4,,9", True), ("3,4,,", True), ('"a,b",c', False), ('"a ""x"", b",c', False),
+    ('"a,b",c,"d,e"', True), ("5", False), (",", False), (",,", True),
+])
+def test_surplus_fields_are_counted_outside_quotes(spark, tmp_path, row, wrong, multiline):
+    write(tmp_path, "a.csv", f"a,b\n1,2\n{row}\n")
+    found = files.count_by_file(spark, SourceFiles(str(tmp_path), "a.csv", multiline=multiline)).first()
+    assert (found.rows, found.malformed_rows) == (2, int(wrong))
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    write(tmp_path, "a.csv", "id,name\n1,x\n")
+    write(tmp_path, "b.csv", "name,id\ny,2\n")
+    source = SourceFiles(str(tmp_path), "*.csv")
+    for read in (lambda: files.read(spark, source).collect(), lambda: files.row_count(spark, source)):
+        with pytest.raises(Exception, match="(?i)header"):
+            read()
+
+
+def test_a_source_without_a_place_is_refused():
+    for bad in ((None, "x"), ("x", None), (3, "x")):
+        with pytest.raises(SourceError, match="needs a"):
+            SourceFiles(*bad)

@@ -94,3 +94,36 @@ def test_check_definitions_are_seeded_once(spark, tmp_path):
     assert len(rows) == store.versions().count() == 8
     assert rows["numeric_range"].is_system and not rows["numeric_range"].is_global
     assert rows["numeric_range"].created_by == "system" and rows["numeric_range"].created_at
+
+
+def test_a_mapping_added_again_replaces_the_one_switched_off(spark, tmp_path):
+    store = stores.config_store(spark, str(tmp_path / "config"))
+    schema = "mapping_id string, target_table string"
+    stores.add_mappings(store, spark.createDataFrame([("m", "old"), ("n", "t")], schema))
+    stores.set_mapping_active(store, "m", False)
+    stores.add_mappings(store, spark.createDataFrame([("m", "new")], schema))
+    active = {r.mapping_id: r.target_table for r in stores.active_mappings(store.read()).collect()}
+    assert active == {"m": "new", "n": "t"}
+    with pytest.raises(ValueError, match="more than once"):
+        stores.add_mappings(store, spark.createDataFrame([("x", "a"), ("x", "b")], schema))
+
+
+def test_rows_of_one_version_are_ordered_for_every_reader(spark, tmp_path):
+    store = stores.config_store(spark, str(tmp_path / "config"))
+    for table in "abc":  # as concurrent writers would
+        store.append(spark.createDataFrame([("m", table)], "mapping_id string, target_table string"))
+    assert {store.read().first().target_table for _ in range(3)} == {"c"}
+
+
+def test_a_day_is_one_file_and_newest_reads_few_days(spark, tmp_path):
+    store = stores.run_history_store(spark, str(tmp_path / "runs"))
+    runs = spark.range(0, 4000, 1, 8).select(
+        F.col("id").cast("string").alias("execution_id"),
+        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 20 AS int))").alias("timestamp"))
+    stores.log_runs(store, runs)
+    assert len(list((tmp_path / "runs").glob("run_date=*/*.parquet"))) == 20
+    newest = stores.newest_runs(store, 50)
+    assert newest.collect() == stores.recent_runs(store.read(), 50).collect()
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_date" in plan
+    assert store.newest(10_000).count() == 4000 and store.newest(5, "status = 'no'").count() == 0

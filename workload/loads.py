@@ -212,11 +212,20 @@ def suggestion_review(spark, sf_dir):
     FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) > 90
 """)
 def json_config_explode(spark, sf_dir):
-    events = load(spark, sf_dir, "events")
-    settings = events.select(
-        "event_id", F.explode(F.from_json("props", "map<string,double>")).alias("setting", "bound")
+    """Settings of one mapping for each event, decoded and exploded; numbers as text too."""
+    number = F.get_json_object("props", "$.k")
+    as_text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), number, F.lit('"')))
+    bound = F.coalesce(as_text, number)
+    config = load(spark, sf_dir, "events").select(
+        F.col("event_id").alias("mapping_id"),
+        F.concat(F.lit('{"k": {"min": '), bound, F.lit("}}")).alias("numeric_range_checks"),
+        *(F.lit(None).cast("string").alias(name)
+          for name in ("date_range_checks", "foreign_key_checks", "pattern_checks")),
     )
-    return settings.where("bound > 90")
+    return specs.check_specs(config).select(
+        F.col("mapping_id").alias("event_id"), F.col("column_name").alias("setting"),
+        F.col("min").alias("bound"),
+    ).where("bound > 90")
 
 
 @query("""
@@ -379,6 +388,11 @@ def single_file_comparison(spark, sf_dir):
     return run.results.select("test_id", "status", "rows_violating")
 
 
+KEY_CANDIDATES = (
+    [("nation", "n_regionkey"), ("customer", "c_nationkey"), ("lineitem", "l_partkey")],
+    [("region", "r_regionkey"), ("nation", "n_nationkey"), ("part", "p_partkey")],
+)
+
 _MODEL = [
     ("customer", "c_custkey", "bigint", False, None, None),
     ("customer", "c_name", "BIGNUMERIC", False, None, None),
@@ -428,10 +442,7 @@ def schema_findings(spark, sf_dir):
     model = spark.createDataFrame(_MODEL, conformance.MODEL_SCHEMA)
     findings = validate_schema(
         spark, model, T.from_directory(spark, sf_dir), ("customer", "part", "nation", "region"),
-        key_candidates=(
-            [("nation", "n_regionkey"), ("customer", "c_nationkey"), ("lineitem", "l_partkey")],
-            [("region", "r_regionkey"), ("nation", "n_nationkey"), ("part", "p_partkey")],
-        ),
+        key_candidates=KEY_CANDIDATES,
     )
     return findings.select(
         "test_name", "status", "severity", "table_name", "column_name", "rows_violating"
