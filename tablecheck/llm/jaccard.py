@@ -22,12 +22,13 @@ connected with the pivot against all others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import ascii_lower, bound, kept, steps, texts, words_of
 
@@ -40,9 +41,17 @@ SHINGLE = 5
 FREQUENT = 32
 FREQUENT_LISTED = 100_000
 COUNTED_AT_ONCE = 4_000_000
+#: Of a set's shingles are first in addition to the least number needed; documents that
+#: share less than that with all others can't be linked.
+EXTRA_PERCENT = 7
+#: Sizes of linked sets are within one level: a little more than 100 / PERCENT.
+LEVEL = 1.34
 #: A block of a region has this many documents and shingles at most (or one document).
 BLOCK_DOCS = 1000
 BLOCK_SHINGLES = 1_000_000
+#: Assignments of documents to tasks up to which they are broadcast (about 50 bytes each),
+#: so that only the texts that are sent are shuffled.
+BROADCAST_TASKS = 500_000
 LEAF = 48
 PIVOTS = 8
 
@@ -103,34 +112,43 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
     return np.array([r["shingle"] for r in rows[::-1]], dtype=np.int64)
 
 
+def extra_count(size):
+    """At least so many of its first shingles a set shares with any set linked to it."""
+    return EXTRA_PERCENT * size // 100
+
+
 def first_count(size: int) -> int:
-    """How many of a set's shingles a linked set can't all miss."""
-    return size - -(-PERCENT * size // 100) + 1
+    """How many of a set's shingles are its first: those that a linked set can't all miss,
+    and extra ones, which make it miss fewer."""
+    return size - -(-PERCENT * size // 100) + 1 + extra_count(size)
 
 
 def with_first(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Adds `first`, a set's first shingles in the common order; drops `set`."""
+    """Adds `first`, a set's first shingles in the common order, and `rare`, how many of
+    them are not frequent; drops `set`."""
     order = np.argsort(frequent, kind="stable")
     known = frequent[order]
 
-    def firsts(values: np.ndarray) -> np.ndarray:
+    def firsts(values: np.ndarray) -> tuple[np.ndarray, int]:
         count = first_count(len(values)) if len(values) else 0
         if not len(known):
-            return values[:count]
+            return values[:count], count
         at = np.minimum(np.searchsorted(known, values), len(known) - 1)
         often = known[at] == values
         rare = values[~often]
         if len(rare) >= count:
-            return rare[:count]
+            return rare[:count], count
         last = values[often][np.argsort(order[at[often]], kind="stable")]
-        return np.concatenate([rare, last])[:count]
+        return np.concatenate([rare, last])[:count], len(rare)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = batch.column("set")
             values = arrays.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(arrays.value_lengths().to_numpy(zero_copy_only=False))
-            parts = [firsts(x) for x in np.split(values, ends[:-1])] if len(ends) else []
+            found = [firsts(x) for x in np.split(values, ends[:-1])] if len(ends) else []
+            parts = [x for x, _ in found]
+            rare = pa.array([n for _, n in found], pa.int32())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
             flat = np.concatenate(parts) if parts else np.array([], dtype=np.int64)
             first = pa.ListArray.from_arrays(
@@ -138,11 +156,12 @@ def with_first(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
             )
             others = [batch.column(c) for c in ("doc_id", "n", "key_a", "key_b")]
             yield pa.RecordBatch.from_arrays(
-                [*others, first], names=["doc_id", "n", "key_a", "key_b", "first"]
+                [*others, first, rare],
+                names=["doc_id", "n", "key_a", "key_b", "first", "rare"],
             )
 
     return sets.mapInArrow(
-        cut, "doc_id long, n long, key_a long, key_b long, first array<long>"
+        cut, "doc_id long, n long, key_a long, key_b long, first array<long>, rare int"
     )
 
 
@@ -259,20 +278,57 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def region_members(heads: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, n, pivot: the classes' documents and the pivots of their regions."""
-    rows = (
-        heads.join(classes, ["key_a", "key_b"])
-        .where(F.col("doc_id") == F.col("class_id"))
-        .select("doc_id", "n", F.explode("first").alias("shingle"))
+def region_members(spark: SparkSession, heads: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n, pivot: the classes' documents and the pivots of their regions.
+
+    Sizes are part of a region, as linked sets differ in size by a third at most: a set
+    is in the regions of its own size level and of the next, so neighbouring levels meet.
+    Documents that share too few first shingles with all others are left out.
+    """
+    rows = heads.select("doc_id", F.col("n").cast("int").alias("n"), "rare", F.posexplode("first").alias("at", "shingle"))
+    # Most shingles are in one set only and go at once. A frequent one is never alone, and
+    # might be too many rows for one task, so it isn't asked.
+    one = Window.partitionBy("shingle")
+    rare = (
+        rows.where(F.col("at") < F.col("rare"))
+        .select("doc_id", "n", "shingle")
+        .withColumns({"low": F.min("doc_id").over(one), "high": F.max("doc_id").over(one)})
+        .where(F.col("low") < F.col("high"))
+        .select("doc_id", "n", "shingle")
+    )
+    often = rows.where(F.col("at") >= F.col("rare")).select("doc_id", "n", "shingle")
+    named = heads.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"])
+    level = F.floor(F.log(F.col("n")) / math.log(LEVEL)).cast("int")
+    shared = kept(
+        spark,
+        rare.union(often)
+        .join(named.select("doc_id", "class_id"), "doc_id")
+        .select(F.col("class_id").alias("doc_id"), "n", "shingle")
+        .distinct(),
+        "shared",
+    ).select("*", F.explode(F.array(level, level + 1)).alias("level"))
+    met = (
+        shared.groupBy("shingle", "level")
+        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .where(F.col("low") < F.col("high"))
+        .select("shingle", "level")
     )
+    enough = F.col("met") >= F.greatest(F.floor(F.col("n") * EXTRA_PERCENT / 100), F.lit(1))
+    active = (
+        shared.join(met, ["shingle", "level"])
+        .groupBy("doc_id", "n")
+        .agg(F.count_distinct("shingle").alias("met"))
+        .where(enough)
+        .select("doc_id")
+    )
+    left = kept(spark, shared.join(active, "doc_id"), "left")
     pivots = (
-        rows.groupBy("shingle")
+        left.groupBy("shingle", "level")
         .agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
         .where(F.col("last") > F.col("pivot"))
-        .select("shingle", "pivot")
+        .select("shingle", "level", "pivot")
     )
-    return rows.join(pivots, "shingle").select("doc_id", "n", "pivot").distinct()
+    return left.join(pivots, ["shingle", "level"]).select("doc_id", "n", "pivot").distinct()
 
 
 def blocks_of(members: DataFrame) -> DataFrame:
@@ -289,7 +345,13 @@ def blocks_of(members: DataFrame) -> DataFrame:
 
 def gathered_links(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Links within every task; `tasks` has doc_id and task, a struct."""
-    sent = tasks.groupBy("doc_id").agg(F.collect_set("task").alias("tasks"))
+    sent = kept(
+        docs.sparkSession,
+        tasks.groupBy("doc_id").agg(F.collect_set("task").alias("tasks")),
+        "sent",
+    )
+    if (sent.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_TASKS:
+        sent = F.broadcast(sent)
     return (
         docs.join(sent, "doc_id")
         .select("doc_id", shingles(F.col("text")).alias("set"), "tasks")
@@ -328,7 +390,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     filled = heads.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = filled.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("class_id"))
 
-    members = kept(spark, blocks_of(region_members(filled, classes)), "members")
+    members = kept(spark, blocks_of(region_members(spark, filled, classes)), "members")
     pivot, block, blocks = F.col("pivot"), F.col("block"), F.col("blocks")
     whole = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     whole = rows if unique_ids(heads) else whole
