@@ -46,6 +46,8 @@ COUNTED_AT_ONCE = 4_000_000
 EXTRA_PERCENT = 7
 #: Sizes of linked sets are within one level: a little more than 100 / PERCENT.
 LEVEL = 1.34
+#: The same in millionths of a logarithm, in which sizes are compared; one for rounding.
+NEAR = math.ceil(1e6 * math.log(100 / PERCENT)) + 1
 #: A block of a region has this many documents and shingles at most (or one document).
 BLOCK_DOCS = 1000
 BLOCK_SHINGLES = 1_000_000
@@ -281,47 +283,42 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 def region_members(spark: SparkSession, heads: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, n, pivot: the classes' documents and the pivots of their regions.
 
-    Sizes are part of a region, as linked sets differ in size by a third at most: a set
-    is in the regions of its own size level and of the next, so neighbouring levels meet.
-    Documents that share too few first shingles with all others are left out.
+    Linked sets differ in size by a third at most. So a first shingle counts for a set if
+    one of such a size has it too, and documents with too few of those are left out. Sizes
+    are part of a region as well: a set is in the regions of its own size level and of the
+    next, so neighbouring levels meet.
     """
-    rows = heads.select("doc_id", F.col("n").cast("int").alias("n"), "rare", F.posexplode("first").alias("at", "shingle"))
+    size = F.floor(F.log(F.col("n")) * 1e6).cast("long")
+    rows = heads.select(
+        "doc_id", F.col("n").cast("int").alias("n"), "rare", F.posexplode("first").alias("at", "shingle")
+    )
     # Most shingles are in one set only and go at once. A frequent one is never alone, and
     # might be too many rows for one task, so it isn't asked.
-    one = Window.partitionBy("shingle")
+    near = Window.partitionBy("shingle").orderBy(size).rangeBetween(-NEAR, NEAR)
     rare = (
         rows.where(F.col("at") < F.col("rare"))
         .select("doc_id", "n", "shingle")
-        .withColumns({"low": F.min("doc_id").over(one), "high": F.max("doc_id").over(one)})
-        .where(F.col("low") < F.col("high"))
+        .withColumn("near", F.count("*").over(near))
+        .where(F.col("near") > 1)
         .select("doc_id", "n", "shingle")
     )
     often = rows.where(F.col("at") >= F.col("rare")).select("doc_id", "n", "shingle")
+    shared = kept(spark, rare.union(often), "shared")
+    enough = F.col("met") >= F.greatest(F.floor(F.col("n") * EXTRA_PERCENT / 100), F.lit(1))
+    active = (
+        shared.groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(enough).select("doc_id")
+    )
     named = heads.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"])
+    named = named.select("doc_id", "class_id").join(active, "doc_id")
     level = F.floor(F.log(F.col("n")) / math.log(LEVEL)).cast("int")
-    shared = kept(
+    left = kept(
         spark,
-        rare.union(often)
-        .join(named.select("doc_id", "class_id"), "doc_id")
+        shared.join(named, "doc_id")
         .select(F.col("class_id").alias("doc_id"), "n", "shingle")
-        .distinct(),
-        "shared",
-    ).select("*", F.explode(F.array(level, level + 1)).alias("level"))
-    met = (
-        shared.groupBy("shingle", "level")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .where(F.col("low") < F.col("high"))
-        .select("shingle", "level")
-    )
-    enough = F.col("met") >= F.greatest(F.floor(F.col("n") * EXTRA_PERCENT / 100), F.lit(1))
-    active = (
-        shared.join(met, ["shingle", "level"])
-        .groupBy("doc_id", "n")
-        .agg(F.count_distinct("shingle").alias("met"))
-        .where(enough)
-        .select("doc_id")
+        .distinct()
+        .select("*", F.explode(F.array(level, level + 1)).alias("level")),
+        "left",
     )
-    left = kept(spark, shared.join(active, "doc_id"), "left")
     pivots = (
         left.groupBy("shingle", "level")
         .agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
