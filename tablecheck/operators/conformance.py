@@ -10,10 +10,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.sqltext import quote_column
-from ..functions.typing import NESTED_KINDS, declared_type, field_type, kind_of
+from ..functions.typing import (
+    NESTED_KINDS,
+    NUMBER_KINDS,
+    declared_type,
+    field_type,
+    kind_of,
+)
 from ..session import local_frame
 
 MODEL_SCHEMA = (
@@ -101,7 +107,12 @@ def _conformance(df: DataFrame, declared: Mapping[str, str]) -> DataFrame:
         wanted, found = declared_type(type_name), field_type(df.schema, name)
         nested = kind_of(wanted) in NESTED_KINDS or kind_of(found) in NESTED_KINDS
         if not nested:
-            bad = F.count_if(column.isNotNull() & column.try_cast(wanted).isNull())
+            fitted = column.try_cast(wanted)
+            unfit = fitted.isNull()
+            if kind_of(wanted) in NUMBER_KINDS and kind_of(found) in NUMBER_KINDS:
+                # a number that comes back as another one has lost something
+                unfit = unfit | ~fitted.try_cast(found).eqNullSafe(column)
+            bad = F.count_if(column.isNotNull() & unfit)
         elif wanted == found:
             bad = F.count_if(F.lit(False))
         else:
@@ -141,11 +152,13 @@ def schema_findings(
     actual: DataFrame,
     conversions: DataFrame | None = None,
     implied: DataFrame | None = None,
+    no_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Every difference as a result row.
 
     conversions: `type_conformance` rows with their table_name; implied: rows of
-    `implied_foreign_keys`, reported where the model declares no reference.
+    `implied_foreign_keys`, reported where the model declares no reference; no_keys:
+    (table_name, column_name, reason) of candidates that can't be keys.
     """
     text = F.format_string
     differences = column_differences(model, actual)
@@ -174,6 +187,11 @@ def schema_findings(
                           "n_values", "table_name", column, "declared"),
                      violating=F.col("unconvertible"), column=column)
         )
+    if no_keys is not None:
+        parts.append(
+            _finding(no_keys, "Not a possible key", "INFO", "LOW", F.col("reason"),
+                     column=column)
+        )
     if implied is not None:
         declared = model.where("ref_table IS NOT NULL").select(
             F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column"),
@@ -192,9 +210,31 @@ def schema_findings(
     return reduce(DataFrame.unionByName, parts)
 
 
+_WIDTHS = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4,
+           T.DoubleType: 8}
+
+
+def _holds_all(wanted: T.DataType, found: T.DataType) -> bool:
+    """Whether a declared type of the same kind takes every value of the real one."""
+    if isinstance(wanted, T.DecimalType) and isinstance(found, T.DecimalType):
+        whole = wanted.precision - wanted.scale >= found.precision - found.scale
+        return whole and wanted.scale >= found.scale
+    return _WIDTHS.get(type(wanted), 0) >= _WIDTHS.get(type(found), 0)
+
+
 def declared_differences(model: DataFrame, actual: DataFrame) -> dict[str, dict[str, str]]:
-    """{table: {column: declared type}} where the type differs: the columns to scan."""
+    """{table: {column: declared type}} of the columns to scan: those of another kind, and
+    those whose declared type is narrower than the real one."""
+    declared = _kinds(model).select(
+        "table_name", F.lower("column_name").alias("name"), "kind", F.col("data_type").alias("declared")
+    )
+    real = actual.select(
+        "table_name", F.lower("column_name").alias("name"), "column_name",
+        F.col("kind").alias("found_kind"), F.col("data_type").alias("found_type"),
+    )
     found: dict[str, dict[str, str]] = {}
-    for row in column_differences(model, actual).where("difference = 'type'").collect():
-        found.setdefault(row.table_name, {})[row.column_name] = row.declared
+    for row in declared.join(real, ["table_name", "name"]).where("declared IS NOT NULL").collect():
+        same = row.kind == row.found_kind
+        if not same or not _holds_all(declared_type(row.declared), declared_type(row.found_type)):
+            found.setdefault(row.table_name, {})[row.column_name] = row.declared
     return found

@@ -8,19 +8,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.sqltext import quote_column
-from ..functions.typing import INTEGER, NUMERIC, STRING, field_type, is_id_name, kind_of
+from ..functions.typing import (
+    BYTES,
+    INTEGER,
+    NUMERIC,
+    STRING,
+    TIME_KINDS,
+    field_type,
+    is_id_name,
+    kind_of,
+)
 from ..session import local_frame
 from ..sources.tables import Tables
 
 _BITS = 63  # columns per bigint
+_KEY_KINDS = frozenset({INTEGER, STRING, BYTES, *TIME_KINDS})
+
+
+def not_a_key(tables: Tables, column: tuple[str, str]) -> str | None:
+    """Why a column cannot be a key, if so."""
+    try:
+        _key_kind(*column, field_type(tables(column[0]).schema, column[1]))
+    except Exception as e:  # no such table or column, or a type without exact values
+        return str(e)
+    return None
 
 
 def _key_kind(table: str, name: str, data_type: T.DataType) -> str:
-    """INTEGER or STRING: types whose values mean the same after a cast to string."""
+    """A kind whose values mean the same after a cast to string."""
     kind = kind_of(data_type)
     if kind == NUMERIC and data_type.scale == 0:
         kind = INTEGER
-    if kind not in (INTEGER, STRING):
+    if kind not in _KEY_KINDS:
         raise ValueError(f"{table}.{name} of type {data_type.simpleString()} cannot be a key")
     return kind
 
@@ -35,7 +54,10 @@ def _cells(
 
     def cell(name: str, column_id: int):
         bits = [1 << column_id % _BITS if w == column_id // _BITS else 0 for w in range(words)]
-        value = F.col(quote_column(name, df.schema)).cast(value_type)
+        value = F.col(quote_column(name, df.schema))
+        if kind_of(field_type(df.schema, name)) == BYTES:
+            value = F.hex(value)  # bytes are no text
+        value = value.cast(value_type)
         return F.struct(
             value.alias("value"), *(F.lit(b).cast("long").alias(f"w{w}") for w, b in enumerate(bits))
         )

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import conformance
-from ..operators.inclusion import implied_foreign_keys
+from ..operators.inclusion import implied_foreign_keys, not_a_key
+from ..session import local_frame
 from ..sources import tables as T
 
 
@@ -20,22 +21,34 @@ def validate_schema(
     key_candidates: tuple[Iterable[tuple[str, str]], Iterable[tuple[str, str]]] | None = None,
     min_coverage: float = 1.0,
 ) -> DataFrame:
-    """All findings for the tables listed; only columns of a wrong type are scanned.
+    """All findings for the tables listed; only columns of a wrong or narrower type are
+    scanned.
 
     key_candidates: child and parent columns among which to look for foreign keys that
-    the data implies; those below `min_coverage` are not reported.
+    the data implies; those below `min_coverage` are not reported, and one that cannot be
+    a key is a finding of its own.
     """
+    if key_candidates is not None:
+        key_candidates = tuple(map(list, key_candidates))
     actual = T.columns(spark, tables, names)
     scans = [
         conformance.type_conformance(tables(table), columns).withColumn("table_name", F.lit(table))
         for table, columns in conformance.declared_differences(model, actual).items()
     ]
     conversions = reduce(DataFrame.unionByName, scans) if scans else None
-    implied = None
+    implied = no_keys = None
     if key_candidates is not None:
-        children, parents = key_candidates
-        implied = implied_foreign_keys(tables, children, parents, min_coverage)
-    return conformance.schema_findings(model, actual, conversions, implied)
+        reasons = {
+            column: not_a_key(tables, column)
+            for column in dict.fromkeys(c for side in map(list, key_candidates) for c in side)
+        }
+        children, parents = ([c for c in side if not reasons[c]] for side in key_candidates)
+        if children and parents:
+            implied = implied_foreign_keys(tables, children, parents, min_coverage)
+        bad = [(*column, reason) for column, reason in reasons.items() if reason]
+        if bad:
+            no_keys = local_frame(spark, bad, "table_name string, column_name string, reason string")
+    return conformance.schema_findings(model, actual, conversions, implied, no_keys)
 
 
 def required_columns(model: DataFrame) -> dict[str, list[str]]:

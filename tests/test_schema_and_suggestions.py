@@ -128,3 +128,22 @@ def test_suggestions_learn_from_the_source_and_count_target_failures(spark):
 def test_no_suggestions_for_an_empty_table(spark):
     empty = spark.createDataFrame([], "id int, t string")
     assert suggest_checks("m", empty, "e").count() == 0
+
+
+def test_narrower_types_lossy_values_and_bad_key_candidates(spark):
+    from tablecheck.operators import conformance
+    from tablecheck.plans.conformance import validate_schema
+    from tablecheck.sources import tables as T
+
+    rows = spark.createDataFrame([(1, 1.5, "a"), (1 << 40, 2.0, "b")], "k long, x double, s string")
+    frames = T.from_frames({"t": rows, "u": rows.selectExpr("cast(1 AS int) AS k", "x", "s")})
+    model = spark.createDataFrame(
+        [("t", "k", "int", True, None, None), ("t", "x", "INT64", True, None, None),
+         ("t", "s", "STRING", True, None, None)], conformance.MODEL_SCHEMA)
+    found = validate_schema(spark, model, frames, ["t"], key_candidates=(
+        [("t", "x"), ("t", "s"), ("t", "gone")], [("u", "s")])).collect()
+    counts = {(r.test_name, r.column_name): r.rows_violating for r in found}
+    assert counts["Values of the wrong type", "k"] == 1
+    assert counts["Values of the wrong type", "x"] == 1
+    assert ("Not a possible key", "x") in counts and ("Not a possible key", "gone") in counts
+    assert ("Implied foreign key", "s") in counts
