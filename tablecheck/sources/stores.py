@@ -141,7 +141,7 @@ CUSTOM_CHECKS = _schema(
     is_active="boolean",
 )
 
-_VERSION, _WRITTEN, _TAG, _DATE = "record_version", "record_written", "record_tag", "run_date"
+_VERSION, _WRITTEN, _TAG, _DATE = "record_version", "record_written", "record_tag", "run_month"
 #: Which of two rows of a record is newer: its version; of equal versions, which concurrent
 #: writers can give, the one written later; of those, either, but the same for every reader.
 _ORDER = (_VERSION, _WRITTEN, _TAG)
@@ -152,7 +152,8 @@ class Store:
     """One table below `path`.
 
     `key` names the column that identifies a record; `date_column` the timestamp whose
-    day partitions the files, so that `newest` prunes the rest.
+    month partitions the files, so that `newest` prunes the rest. Years of days would be
+    thousands of folders for a few rows each.
     """
 
     spark: SparkSession
@@ -176,11 +177,11 @@ class Store:
         return rows.select(*out)
 
     def append(self, rows: DataFrame, **defaults: Column) -> None:
-        """Write rows as they are; each day's go to few files, a large day's to several."""
+        """Write rows as they are; each month's go to few files, a large one's to several."""
         shaped = self._shaped(rows, defaults)
         writer = shaped.write.mode("append")
         if self.date_column:
-            shaped = shaped.withColumn(_DATE, F.to_date(self.date_column))
+            shaped = shaped.withColumn(_DATE, F.trunc(self.date_column, "month"))
             shaped = shaped.hint("rebalance", F.col(_DATE))
             writer = shaped.write.mode("append").partitionBy(_DATE)
         writer.parquet(self.path)
@@ -219,16 +220,16 @@ class Store:
         return self._latest().drop(_VERSION) if self.key else self.versions().drop(_DATE)
 
     def newest(self, limit: int, condition: Column | str = "true") -> DataFrame:
-        """At least the `limit` newest rows that meet the condition, whole days at a time.
+        """At least the `limit` newest rows that meet the condition, whole months at a time.
 
-        Rows are counted by day first, without reading more than the condition needs; then
-        only the files of the days that reach `limit` are read.
+        Rows are counted by month first, without reading more than the condition needs; then
+        only the files of the months that reach `limit` are read.
         """
         rows = self.versions().where(condition)
-        days = rows.groupBy(_DATE).count().orderBy(F.desc(_DATE)).collect()  # one row a day
+        months = rows.groupBy(_DATE).count().orderBy(F.desc(_DATE)).collect()  # a row for each
         found, first = 0, None
-        for day in days:
-            found, first = found + day["count"], day[_DATE]
+        for month in months:
+            found, first = found + month["count"], month[_DATE]
             if found >= limit:
                 break
         return rows.where(F.col(_DATE) >= F.lit(first)).drop(_DATE)
@@ -361,7 +362,7 @@ def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def newest_runs(store: Store, limit: int = 50) -> DataFrame:
-    """`recent_runs` of a store, reading only the days that hold them."""
+    """`recent_runs` of a store, reading only the months that hold them."""
     return recent_runs(store.newest(limit), limit)
 
 
@@ -382,7 +383,7 @@ def mapping_history(checks: DataFrame, mapping_id: str, limit: int = 100) -> Dat
 
 
 def newest_of_mapping(store: Store, mapping_id: str, limit: int = 100) -> DataFrame:
-    """`mapping_history` of a store, reading only the days that hold it."""
+    """`mapping_history` of a store, reading only the months that hold it."""
     rows = store.newest(limit, F.col("mapping_id") == mapping_id)
     return mapping_history(rows, mapping_id, limit)
 

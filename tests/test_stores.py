@@ -115,15 +115,15 @@ def test_rows_of_one_version_are_ordered_for_every_reader(spark, tmp_path):
     assert {store.read().first().target_table for _ in range(3)} == {"c"}
 
 
-def test_a_day_is_one_file_and_newest_reads_few_days(spark, tmp_path):
+def test_a_month_is_one_file_and_newest_reads_few_months(spark, tmp_path):
     store = stores.run_history_store(spark, str(tmp_path / "runs"))
     runs = spark.range(0, 4000, 1, 8).select(
         F.col("id").cast("string").alias("execution_id"),
-        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 20 AS int))").alias("timestamp"))
+        F.expr("timestamp'2024-01-01' + make_interval(0, cast(id % 20 AS int), 0, cast(id % 7 AS int))").alias("timestamp"))
     stores.log_runs(store, runs)
-    assert len(list((tmp_path / "runs").glob("run_date=*/*.parquet"))) == 20
+    assert len(list((tmp_path / "runs").glob("run_month=*/*.parquet"))) == 20
     newest = stores.newest_runs(store, 50)
     assert newest.collect() == stores.recent_runs(store.read(), 50).collect()
     plan = newest._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(run_date" in plan
+    assert "PartitionFilters: [isnotnull(run_month" in plan
     assert store.newest(10_000).count() == 4000 and store.newest(5, "status = 'no'").count() == 0

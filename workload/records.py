@@ -1,4 +1,4 @@
-"""Stored records: histories by day, runs with their details, mappings added again."""
+"""Stored records: histories by month, runs with their details, mappings added again."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from .registered import ORACLE, load, query
 
 @query(ORACLE["history_top_n"])
 def history_newest_stored(spark, sf_dir):
-    """Runs stored by day; only the days of the newest are read."""
+    """Runs stored by month; only the months of the newest are read."""
     store = stores.run_history_store(spark, shared_dir(spark, "runs"))
     stores.log_runs(store, load(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("execution_id"),
@@ -30,7 +30,7 @@ def history_newest_stored(spark, sf_dir):
 
 @query(ORACLE["mapping_check_history"])
 def mapping_history_stored(spark, sf_dir):
-    """Check results stored by day; only days with results of the mapping are read."""
+    """Check results stored by month; only months with results of the mapping are read."""
     store = stores.check_history_store(spark, shared_dir(spark, "checks"))
     results = suites._event_results(spark, sf_dir)
     stores.log_checks(store, results.withColumn("executed_at", F.col("executed_at").cast("timestamp")))

@@ -330,7 +330,7 @@ def history_top_n(spark, sf_dir):
         FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey
 """)
 def history_append_read(spark, sf_dir):
-    """Runs appended in two batches under their own days and read back, `other` added."""
+    """Runs appended in two batches under their own times and read back, `other` added."""
     counts = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("total_tests"),
         F.count_if(F.col("l_returnflag") == "A").alias("passed_tests"),
