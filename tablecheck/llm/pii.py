@@ -9,7 +9,8 @@ to each other are linked in the chain; nodes of one document with the same, or a
 sum-product messages over both kinds of edges give every node its label probabilities.
 
 Base spans are evidence: their nodes keep their labels. What the field labels beyond them,
-repeats without the form the pattern asks for in most cases, is added.
+repeats without the form the pattern asks for in most cases, is added; a card or a phone
+number of several nodes next to each other is one span.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ EDGE_MARKS = "\"'`.,;:!?()[]{}<>*#$%&|"
 SAMPLE_DOCS = 1000
 #: A field label is added only from this probability.
 SURE = 0.95
+#: Least and most digits of the kinds that may stand in several nodes.
+SPACED = {"card": (13, 19), "phone": (9, 15)}
+LETTER = re.compile("[A-Za-z]")
+JOINT = re.compile(r"[\x20\x09-\x0D().-]*")
 ROUNDS = 12
 SKIP_WEIGHT = 2.0
 OTHER = 0
@@ -297,14 +302,44 @@ def marginals(field: Field, nodes: Nodes, evidence: np.ndarray) -> np.ndarray:
     return belief / belief.sum(axis=1, keepdims=True)
 
 
-def plausible(kind: str, token: str) -> bool:
+def digit_count(text: str) -> int:
+    return sum("0" <= c <= "9" for c in text)
+
+
+def plausible(kind: str, text: str) -> bool:
     """What a span added by the field must look like at least."""
-    digits = sum("0" <= c <= "9" for c in token)
     if kind == "email":
-        return "@" in token.strip("@") and len(token) >= 5
+        return "@" in text.strip("@") and len(text) >= 5
     if kind == "ip":
-        return token.count(".") >= 3 and digits >= 4
-    return digits >= (13 if kind == "card" else 9) and not re.search("[A-Za-z]", token)
+        return text.count(".") >= 3 and digit_count(text) >= 4
+    return digit_count(text) >= SPACED[kind][0] and not LETTER.search(text)
+
+
+def joined(kind: str, text: str, places: list[tuple[int, int]]) -> Iterator[Span]:
+    """Spans of a stretch of nodes with one label.
+
+    The stretch is one span if it has no more digits than the kind allows. Else it holds
+    several, each as soon as it has the digits the kind needs; what is left at the end
+    belongs to the last one, so that no part of the stretch is lost.
+    """
+    least, most = SPACED[kind]
+    whole = digit_count(text[places[0][0] : places[-1][1]])
+    parts: list[list[int]] = []
+    for start, end in places:
+        if parts and (whole <= most or digit_count(text[slice(*parts[-1])]) < least):
+            parts[-1][1] = end
+        else:
+            parts.append([start, end])
+    if len(parts) > 1 and digit_count(text[slice(*parts[-1])]) < least:
+        end = parts.pop()[1]
+        parts[-1][1] = end
+    for start, end in parts:
+        # The sign in front was cut off with the other marks at the node's edge.
+        inside = text[start:end]
+        if inside.count(")") > inside.count("(") and text[start - 1 : start] == "(":
+            start -= 1
+        if plausible(kind, text[start:end]):
+            yield Span(kind, start, end)
 
 
 def find(field: Field, text: str) -> tuple[list[Span], list[Span]]:
@@ -318,12 +353,32 @@ def find(field: Field, text: str) -> tuple[list[Span], list[Span]]:
         return base, []
     chances = marginals(field, nodes, evidence)
     best = chances.argmax(axis=1)
-    added = []
+    added: list[Span] = []
+    stretch: list[tuple[int, int]] = []
+    last, label = -2, OTHER
     for i in np.flatnonzero((evidence == OTHER) & (best != OTHER)):
+        if chances[i, best[i]] < SURE:
+            continue
         kind, token = KINDS[best[i] - 1], nodes.tokens[i]
-        if chances[i, best[i]] >= SURE and plausible(kind, token):
-            start = text.index(token, nodes.starts[i])
-            added.append(Span(kind, start, start + len(token)))
+        start = text.index(token, nodes.starts[i])
+        place = (start, start + len(token))
+        if kind not in SPACED:
+            if plausible(kind, token):
+                added.append(Span(kind, *place))
+            continue
+        if LETTER.search(token):
+            continue
+        goes_on = (
+            bool(stretch) and last == i - 1 and label == best[i] and nodes.chained[i]
+            and JOINT.fullmatch(text, stretch[-1][1], start)
+        )
+        if stretch and not goes_on:
+            added += joined(KINDS[label - 1], text, stretch)
+            stretch = []
+        stretch.append(place)
+        last, label = i, best[i]
+    if stretch:
+        added += joined(KINDS[label - 1], text, stretch)
     return base, added
 
 

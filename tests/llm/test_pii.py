@@ -113,3 +113,44 @@ def test_long_runs_take_linear_time():
 def test_overlapping_spans_are_masked_once():
     spans = [P.Span("email", 2, 9), P.Span("ip", 4, 12), P.Span("card", 14, 15)]
     assert P.masked("ab1234567890cd9e", spans) == "ab<EMAIL>cd<CARD>e"
+
+
+def numbered(rng):
+    """A phone number and a card, both with spaces."""
+    card = "".join(rng.choices("0123456789", k=15))
+    card += next(c for c in "0123456789" if luhn(card + c))
+    phone = f"(0{rng.randint(10, 99)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    return phone, " ".join(card[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_repeats_of_several_nodes_are_added_whole():
+    rng = random.Random(1)
+    prose = "some plain words between them " * 20
+    train = []
+    for _ in range(200):
+        phone, card = numbered(rng)
+        train.append(f"{prose} call +1 {phone} now {prose} pay {card} today {prose} room {rng.randint(1, 99)}")
+    field = P.learn(train)
+
+    def added(text):
+        base, more = P.find(field, text)
+        return len(base), [(s.kind, text[s.start : s.end]) for s in more]
+
+    assert added(f"call +1 (017) 555-7713 now {prose} call (017) 555-7713 now") == (
+        1, [("phone", "(017) 555-7713")])
+    assert added(f"pay 4111 1111 1111 1111 today {prose} pay 4111 1111 1111 1112 today") == (
+        1, [("card", "4111 1111 1111 1112")])
+    assert added(f"pay 4111 1111 1111 1111 today {prose} pay 4111  1111  1111  1111 today") == (
+        1, [("card", "4111  1111  1111  1111")])
+
+
+def test_no_part_of_a_labelled_stretch_is_lost():
+    def spans(kind, text):
+        places = [m.span() for m in re.finditer("[0-9-]+", text)]
+        return [text[s.start : s.end] for s in P.joined(kind, text, places)]
+
+    assert spans("phone", "(017) 555-7713") == ["(017) 555-7713"]
+    assert spans("phone", "017 555-7713 018 555-7714") == ["017 555-7713", "018 555-7714"]
+    assert spans("phone", "49 30 123456 78 49 30 123456 78") == ["49 30 123456", "78 49 30 123456 78"]
+    assert spans("card", "4111 1111 1111 1111 4111 1111 1111 1111") == ["4111 1111 1111 1111"] * 2
+    assert spans("phone", "017 555") == []
