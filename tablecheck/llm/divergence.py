@@ -2,8 +2,9 @@
 
 Two histograms are compared with references by Jensen-Shannon distance: the classes of a
 document's characters, and its common words. The references are the sums over all
-documents of a language that pass the base rules; a document is held against the nearest,
-so mixed or wrongly marked languages do no harm. Words are counted by hash in a fixed
+different documents of a language that pass the base rules, each of which counts for few
+words however long it is. A document is held against the reference of its own language
+only; without one it is not judged. Words are counted by hash in a fixed
 number of buckets, so references take bounded memory and a small shuffle; common words
 stand far out of what rare words add to a bucket. Short documents are not judged: their
 histograms are far from any reference by chance.
@@ -11,6 +12,7 @@ histograms are far from any reference by chance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -27,6 +29,11 @@ COMMON = 64
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "other")
 #: A reference needs so many words, a document so many to be judged by it.
 REFERENCE_WORDS = 2000
+#: A document counts in its reference for so many words at most, so that a reference has
+#: 50 different documents at least and none has more than a fiftieth of it.
+DOCUMENT_WORDS = 40
+#: Parts of a word that references are summed in: sums of whole numbers have no order.
+PARTS = 1 << 24
 CLASS_WORDS = 30
 COMMON_WORDS = 100
 CLASS_DISTANCE = 0.33
@@ -119,6 +126,7 @@ def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
             w, lambda word: F.pmod(F.xxhash64(ascii_lower(word)), F.lit(BUCKETS)).cast("short")
         )
         return F.struct(
+            F.xxhash64(t).alias("key"),
             F.size(w).cast("long").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             (F.char_length(rest) - F.char_length(F.translate(rest, SYMBOLS, "")))
@@ -151,34 +159,52 @@ class References:
     classes: list[list[float]]
     words: list[list[float]]
     bins: list[int]
+    langs: tuple[str, ...] = ()
 
 
 def references(rows: DataFrame) -> References:
-    """From the profiles of all documents that pass the base rules."""
-    passing = rows.where(~F.col("base_failed"))
+    """From the profiles of all documents that pass the base rules, copies once."""
+    weight = F.least("n_words", F.lit(DOCUMENT_WORDS)) * F.lit(float(PARTS))
+    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    passing = (
+        rows.where(~F.col("base_failed"))
+        .select("lang", "key", "n_words", "classes", "buckets")
+        .dropDuplicates(["lang", "key"])
+        .withColumn("per_word", F.floor(weight / F.col("n_words")).cast("long"))
+        .withColumn("chars", chars)
+    )
     sums = passing.groupBy("lang").agg(
-        F.sum("n_words").alias("n_words"),
-        *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))),
+        F.sum(F.least("n_words", F.lit(DOCUMENT_WORDS))).alias("n_words"),
+        F.sum(F.col("n_words") * F.col("per_word")).alias("weight"),
+        *(
+            F.sum(F.floor(weight * F.get("classes", F.lit(i)) / F.col("chars")).cast("long"))
+            .alias(f"c{i}")
+            for i in range(len(CLASSES))
+        ),
     )
     known = {
         r["lang"]: r for r in sums.where(F.col("n_words") >= REFERENCE_WORDS).orderBy("lang").collect()
     }
-    counts = (
-        passing.select("lang", F.explode("buckets").alias("bucket")).groupBy("lang", "bucket").count()
+    if not known:
+        return References([], [], [-1] * BUCKETS)
+    counts = kept(
+        rows.sparkSession,
+        passing.where(F.col("lang").isin(list(known)))
+        .select("lang", "per_word", F.explode("buckets").alias("bucket"))
+        .groupBy("lang", "bucket").agg(F.sum("per_word").alias("count")),
+        "buckets",
     )
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "bucket")
     common = {
         r["bucket"]
         for r in counts.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= COMMON).select("bucket", "lang").collect()
-        if r["lang"] in known
+        .where(F.col("place") <= COMMON).select("bucket").collect()
     }
     places = {bucket: i for i, bucket in enumerate(sorted(common))}
     words = {lang: [0.0] * (len(places) + 1) for lang in known}
     chosen = counts.where(F.col("bucket").isin(list(places) or [-1]))
     for r in chosen.collect():  # languages times common words
-        if r["lang"] in known:
-            words[r["lang"]][places[r["bucket"]]] = r["count"] / known[r["lang"]]["n_words"]
+        words[r["lang"]][places[r["bucket"]]] = r["count"] / known[r["lang"]]["weight"]
     for shares in words.values():
         shares[-1] = 1 - sum(shares)
     classes = []
@@ -186,7 +212,7 @@ def references(rows: DataFrame) -> References:
         parts = [r[f"c{i}"] for i in range(len(CLASSES))]
         classes.append([x / max(1, sum(parts)) for x in parts])
     bins = [places.get(b, -1) for b in range(BUCKETS)]
-    return References(classes, list(words.values()), bins)
+    return References(classes, list(words.values()), bins, tuple(known))
 
 
 def literal(values: list, kind: str) -> Column:
@@ -217,22 +243,34 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def class_distance(classes: Column, refs: References) -> Column:
-    """Distance of the character classes to the nearest reference."""
+def to_reference(
+    values: list[list[float]], refs: References, lang: Column | None, to: Callable[[Column], Column]
+) -> Column:
+    """Distance to the reference of a language, NULL if it has none; without a language
+    to the nearest of all."""
+    table = literal(values, "array<array<double>>")
+    if lang is None:
+        return F.array_min(F.transform(table, to))
+    place = F.array_position(F.array(*map(F.lit, refs.langs)), lang).cast("int") - 1
+    return bound(F.get(table, place), lambda ref: F.when(ref.isNotNull(), to(ref)))
+
+
+def class_distance(classes: Column, refs: References, lang: Column | None = None) -> Column:
+    """Distance of the character classes to the language's (or the nearest) reference."""
 
     def nearest(shares: Column) -> Column:
         def to(ref: Column) -> Column:
             return distance(total(F.zip_with(shares, ref, divergence_term)))
 
-        return F.array_min(F.transform(literal(refs.classes, "array<array<double>>"), to))
+        return to_reference(refs.classes, refs, lang, to)
 
     sums = F.aggregate(classes, F.lit(0).cast("long"), lambda a, x: a + x)
     shares = bound(sums, lambda n: F.transform(classes, lambda x: x / F.greatest(n, F.lit(1))))
     return bound(shares, nearest)
 
 
-def word_distance(buckets: Column, refs: References) -> Column:
-    """Distance of the common words' histogram to the nearest reference."""
+def word_distance(buckets: Column, refs: References, lang: Column | None = None) -> Column:
+    """Distance of the common words' histogram to the language's (or the nearest) reference."""
     table = literal(refs.bins, "array<int>")
     other = len(refs.words[0]) - 1 if refs.words else 0
     found = F.sort_array(
@@ -264,7 +302,7 @@ def word_distance(buckets: Column, refs: References) -> Column:
             absent = 1 - total(F.transform(bins, lambda x: F.get(ref, x["bin"])))
             return distance(here + 0.5 * absent)
 
-        return F.array_min(F.transform(literal(refs.words, "array<array<double>>"), to))
+        return to_reference(refs.words, refs, lang, to)
 
     return bound(bound(found, present), nearest)
 
@@ -273,16 +311,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, both distances and kept, for every row.
 
     A NULL or empty text has no words and fails the base rules. Repeated rows get the same
-    result and count as often as they occur in the references; a NULL doc_id stays, a NULL
-    or missing lang is a language of its own. A distance is NULL where the document is too
-    short or no language has enough words for a reference; then it rejects nothing. Of
-    other columns none is read.
+    result and count once in the references; a NULL doc_id stays, a NULL or missing lang is
+    a language of its own. A distance is NULL where the document is too short or its
+    language has too few documents for a reference; then it rejects nothing. Of other
+    columns none is read.
     """
     rows = profiles(spark, docs)
     refs = references(rows)
     if refs.classes:
-        by_class = class_distance(F.col("classes"), refs)
-        by_word = word_distance(F.col("buckets"), refs)
+        by_class = class_distance(F.col("classes"), refs, F.col("lang"))
+        by_word = word_distance(F.col("buckets"), refs, F.col("lang"))
     else:
         by_class = by_word = F.lit(None).cast("double")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -88,3 +88,27 @@ def test_no_python_runs(spark, docs):
     rows = D.profiles(spark, docs)
     plan = rows._jdf.queryExecution().toString() + D.quality_rules(spark, docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def prose(rng, words, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_a_document_is_judged_by_its_own_language(spark):
+    rng = random.Random(5)
+    english = [f"{a}{b}" for a in "bcdfghlmnp" for b in ("at", "en", "ir", "ost", "und", "aver")]
+    greek = [f"{a}{b}" for a in "βγδζθκλμνπ" for b in ("ατ", "εν", "ιρ", "οστ", "υνδ", "αβερ")]
+    rows = [(i, prose(rng, english, 300), "en") for i in range(80)]
+    noise = " ".join("".join(rng.choices("#$%&|0123456789", k=7)) for _ in range(5000))
+    rows += [(1000, prose(rng, greek, 500), "el"), (1001, prose(rng, greek, 500), "en"),
+             (1002, noise, None), (1003, noise, "en"), (1004, prose(rng, greek, 5000), "xx")]
+    rows += [(2000 + i, noise + " end", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in D.quality_rules(spark, docs).collect()}
+    # A language with one document, short or long, has no reference and judges nothing.
+    for doc_id in (1000, 1002, 1004):
+        assert found[doc_id].class_distance is None and found[doc_id].word_distance is None
+        assert found[doc_id].kept
+    # Neither a long document nor many copies of it make noise a reference of others.
+    assert not any(found[i].kept for i in (1001, 1003, 2000))
+    assert all(found[i].kept for i in range(80))
