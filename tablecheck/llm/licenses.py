@@ -7,6 +7,9 @@ known licences, for the whole text and for every line, as notices stand on their
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import ascii_lower, bound, row_key, texts, words_of
@@ -61,7 +64,7 @@ SPELLINGS = {
     "wilful": "willful",
 }
 #: Licences and notices as published, with their short names.
-KNOWN = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -91,6 +94,42 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Whole texts (a file's name begins with the licence's) and the ids of SPDX lines.
+FOLDER = Path(__file__).with_name("known_licenses")
+#: What follows these lines is advice on use, which copies often leave out.
+ADVICE = re.compile(r"(?m)^.*END OF TERMS AND CONDITIONS.*$")
+NUMBERS = re.compile(r"(?m)^\s*[0-9]\.\s+")
+SUFFIXES = re.compile(r"(-only|-or-later|\+)$")
+
+
+def forms(text: str) -> set[str]:
+    """The text as it is; without the advice after its end; without the numbers of a
+    short list."""
+    end = ADVICE.search(text)
+    out = {text} if end is None else {text, text[: end.end()], text[: end.start()]}
+    return out if len(text) > 4000 else out | {NUMBERS.sub("", x) for x in out}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Every form of the licences in FOLDER, with and without a line that names them."""
+    out = []
+    for path in sorted(FOLDER.glob("*.txt")):
+        name = re.match(r"[A-Za-z]+[0-9]*(-[0-9]+\.[0-9]+|-[0-9]-Clause)?", path.name)[0]
+        for form in sorted(forms(path.read_text(encoding="utf-8"))):
+            out.append((name, form))
+            if name.startswith("BSD"):
+                out.append((name, f"{name} License\n{form}"))
+    return out
+
+
+def spdx_lines() -> list[tuple[str, str]]:
+    """An SPDX line for every id; the versions `only` and `or later` are one licence."""
+    ids = (FOLDER / "spdx_ids").read_text(encoding="utf-8").split()
+    return [(SUFFIXES.sub("", x), f"SPDX-License-Identifier: {x}") for x in ids]
+
+
+#: Notices, whole texts and SPDX lines, with their licences' short names.
+KNOWN = (*NOTICES, *whole_texts(), *spdx_lines())
 #: Known digests up to which they are broadcast (about 100 bytes each).
 BROADCAST_KNOWN = 200_000
 

@@ -31,6 +31,18 @@ def test_notices_stand_on_their_own_line(spark):
     assert rows[1].notices == "" and rows[2].license_id == "MIT"
 
 
+def test_whole_licences_and_spdx_lines_are_known(spark):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0",
+             "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    bodies = [(L.FOLDER / f"{name}.txt").read_text() for name in names]
+    cut = bodies[5][: bodies[5].index("END OF TERMS")]
+    bsd = "Copyright (c) 2020, Ann\n" + bodies[1].split("\n", 1)[1].replace("1. ", "* ").replace("2. ", "* ")
+    lines = [f"SPDX-License-Identifier: {x}" for x in ("LGPL-2.1-only", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "GPL-2.0+")]
+    rows = scan(spark, [*bodies, cut, bsd, *lines])
+    assert [rows[i].license_id for i in range(len(rows))] == [
+        *names, "GPL-3.0", "BSD-2-Clause", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "ISC", "GPL-2.0"]
+
+
 def test_odd_rows_and_own_registry(spark, odd, none):
     known = spark.createDataFrame([("three", "One, two: three"), ("also", "one two three"), ("no", None)],
                                   "license_id string, text string")
