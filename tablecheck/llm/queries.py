@@ -16,6 +16,7 @@ from . import (
     jaccard,
     licenses,
     packing,
+    periodic,
     pii,
     quality,
     secrets,
@@ -114,6 +115,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.run_digests(periodic.periodic_runs(docs, periodic.planted))
+
+
 ORACLE["op10_benchmark_decontamination"] = r"""
 WITH word_lists AS (
     SELECT 'doc' AS side, doc_id AS id, text FROM documents
