@@ -14,6 +14,7 @@ from . import (
     decontamination,
     divergence,
     jaccard,
+    lexical,
     licenses,
     packing,
     periodic,
@@ -115,6 +116,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(
+        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), limit=20
+    )
+
+
+ORACLE["op11_lexical_search"] = lexical.ORACLE_SQL
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
