@@ -21,6 +21,7 @@ from . import (
     pii,
     quality,
     secrets,
+    suffixtree,
     tokencount,
 )
 
@@ -126,6 +127,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op11_lexical_search"] = lexical.ORACLE_SQL
 
 
+@query
+def op12_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.scored(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
