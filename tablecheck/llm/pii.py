@@ -410,6 +410,8 @@ def field_from(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE_DOCS)
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [x for x in map(surroundings, batch["text"]) if x]
+            if not found:  # a frame without rows has no type for Arrow
+                continue
             yield pd.DataFrame({"near": found, "based": [bool(base_spans(x)) for x in found]})
 
     rows = texts(docs).select("text").mapInPandas(cut, "near string, based boolean")

@@ -154,3 +154,13 @@ def test_no_part_of_a_labelled_stretch_is_lost():
     assert spans("phone", "49 30 123456 78 49 30 123456 78") == ["49 30 123456", "78 49 30 123456 78"]
     assert spans("card", "4111 1111 1111 1111 4111 1111 1111 1111") == ["4111 1111 1111 1111"] * 2
     assert spans("phone", "017 555") == []
+
+
+@pytest.mark.parametrize("parts", [1, 211])
+def test_prose_without_any_node(spark, parts):
+    """No text has a digit or an at sign, so no batch has anything to learn from."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "'only plain words here' AS text")
+    found = pii.personal_data(spark, docs.repartition(parts)).collect()
+    assert len(found) == 40 and all(r.spans == "" for r in found)
+    masked = pii.without_personal_data(spark, docs.repartition(parts))
+    assert sorted(map(tuple, masked.collect())) == sorted(map(tuple, docs.collect()))
