@@ -12,6 +12,7 @@ from ..functions import regex
 from ..functions.sqltext import number_literal, quote_part, quote_table, string_literal
 from ..functions.typing import NUMBER_KINDS, STRING, field_type, is_id_name
 from ..operators.duplicates import no_duplicates_pk
+from ..operators.patterns import accepted, learned_patterns, violates
 from ..operators.profile import SHAPES, column_profile
 from ..operators.rowchecks import fused_counts
 from ..operators.rowcount import row_count
@@ -89,6 +90,33 @@ def _codes(df: DataFrame, profile: list[Row], max_codes: int) -> dict[str, list[
     return {c: values for c, values in zip(names, sets) if len(values) <= max_codes}
 
 
+def _pattern_rules(df: DataFrame, profile: list[Row], codes: Iterable[str]) -> list[_Rule]:
+    """A rule for each text column without a known shape or codes whose values follow few
+    patterns."""
+    names = [
+        p.column_name for p in profile
+        if p.kind == STRING and p.n_values and p.column_name not in codes
+        and all(p[f"n_{shape}"] < p.n_values for shape in SHAPES)
+    ]
+    if not names:
+        return []
+    found: dict[str, list[tuple[str, int]]] = {}
+    few = learned_patterns(df, names).groupBy("column_name").agg(  # at most 1,000 of a column
+        F.slice(F.sort_array(F.collect_list(F.struct("n_values", "pattern")), asc=False), 1, 1000).alias("top"),
+        F.sum("n_values").alias("n"),
+    )
+    for row in few.collect():
+        found[row.column_name] = [(x.pattern, x.n_values) for x in row.top]
+    rules = []
+    for name in names:
+        pattern = accepted(found.get(name, []))
+        if pattern:
+            rules.append(_Rule(name, f"{name} follows its pattern", "quality", "MEDIUM",
+                               f"values of {name} follow {pattern}",
+                               violates(quote_part(name), pattern)))
+    return rules
+
+
 def suggest_checks(
     mapping_id: str,
     target: DataFrame,
@@ -96,6 +124,7 @@ def suggest_checks(
     learn_from: DataFrame | None = None,
     already: Iterable[tuple[str, str]] = (),
     max_codes: int = 20,
+    learn_patterns: bool = False,
 ) -> DataFrame:
     """Checks that hold for `learn_from` (the source, or the target itself) and how many
     rows of the target fail them.
@@ -103,15 +132,17 @@ def suggest_checks(
     already: (column, category) pairs that need no suggestion. max_codes: a text column
     with at most that many values is taken to be a list of codes. The rows collected on
     the way are one per column. Uniqueness is only suggested where it is exact.
+    learn_patterns: also suggest the patterns that text columns are found to follow.
     """
     basis = target if learn_from is None else learn_from
     spark = target.sparkSession
     profile = column_profile(basis).collect()
     skip = set(already)
-    rules = [
-        r for r in _rules(basis, profile, _codes(basis, profile, max_codes))
-        if (r.column, r.category) not in skip
-    ]
+    codes = _codes(basis, profile, max_codes)
+    rules = _rules(basis, profile, codes)
+    if learn_patterns:
+        rules += _pattern_rules(basis, profile, codes)
+    rules = [r for r in rules if (r.column, r.category) not in skip]
     keys = [r for r in rules if r.predicate is None]
     if keys:
         repeats = reduce(

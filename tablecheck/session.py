@@ -61,3 +61,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="tablecheck-")
     return f"{base.rstrip('/')}/tablecheck/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Writes a frame below the shared folder and reads it back, so that frames made from
+    it do not compute it again."""
+    path = shared_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
