@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tablecheck.llm import pii as P
 
@@ -160,7 +161,7 @@ def test_no_part_of_a_labelled_stretch_is_lost():
 def test_prose_without_any_node(spark, parts):
     """No text has a digit or an at sign, so no batch has anything to learn from."""
     docs = spark.range(40).selectExpr("id AS doc_id", "'only plain words here' AS text")
-    found = pii.personal_data(spark, docs.repartition(parts)).collect()
+    found = P.personal_data(spark, docs.repartition(parts)).collect()
     assert len(found) == 40 and all(r.spans == "" for r in found)
-    masked = pii.without_personal_data(spark, docs.repartition(parts))
+    masked = P.without_personal_data(spark, docs.repartition(parts))
     assert sorted(map(tuple, masked.collect())) == sorted(map(tuple, docs.collect()))
