@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tablecheck.operators.dependencies import dependencies, minimal_keys as keys_of
 from tablecheck.operators.patterns import combined, learned_patterns as patterns_of
 
 from .registered import load, query
@@ -61,3 +63,112 @@ def learned_patterns(spark, sf_dir) -> DataFrame:
             )
         )
     return reduce(DataFrame.unionByName, parts)
+
+
+KEY_TABLES = {
+    "lineitem": (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+    ),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+
+
+def _keys_sql() -> str:
+    """Every set of up to three columns, and of those that are keys the smallest."""
+
+    def of(table: str, columns: tuple[str, ...]) -> str:
+        names = ", ".join(columns)
+        listed = ",".join(columns)
+        return (
+            f"SELECT '{table}' AS table_name, '{listed}' AS key_columns, {len(columns)} AS size"
+            f" FROM (SELECT count(*) AS parts FROM (SELECT DISTINCT {names} FROM {table})),"
+            f" (SELECT count(*) AS n FROM {table}) WHERE parts = n"
+        )
+
+    every = [
+        of(table, own)
+        for table, columns in KEY_TABLES.items()
+        for size in (1, 2, 3)
+        for own in combinations(columns, size)
+    ]
+    return f"""WITH found AS ({" UNION ALL ".join(every)})
+        SELECT * FROM found f WHERE NOT EXISTS (
+            SELECT 1 FROM found g WHERE g.table_name = f.table_name AND g.size < f.size
+            AND list_has_all(string_split(f.key_columns, ','), string_split(g.key_columns, ',')))"""
+
+
+@query(_keys_sql())
+def minimal_keys(spark, sf_dir) -> DataFrame:
+    """The smallest sets of up to three columns that identify a row."""
+    parts = [
+        keys_of(load(spark, sf_dir, table)).select(
+            F.lit(table).alias("table_name"), F.array_join("key_columns", ",").alias("key_columns"), "size"
+        )
+        for table in KEY_TABLES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+JOINED = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_brand", "s_name", "s_nationkey")
+#: Of lines with this remainder the brand is spoiled.
+SPOILED_BRAND = "l_orderkey % 700 = 3"
+
+
+def _dependencies_sql(allowed: float) -> str:
+    columns = ", ".join(c for c in JOINED if c != "p_brand")
+
+    def of(own: tuple[str, ...], c: str) -> str:
+        names = ", ".join(own)
+        return (
+            f"SELECT '{','.join(own)}' AS determinant, '{c}' AS dependent, {len(own)} AS size,"
+            f" CAST(coalesce(sum(n), 0) AS BIGINT) AS violating_rows FROM"
+            f" (SELECT count(*) AS n FROM joined GROUP BY {names} HAVING count(DISTINCT {c}) > 1)"
+        )
+
+    sets = [own for size in (1, 2) for own in combinations(JOINED, size)]
+    every = [of(own, c) for own in sets for c in JOINED if c not in own]
+    keys = [
+        f"SELECT '{','.join(own)}' AS columns FROM (SELECT 1 FROM joined GROUP BY {', '.join(own)}"
+        f" HAVING count(*) > 1) HAVING count(*) = 0"
+        for own in sets
+    ]
+    has_all = "list_has_all(string_split(f.determinant, ','), string_split({}, ','))"
+    return f"""WITH joined AS (
+            SELECT {columns}, CASE WHEN {SPOILED_BRAND} THEN 'Brand#?' ELSE p_brand END AS p_brand
+            FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+        ), tried AS ({" UNION ALL ".join(every)}),
+        keys AS ({" UNION ALL ".join(keys)}),
+        found AS (SELECT * FROM tried WHERE violating_rows <= {allowed} * (SELECT count(*) FROM joined))
+        SELECT determinant, dependent, violating_rows FROM found f
+        WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE {has_all.format("k.columns")})
+        AND NOT EXISTS (SELECT 1 FROM found g WHERE g.dependent = f.dependent AND g.size < f.size
+                        AND {has_all.format("g.determinant")})"""
+
+
+def _joined(spark, sf_dir) -> DataFrame:
+    line, part, supplier = (load(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+    both = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
+    brand = F.when(F.expr(SPOILED_BRAND), "Brand#?").otherwise(F.col("p_brand"))
+    return both.withColumn("p_brand", brand).select(*JOINED)
+
+
+def _found(spark, sf_dir, error: float) -> DataFrame:
+    return dependencies(_joined(spark, sf_dir), error=error).select(
+        F.array_join("determinant", ",").alias("determinant"), "dependent", "violating_rows"
+    )
+
+
+@query(_dependencies_sql(0))
+def column_dependencies(spark, sf_dir) -> DataFrame:
+    """Sets of up to two columns of lines joined with parts and suppliers that determine
+    another column in every row."""
+    return _found(spark, sf_dir, 0.0)
+
+
+@query(_dependencies_sql(0.25))
+def column_dependencies_with_errors(spark, sf_dir) -> DataFrame:
+    """The same where up to a quarter of the rows may be in groups that violate it: the
+    planted wrong brands show as violating rows of p_brand."""
+    return _found(spark, sf_dir, 0.25)
