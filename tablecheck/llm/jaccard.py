@@ -280,8 +280,27 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def region_members(spark: SparkSession, heads: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, n, pivot: the classes' documents and the pivots of their regions.
+def counted_broadcast(frame: DataFrame) -> DataFrame:
+    """A written frame, marked to be broadcast if it has few rows."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_TASKS else frame
+
+
+def copies(spark: SparkSession, heads: DataFrame) -> DataFrame:
+    """doc_id, key_a, key_b and class_id of the documents whose set is that of a document
+    with a smaller doc_id. Sets that no other document has are not joined with anything."""
+    key = ["key_a", "key_b"]
+    several = heads.groupBy(*key).agg(
+        F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")
+    )
+    several = several.where(F.col("last") > F.col("class_id")).drop("last")
+    several = counted_broadcast(kept(spark, several, "several"))
+    found = heads.select("doc_id", *key).join(several, key)
+    return kept(spark, found.where(F.col("doc_id") > F.col("class_id")).distinct(), "copies")
+
+
+def region_members(spark: SparkSession, heads: DataFrame) -> DataFrame:
+    """doc_id, n, pivot: the documents and the pivots of their regions; `heads` has no two
+    rows with equal sets.
 
     Linked sets differ in size by a third at most. So a first shingle counts for a set if
     one of such a size has it too, and documents with too few of those are left out. Sizes
@@ -305,19 +324,14 @@ def region_members(spark: SparkSession, heads: DataFrame, classes: DataFrame) ->
     often = rows.where(F.col("at") >= F.col("rare")).select("doc_id", "n", "shingle")
     shared = kept(spark, rare.union(often), "shared")
     enough = F.col("met") >= F.greatest(F.floor(F.col("n") * EXTRA_PERCENT / 100), F.lit(1))
-    active = (
-        shared.groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(enough).select("doc_id")
+    active = kept(
+        spark,
+        shared.groupBy("doc_id", "n").agg(F.count("*").alias("met")).where(enough).select("doc_id"),
+        "active",
     )
-    named = heads.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"])
-    named = named.select("doc_id", "class_id").join(active, "doc_id")
     level = F.floor(F.log(F.col("n")) / math.log(LEVEL)).cast("int")
-    left = kept(
-        spark,
-        shared.join(named, "doc_id")
-        .select(F.col("class_id").alias("doc_id"), "n", "shingle")
-        .distinct()
-        .select("*", F.explode(F.array(level, level + 1)).alias("level")),
-        "left",
+    left = shared.join(counted_broadcast(active), "doc_id", "left_semi").select(
+        "*", F.explode(F.array(level, level + 1)).alias("level")
     )
     pivots = (
         left.groupBy("shingle", "level")
@@ -385,12 +399,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     heads = kept(spark, with_first(keyed, frequent), "heads")
     filled = heads.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("class_id"))
+    own = ["doc_id", "key_a", "key_b"]
+    same = copies(spark, filled)
+    unique = unique_ids(heads)
+    firsts = filled.join(counted_broadcast(same.select(*own)), own, "left_anti")
+    firsts = firsts if unique else firsts.dropDuplicates(own)
 
-    members = kept(spark, blocks_of(region_members(spark, filled, classes)), "members")
+    members = kept(spark, blocks_of(region_members(spark, firsts)), "members")
     pivot, block, blocks = F.col("pivot"), F.col("block"), F.col("blocks")
     whole = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    whole = rows if unique_ids(heads) else whole
+    whole = rows if unique else whole
     alone = members.select("doc_id", task(pivot, block, block))
     hubs = (
         members.where((blocks > 1) & (F.col("doc_id") == pivot))
@@ -432,13 +450,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
             found = components(spark, links.union(gathered_links(whole, tasks)))
 
     return (
-        heads.join(classes, ["key_a", "key_b"], "left")
-        .withColumn(
-            "class_id",
-            F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(
-                F.col("class_id")
-            ),
-        )
+        heads.select("n", *own)
+        .join(same, own, "left")
+        .withColumn("class_id", F.coalesce("class_id", "doc_id"))
         .join(found.toDF("class_id", "component"), "class_id", "left")
         .select(
             "doc_id",
