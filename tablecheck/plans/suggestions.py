@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Row, functions as F
 from ..functions import regex
 from ..functions.sqltext import number_literal, quote_part, quote_table, string_literal
 from ..functions.typing import NUMBER_KINDS, STRING, field_type, is_id_name
+from ..operators.conditions import conditions
 from ..operators.duplicates import no_duplicates_pk
 from ..operators.patterns import accepted, learned_patterns, violates
 from ..operators.profile import SHAPES, column_profile
+from ..operators.quantiles import robust_ranges
 from ..operators.rowchecks import fused_counts
 from ..operators.rowcount import row_count
 from ..session import local_frame
@@ -40,7 +42,15 @@ class _Rule:
     predicate: str | None = None  # None: uniqueness, counted by grouping
 
 
-def _rules(df: DataFrame, profile: list[Row], codes: dict[str, list[str]]) -> list[_Rule]:
+def _is_measure(p: Row) -> bool:
+    """Whether a column's numbers are quantities rather than identifiers."""
+    key_like = p.kind in KEY_KINDS and p.approx_distinct * MARGIN >= p.n_values
+    return p.kind in NUMBER_KINDS and bool(p.n_values) and not key_like and not is_id_name(p.column_name)
+
+
+def _rules(
+    df: DataFrame, profile: list[Row], codes: dict[str, list[str]], ranges: dict[str, tuple]
+) -> list[_Rule]:
     rules = []
     for p in profile:
         name, column = p.column_name, quote_part(p.column_name)
@@ -53,14 +63,15 @@ def _rules(df: DataFrame, profile: list[Row], codes: dict[str, list[str]]) -> li
         if key_like and not p.n_nulls:
             rules.append(_Rule(name, f"{name} is unique", "integrity", "HIGH",
                                f"{name} has a different value in every row"))
-        if p.kind in NUMBER_KINDS and not key_like and not is_id_name(name):
+        if _is_measure(p):
             data_type = field_type(df.schema, name)
+            ends = ranges.get(name, (p.min_value, p.max_value))
             try:
-                low, high = (number_literal(v, data_type) for v in (p.min_value, p.max_value))
+                low, high = (number_literal(v, data_type) for v in ends)
             except (ValueError, ArithmeticError):  # NaN or infinity among the values
                 continue
             rules.append(_Rule(name, f"{name} stays in its range", "quality", "MEDIUM",
-                               f"{name} lies in {p.min_value} .. {p.max_value}",
+                               f"{name} lies in {ends[0]} .. {ends[1]}",
                                f"{column} < {low} OR {column} > {high}"))
         for shape, pattern in SHAPES.items():
             if p.kind == STRING and p[f"n_{shape}"] == p.n_values:
@@ -90,6 +101,13 @@ def _codes(df: DataFrame, profile: list[Row], max_codes: int) -> dict[str, list[
     return {c: values for c, values in zip(names, sets) if len(values) <= max_codes}
 
 
+def _condition_rules(df: DataFrame) -> list[_Rule]:
+    return [
+        _Rule(r.columns, r.condition, "business", "MEDIUM", f"all {r.rows_checked} rows obey it", r.violation)
+        for r in conditions(df).collect()
+    ]
+
+
 def _pattern_rules(df: DataFrame, profile: list[Row], codes: Iterable[str]) -> list[_Rule]:
     """A rule for each text column without a known shape or codes whose values follow few
     patterns."""
@@ -125,6 +143,8 @@ def suggest_checks(
     already: Iterable[tuple[str, str]] = (),
     max_codes: int = 20,
     learn_patterns: bool = False,
+    learn_conditions: bool = False,
+    robust: bool = False,
 ) -> DataFrame:
     """Checks that hold for `learn_from` (the source, or the target itself) and how many
     rows of the target fail them.
@@ -133,13 +153,18 @@ def suggest_checks(
     with at most that many values is taken to be a list of codes. The rows collected on
     the way are one per column. Uniqueness is only suggested where it is exact.
     learn_patterns: also suggest the patterns that text columns are found to follow.
+    learn_conditions: also suggest the conditions that pairs of columns obey in every row.
+    robust: far values of the basis do not widen the suggested ranges.
     """
     basis = target if learn_from is None else learn_from
     spark = target.sparkSession
     profile = column_profile(basis).collect()
     skip = set(already)
     codes = _codes(basis, profile, max_codes)
-    rules = _rules(basis, profile, codes)
+    measures = [p.column_name for p in profile if _is_measure(p)] if robust else []
+    rules = _rules(basis, profile, codes, robust_ranges(basis, measures))
+    if learn_conditions:
+        rules += _condition_rules(basis)
     if learn_patterns:
         rules += _pattern_rules(basis, profile, codes)
     rules = [r for r in rules if (r.column, r.category) not in skip]

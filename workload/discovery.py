@@ -7,8 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tablecheck.operators.conditions import conditions
 from tablecheck.operators.dependencies import dependencies, minimal_keys as keys_of
 from tablecheck.operators.patterns import combined, learned_patterns as patterns_of
+from tablecheck.operators.quantiles import column_quantiles as quantiles_of, robust_outliers as far_from_median
 
 from .registered import load, query
 
@@ -172,3 +174,79 @@ def column_dependencies_with_errors(spark, sf_dir) -> DataFrame:
     """The same where up to a quarter of the rows may be in groups that violate it: the
     planted wrong brands show as violating rows of p_brand."""
     return _found(spark, sf_dir, 0.25)
+
+
+#: Lines joined with their orders, some shipped before the order and some with a negative
+#: quantity.
+LINES = """
+    SELECT CASE WHEN l_orderkey % 300 = 11 THEN -l_quantity ELSE l_quantity END AS quantity,
+           l_extendedprice AS price, l_discount AS discount, l_tax AS tax, o_totalprice AS total,
+           CASE WHEN l_orderkey % 500 = 7 THEN o_orderdate - INTERVAL '3' DAY ELSE l_shipdate END AS shipped,
+           o_orderdate AS ordered
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+#: A condition may be violated by so many rows.
+CONDITION_ERROR = 0.02
+
+
+def _conditions_sql() -> str:
+    numbers = ("quantity", "price", "discount", "tax", "total")
+    items = [(c, "0", c) for c in numbers]
+    items += [(a, b, f"{a},{b}") for a, b in [*combinations(numbers, 2), ("shipped", "ordered")]]
+    counted = " UNION ALL ".join(
+        f"SELECT '{columns}' AS columns, '`{a}`' AS a, '{b if b == '0' else f'`{b}`'}' AS b,"
+        f" count(*) FILTER ({a} < {b}) AS lt, count(*) FILTER ({a} = {b}) AS eq,"
+        f" count(*) FILTER ({a} > {b}) AS gt FROM lines"
+        for a, b, columns in items
+    )
+    tried = " UNION ALL ".join(
+        f"SELECT columns, a || ' {operator} ' || b AS condition, lt + eq + gt AS rows_checked,"
+        f" {bad} AS violating_rows, {rank} AS rank FROM counted"
+        for rank, (operator, bad) in enumerate(
+            [("=", "lt + gt"), ("<", "eq + gt"), (">", "lt + eq"), ("<=", "gt"), (">=", "lt"), ("<>", "eq")]
+        )
+    )
+    return f"""WITH lines AS ({LINES}), counted AS ({counted}), tried AS ({tried}),
+        fits AS (SELECT *, row_number() OVER (PARTITION BY columns ORDER BY rank) AS place FROM tried
+                 WHERE violating_rows <= {CONDITION_ERROR} * rows_checked AND violating_rows < rows_checked)
+        SELECT columns, condition, rows_checked, violating_rows FROM fits WHERE place = 1"""
+
+
+@query(_conditions_sql())
+def column_conditions(spark, sf_dir) -> DataFrame:
+    """Signs and comparisons that at most 2 % of the lines violate, with how many do."""
+    for table in ("lineitem", "orders"):
+        load(spark, sf_dir, table).createOrReplaceTempView(f"discovery_{table}")
+    text = LINES.replace("lineitem", "discovery_lineitem").replace("orders ON", "discovery_orders ON")
+    return conditions(spark.sql(text), error=CONDITION_ERROR).select(
+        "columns", "condition", "rows_checked", "violating_rows"
+    )
+
+
+QUANTILE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")
+PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability,"
+        f" CAST(quantile_disc({c}, {p}) AS DOUBLE) AS quantile FROM lineitem"
+        for c in QUANTILE_COLUMNS
+        for p in PROBABILITIES
+    )
+)
+def column_quantiles(spark, sf_dir) -> DataFrame:
+    """Quantiles of four columns from one pass; at this accuracy they are exact."""
+    return quantiles_of(load(spark, sf_dir, "lineitem"), QUANTILE_COLUMNS, PROBABILITIES, accuracy=2_000_000)
+
+
+@query("""
+    WITH m AS (SELECT quantile_disc(value, 0.5) AS middle FROM events),
+    d AS (SELECT quantile_disc(abs(value - middle), 0.5) AS spread FROM events, m)
+    SELECT event_id, value FROM events, m, d
+    WHERE spread > 0 AND abs(value - middle) > 3.5 * (spread * 1.4826)
+""")
+def robust_outliers(spark, sf_dir) -> DataFrame:
+    """Events whose value is far from the median, by the median distance from it."""
+    found = far_from_median(load(spark, sf_dir, "events"), ["value"], accuracy=2_000_000)
+    return found.select("event_id", "value")
