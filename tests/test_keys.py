@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecheck.operators.duplicates import full_row_duplicates, no_duplicates_pk
-from tablecheck.operators.inclusion import implied_foreign_keys
+from tablecheck.operators.inclusion import implied_composite_keys, implied_foreign_keys
 from tablecheck.operators.referential import orphan_values, referential_integrity
 from tablecheck.operators.rowcount import row_count_match
 from tablecheck.sources.tables import from_frames
@@ -152,3 +153,58 @@ def test_text_and_number_columns_pair_only_by_id(spark):
         implied_foreign_keys(from_frames({"d": spark.range(1).select(F.lit(1.5).cast("double")
                                                                      .alias("v"))}),
                              [("d", "v")], [("d", "v")])
+
+
+def test_pruning_changes_no_row_and_keeps_columns_from_the_shuffle(spark, tmp_path):
+    spark.range(50).selectExpr("id AS near", "id + 5000 AS far", "id * 2 AS even").write.parquet(f"{tmp_path}/c")
+    spark.range(60).selectExpr("id AS k", "2 * id + 1 AS odd").write.parquet(f"{tmp_path}/p")
+    tables = from_frames({t: spark.read.parquet(f"{tmp_path}/{t}") for t in "cp"})
+    children = [("c", "near"), ("c", "far"), ("c", "even")]
+    for parents in ([("p", "k"), ("p", "odd")], [("p", "odd")]):
+        whole = implied_foreign_keys(tables, children, parents, prune=False)
+        pruned = implied_foreign_keys(tables, children, parents)
+        assert rows(pruned) == rows(whole)
+        plan = pruned._jdf.queryExecution().executedPlan().toString()
+        assert "far" in whole._jdf.queryExecution().executedPlan().toString()
+        assert "far#" not in plan, "by its bounds"
+        if parents == [("p", "odd")]:
+            assert "even#" not in plan, "by the bitmaps of its hashes"
+    assert rows(implied_foreign_keys(tables, [("c", "far")], [("p", "k")])) == []
+
+
+def brute_composite(tables, children, parents, size):
+    out = []
+    for k in range(2, size + 1):
+        for table in sorted({t for t, _ in children}):
+            own = sorted(c for t, c in children if t == table)
+            for names in itertools.combinations(own, k):
+                values = {v for v in (tuple(r[c] for c in names) for r in tables[table]) if None not in v}
+                for parent in sorted({t for t, _ in parents}):
+                    for keys in itertools.permutations([c for t, c in parents if t == parent], k):
+                        found = [v for v in (tuple(r[c] for c in keys) for r in tables[parent]) if None not in v]
+                        matched = len(values & set(found))
+                        same = any((table, c) == (parent, d) for c, d in zip(names, keys))
+                        if matched and not same:
+                            out.append((table, ",".join(names), parent, ",".join(keys), len(values), matched,
+                                        matched / len(values), len(found) == len(set(found))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "prune"), [(0, True), (1, True), (1, False)])
+def test_composite_keys_against_brute_force(spark, seed, prune):
+    rng = random.Random(seed)
+    pick = lambda *extra: rng.choice([*range(6), *extra])
+    frames = {
+        "c": spark.createDataFrame([(pick(None), pick(), pick(77), pick(None)) for _ in range(40)], "a int, b long, d int, e int"),
+        "p": spark.createDataFrame([(pick(), pick(None), pick(), 900 + pick()) for _ in range(30)], "x int, y int, z long, w int"),
+    }
+    plain = {t: [r.asDict() for r in f.collect()] for t, f in frames.items()}
+    children = [("c", c) for c in "abde"]
+    parents = [("p", c) for c in "xyzw"]
+    got = rows(implied_composite_keys(from_frames(frames), children, parents, size=3, prune=prune))
+    assert got == brute_composite(plain, children, parents, 3)
+    assert any(r[1].count(",") == 2 for r in got)
+    high = rows(implied_composite_keys(from_frames(frames), children, parents, 0.5))
+    assert high == [r for r in got if r[6] >= 0.5 and r[1].count(",") == 1]
+    nothing = implied_composite_keys(from_frames(frames), [("c", "a")], [("p", "w")])
+    assert nothing.collect() == []

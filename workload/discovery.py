@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablecheck.operators.conditions import conditions
 from tablecheck.operators.dependencies import dependencies, minimal_keys as keys_of
+from tablecheck.operators.inclusion import implied_composite_keys
 from tablecheck.operators.patterns import combined, learned_patterns as patterns_of
 from tablecheck.operators.quantiles import column_quantiles as quantiles_of, robust_outliers as far_from_median
 
+from tablecheck.sources.tables import from_frames
+
 from .registered import load, query
 
 #: A changed value in one of so many rows stands for what a bad load leaves.
@@ -250,3 +253,43 @@ def robust_outliers(spark, sf_dir) -> DataFrame:
     """Events whose value is far from the median, by the median distance from it."""
     found = far_from_median(load(spark, sf_dir, "events"), ["value"], accuracy=2_000_000)
     return found.select("event_id", "value")
+
+
+#: The parts and suppliers of lines that were not returned, as a table of its own: what
+#: returned lines refer to is not always in it.
+SUPPLIES = """
+    SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem
+    WHERE l_returnflag <> 'R'
+"""
+
+
+def _composite_sql() -> str:
+    def of(child: tuple[str, str], parent: tuple[str, str]) -> str:
+        c, p = ", ".join(child), ", ".join(parent)
+        return (
+            f"SELECT 'lineitem' AS child_table, '{','.join(child)}' AS child_column,"
+            f" 'partsupp' AS parent_table, '{','.join(parent)}' AS parent_column,"
+            f" (SELECT count(*) FROM (SELECT DISTINCT {c} FROM lineitem)) AS distinct_values,"
+            f" (SELECT count(*) FROM (SELECT {c} FROM lineitem INTERSECT SELECT {p} FROM partsupp)) AS matched,"
+            f" (SELECT count(*) FROM partsupp) = (SELECT count(*) FROM (SELECT DISTINCT {p} FROM partsupp))"
+            f" AS parent_is_unique"
+        )
+
+    both = ("l_partkey", "l_suppkey")
+    every = f"{of(both, ('ps_partkey', 'ps_suppkey'))} UNION ALL {of(both, ('ps_suppkey', 'ps_partkey'))}"
+    return f"""WITH partsupp AS ({SUPPLIES}), found AS ({every})
+        SELECT *, CAST(matched AS DOUBLE) / distinct_values AS coverage FROM found WHERE matched > 0"""
+
+
+@query(_composite_sql())
+def implied_composite_fk(spark, sf_dir) -> DataFrame:
+    """Which two columns of the lines are found together in the table of supplies."""
+    lines = load(spark, sf_dir, "lineitem")
+    supplies = lines.where("l_returnflag <> 'R'").selectExpr(
+        "l_partkey AS ps_partkey", "l_suppkey AS ps_suppkey"
+    ).distinct()
+    return implied_composite_keys(
+        from_frames({"lineitem": lines, "partsupp": supplies}),
+        [("lineitem", "l_partkey"), ("lineitem", "l_suppkey")],
+        [("partsupp", "ps_partkey"), ("partsupp", "ps_suppkey")],
+    )
