@@ -153,15 +153,27 @@ def schema_findings(
     conversions: DataFrame | None = None,
     implied: DataFrame | None = None,
     no_keys: DataFrame | None = None,
+    renamed: DataFrame | None = None,
 ) -> DataFrame:
     """Every difference as a result row.
 
     conversions: `type_conformance` rows with their table_name; implied: rows of
     `implied_foreign_keys`, reported where the model declares no reference; no_keys:
-    (table_name, column_name, reason) of candidates that can't be keys.
+    (table_name, column_name, reason) of candidates that can't be keys; renamed: rows of
+    `renamed_columns` with their table_name, each reported once, in place of a missing
+    and an undeclared column.
     """
     text = F.format_string
     differences = column_differences(model, actual)
+    if renamed is not None:
+        lower = F.lower("column_name").alias("name")
+        for name, kind in (("old_name", "missing"), ("new_name", "extra")):
+            known = renamed.select("table_name", F.lower(name).alias("name"), F.lit(kind).alias("difference"))
+            differences = (
+                differences.withColumn("name", lower)
+                .join(F.broadcast(known), ["table_name", "name", "difference"], "left_anti")
+                .drop("name")
+            )
     column = F.col("column_name")
 
     def of(kind: str) -> DataFrame:
@@ -187,6 +199,13 @@ def schema_findings(
                           "n_values", "table_name", column, "declared"),
                      violating=F.col("unconvertible"), column=column)
         )
+    if renamed is not None:
+        parts.append(
+            _finding(renamed, "Renamed column", "WARNING", "MEDIUM",
+                     text("column %s.%s seems to be %s now: %.2f of its values agree",
+                          "table_name", "old_name", "new_name", "similarity"),
+                     column=F.col("new_name"))
+        )
     if no_keys is not None:
         parts.append(
             _finding(no_keys, "Not a possible key", "INFO", "LOW", F.col("reason"),

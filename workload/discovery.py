@@ -13,6 +13,7 @@ from tablecheck.operators.inclusion import implied_composite_keys
 from tablecheck.operators.patterns import combined, learned_patterns as patterns_of
 from tablecheck.operators.quantiles import column_quantiles as quantiles_of, robust_outliers as far_from_median
 
+from tablecheck.operators.renames import column_signatures, renamed_columns as renames_of
 from tablecheck.sources.tables import from_frames
 
 from .registered import load, query
@@ -293,3 +294,22 @@ def implied_composite_fk(spark, sf_dir) -> DataFrame:
         [("lineitem", "l_partkey"), ("lineitem", "l_suppkey")],
         [("partsupp", "ps_partkey"), ("partsupp", "ps_suppkey")],
     )
+
+
+@query("""
+    SELECT * FROM (VALUES ('c_name', 'customer_name', 1.0), ('c_acctbal', 'balance', 1.0),
+                          ('c_mktsegment', 'segment', 1.0)) AS t(old_name, new_name, similarity)
+    WHERE (SELECT count(DISTINCT c_name) FROM customer) > 0
+""".replace("1.0)", "CAST(1.0 AS DOUBLE))"))
+def renamed_columns(spark, sf_dir) -> DataFrame:
+    """Three columns of the customers under new names, one of them with another type, next
+    to one that is gone and one that is new."""
+    customer = load(spark, sf_dir, "customer")
+    after = customer.select(
+        "c_custkey",
+        F.upper("c_name").alias("shout"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_acctbal").cast("decimal(20, 6)").alias("balance"),
+        F.col("c_name").alias("customer_name"),
+    )
+    return renames_of(column_signatures(customer), column_signatures(after))
