@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.sqltext import quote_part
+from . import csvrecords
 
 FORMATS = ("csv", "json", "parquet", "avro")  # avro needs the spark-avro package
 
@@ -25,7 +26,8 @@ class SourceFiles:
     `path` may hold `*`. With pattern_mode="glob" a star stays inside one path
     segment; with "regex" it is `.*` and may cross `/`, and a dot is any character.
     files="first" keeps only the smallest matching path.
-    multiline lets a quoted CSV field span lines, at the price of unsplittable files.
+    multiline lets a quoted CSV field span lines. Reading such a file takes one task;
+    counting its rows takes as many as there are byte ranges.
     """
 
     root: str
@@ -204,17 +206,34 @@ def _rows_to_count(spark: SparkSession, source: SourceFiles) -> tuple[DataFrame,
     return read(spark, source), F.lit(False)
 
 
+def _multiline_counts(spark: SparkSession, source: SourceFiles, path: Column) -> DataFrame:
+    """Rows and malformed rows of each file, read as lines in byte ranges."""
+    paths, options = resolve(spark, source), _csv_options(source)
+    header = spark.read.format("csv").options(**options).load(paths).schema
+    lines = spark.read.text(paths).select(
+        path.alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    separator = options.get("sep", options.get("delimiter", ","))
+    return csvrecords.record_counts(lines, separator, max(len(header), 1))
+
+
 def count_by_file(spark: SparkSession, source: SourceFiles) -> DataFrame:
     """(path, length, rows, malformed_rows) of every matching file.
 
     A file without rows is listed with 0. The join is on file names, one row each.
     """
-    rows, malformed = _rows_to_count(spark, source)
     # the metadata path is percent-encoded, but a plus sign in it is a plus sign
-    encoded = F.regexp_replace("_metadata.file_path", r"\+", "%2B")
-    counts = rows.groupBy(_plain(F.url_decode(encoded)).alias("path")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(malformed).alias("malformed_rows")
-    )
+    path = _plain(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
+    if source.format == "csv" and source.multiline and csvrecords.can_split(source.options):
+        counts = _multiline_counts(spark, source, path)
+    else:
+        rows, malformed = _rows_to_count(spark, source)
+        counts = rows.groupBy(path.alias("path")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(malformed).alias("malformed_rows")
+        )
     return (
         list_files(spark, source)
         .select("path", "length")

@@ -264,6 +264,18 @@ def source_multiline_csv(spark, sf_dir):
     return counts.withColumn("characters", characters.scalar())
 
 
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS malformed_rows FROM documents")
+def source_multiline_ranges(spark, sf_dir):
+    """Texts with line breaks and quotes in one file, counted range by range."""
+    root = shared_dir(spark, "source-one-file")
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents.coalesce(1).write.option("header", "true").option("escape", '"').csv(root)
+    counts = files.count_by_file(spark, SourceFiles(root, "*.csv", multiline=True))
+    return counts.agg(
+        F.sum("rows").alias("rows"), F.sum("malformed_rows").alias("malformed_rows")
+    )
+
+
 @query("""
     SELECT o_orderstatus AS folder, count(*) AS rows FROM orders
     WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus
