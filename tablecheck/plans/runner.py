@@ -33,6 +33,7 @@ from ..session import local_frame
 from ..sources import files
 from ..sources.tables import Tables
 from . import registry, specs, suggestions
+from .limits import jobs_of
 
 _log = logging.getLogger(__name__)
 
@@ -370,6 +371,11 @@ class _Outcome:
     results: list[tuple] = field(default_factory=list)
     suggestions: list[tuple] = field(default_factory=list)
 
+    def stopped(self, error: str) -> _Outcome:
+        """What is left of a mapping whose time was over: who it was, and the error."""
+        *about, _, elapsed = self.about
+        return _Outcome((*about[:3], None, None, error, elapsed))
+
 
 def _as_run(spark: SparkSession, outcomes: Iterable[_Outcome]) -> Run:
     outcomes = list(outcomes)
@@ -438,11 +444,14 @@ def _run_all(
     required: MappingType[str, Iterable[str]] | None,
     parallel: int,
     report_cap: int | None,
+    time_limit: float | None,
 ) -> list[_Outcome]:
     required = required or {}
 
     def run(mapping: Mapping) -> _Outcome:
-        return _run_one(spark, mapping, tables, required.get(mapping.target, ()), report_cap)
+        with jobs_of(spark, mapping.mapping_id, time_limit) as limit:
+            found = _run_one(spark, mapping, tables, required.get(mapping.target, ()), report_cap)
+        return found.stopped(limit.message()) if limit.over else found
 
     if parallel > 1 and len(mappings) > 1:
         with ThreadPoolExecutor(parallel) as pool:
@@ -457,17 +466,20 @@ def run_suite(
     required: MappingType[str, Iterable[str]] | None = None,
     parallel: int = 4,
     report_cap: int | None = None,
+    time_limit: float | None = None,
 ) -> Run:
     """Run every mapping, `parallel` of them at a time on one cluster.
 
     required: columns that must be filled, by table, where a mapping names none.
     report_cap: the most rows that `rows_affected` of a row-level check reports, if it
     is to be limited; `rows_violating` is the full number in any case.
+    time_limit: the seconds a mapping may take; one that takes longer is stopped and has an
+    error, the others go on. Each has a scheduler pool of its own.
     """
     mappings = list(mappings)
     if not mappings:
         raise ValueError("no active mappings")
-    return _as_run(spark, _run_all(spark, mappings, tables, required, parallel, report_cap))
+    return _as_run(spark, _run_all(spark, mappings, tables, required, parallel, report_cap, time_limit))
 
 
 def run_mapping(
@@ -510,6 +522,7 @@ def run_config(
     required: MappingType[str, Iterable[str]] | None = None,
     parallel: int = 4,
     report_cap: int | None = None,
+    time_limit: float | None = None,
 ) -> Run:
     """Run the active mappings of a configuration table.
 
@@ -524,7 +537,7 @@ def run_config(
             bad.append(_Outcome((row.mapping_id, None, row.target_table, None, None, str(e), 0)))
     if not good and not bad:
         raise ValueError("no active mappings")
-    ran = _run_all(spark, good, tables, required, parallel, report_cap)
+    ran = _run_all(spark, good, tables, required, parallel, report_cap, time_limit)
     return _as_run(spark, ran + bad)
 
 

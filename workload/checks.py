@@ -13,6 +13,7 @@ from tablecheck.operators.profile import column_profile as profile
 from tablecheck.operators.referential import orphan_values, referential_integrity as orphans
 from tablecheck.operators import rowchecks, rowcount
 from tablecheck.plans.suggestions import suggest_checks
+from tablecheck.session import shared_dir
 from tablecheck.sources import tables as T
 
 from .registered import load, query
@@ -333,7 +334,7 @@ def implied_fk(spark, sf_dir):
     return implied_foreign_keys(T.from_directory(spark, sf_dir), _CHILDREN, _PARENTS)
 
 
-@query("""
+_ROW_CHECKS_SQL = """
     SELECT 'rows' AS metric, count(*) AS value FROM lineitem
     UNION ALL SELECT 'nulls', count(*) FILTER (l_shipdate IS NULL OR l_returnflag IS NULL)
         FROM lineitem
@@ -343,12 +344,25 @@ def implied_fk(spark, sf_dir):
         OR l_shipdate > TIMESTAMP '2000-12-31') FROM lineitem
     UNION ALL SELECT 'patterns', count(*) FILTER (NOT regexp_matches(l_returnflag, '^[AN]$'))
         FROM lineitem
-""")
+"""
+
+
+@query(_ROW_CHECKS_SQL)
 def fused_row_checks(spark, sf_dir):
     lineitem = load(spark, sf_dir, "lineitem")
     return rowchecks.fused_counts(lineitem, row_check_predicates(spark, lineitem))
 
 
+@query(_ROW_CHECKS_SQL)
+def row_checks_while_written(spark, sf_dir):
+    """The same counts, taken while the table is written."""
+    lineitem = load(spark, sf_dir, "lineitem")
+    path = shared_dir(spark, "checked-load")
+    return rowchecks.counts_while_written(
+        lineitem, row_check_predicates(spark, lineitem), lambda df: df.write.parquet(path)
+    )
+
+
 def row_check_predicates(spark, lineitem):
     schema = lineitem.schema
     ranges = {"l_quantity": {"min": 5, "max": 45}, "l_discount": {"min": 0, "max": 0.09}}
