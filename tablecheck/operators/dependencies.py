@@ -191,6 +191,25 @@ class _Search:
         return self
 
 
+def repeated_values(df: DataFrame, columns: Iterable[str]) -> dict[str, int]:
+    """For each column how many of its values several rows have, NULL being a value; all
+    columns are grouped in one shuffle."""
+    columns = list(dict.fromkeys(columns))
+    out: dict[str, int] = {}
+    for at in range(0, len(columns), SETS_AT_ONCE):
+        table = _Table(df, columns[at : at + SETS_AT_ONCE])
+        own = [F.col(table.own(c)) for c in table.names]
+        groups = table.rows.groupingSets([[c] for c in own], *own).agg(
+            F.grouping_id(*own).alias("id"), F.count("*").alias("n")
+        )
+        counts = groups.groupBy("id").agg(F.count_if(F.col("n") > 1).alias("n")).collect()
+        found = {row["id"]: row["n"] for row in counts}
+        everything = (1 << len(own)) - 1
+        for k, c in enumerate(table.names):
+            out[c] = found.get(everything ^ (1 << (len(own) - 1 - k)), 0)
+    return out
+
+
 def minimal_keys(df: DataFrame, columns: Iterable[str] | None = None, size: int = 3) -> DataFrame:
     """key_columns (an array) and size of every smallest set of up to `size` columns that
     no two rows agree in.

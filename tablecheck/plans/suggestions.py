@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Row, functions as F
 
@@ -12,12 +11,11 @@ from ..functions import regex
 from ..functions.sqltext import number_literal, quote_part, quote_table, string_literal
 from ..functions.typing import NUMBER_KINDS, STRING, field_type, is_id_name
 from ..operators.conditions import conditions
-from ..operators.duplicates import no_duplicates_pk
+from ..operators.dependencies import repeated_values
 from ..operators.patterns import accepted, learned_patterns, violates
 from ..operators.profile import SHAPES, column_profile
 from ..operators.quantiles import robust_ranges
 from ..operators.rowchecks import fused_counts
-from ..operators.rowcount import row_count
 from ..session import local_frame
 
 SCHEMA = (
@@ -170,19 +168,12 @@ def suggest_checks(
     rules = [r for r in rules if (r.column, r.category) not in skip]
     keys = [r for r in rules if r.predicate is None]
     if keys:
-        repeats = reduce(
-            DataFrame.unionByName,
-            (row_count(no_duplicates_pk(basis, [r.column]), r.column) for r in keys),
-        ).collect()
-        unique = {r.metric for r in repeats if r.value == 0}
-        rules = [r for r in rules if r.predicate or r.column in unique]
-    parts = [
-        fused_counts(target, {str(i): r.predicate for i, r in enumerate(rules) if r.predicate})
-    ] + [
-        row_count(no_duplicates_pk(target, [r.column]), str(i))
-        for i, r in enumerate(rules) if r.predicate is None
-    ]
-    failures = {r.metric: r.value for r in reduce(DataFrame.unionByName, parts).collect()}
+        repeats = repeated_values(basis, [r.column for r in keys])
+        rules = [r for r in rules if r.predicate or not repeats[r.column]]
+    predicates = {str(i): r.predicate for i, r in enumerate(rules) if r.predicate}
+    failures = {r.metric: r.value for r in fused_counts(target, predicates).collect()}
+    repeats = repeated_values(target, [r.column for r in rules if r.predicate is None])
+    failures |= {str(i): repeats[r.column] for i, r in enumerate(rules) if r.predicate is None}
     table = quote_table(target_name)
 
     def query(r: _Rule) -> str:

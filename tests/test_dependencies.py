@@ -128,3 +128,16 @@ def test_sets_ruled_out_are_not_grouped(spark, monkeypatch):
     assert search.grouped_sets < sets / 3
     frame = pd.DataFrame([r.asDict() for r in lines.collect()])
     assert all(not frame.duplicated(list(k)).any() for k in search.keys) and search.keys
+
+
+def test_repeated_values_of_many_columns_in_one_shuffle(spark):
+    rng = random.Random(6)
+    rows = [tuple(rng.choice([None, *range(k + 2)]) for k in range(60)) for _ in range(50)]
+    names = [f"v{k}" for k in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    expected = {
+        n: sum(c > 1 for c in pd.Series([r[k] for r in rows]).value_counts(dropna=False)) for k, n in enumerate(names)
+    }
+    assert dep.repeated_values(df, names) == expected
+    assert dep.repeated_values(df, []) == {}
+    assert dep.repeated_values(df.limit(0), ["v3"]) == {"v3": 0}

@@ -8,7 +8,7 @@ from tablecheck import run_single_file
 from tablecheck.functions.predicates import null_predicate
 from tablecheck.operators import conformance
 from tablecheck.operators.rowchecks import fused_counts
-from tablecheck.plans import specs
+from tablecheck.plans import runner, specs
 from tablecheck.plans.conformance import validate_schema
 from tablecheck.session import shared_dir
 from tablecheck.sources import files, stores, tables as T
@@ -150,7 +150,7 @@ def enabled_checks(spark, sf_dir):
     )
 
 
-@query("""
+_PLANNED_SQL = """
     SELECT c_name AS mapping_id, 0 AS position, 'row_count_match' AS test_id FROM customer
     UNION ALL SELECT c_name, 1, 'numeric_range' FROM customer WHERE c_mktsegment = 'BUILDING'
     UNION ALL SELECT c_name, 4, 'numeric_range' FROM customer WHERE c_mktsegment = 'BUILDING'
@@ -160,11 +160,34 @@ def enabled_checks(spark, sf_dir):
         WHERE c_mktsegment = 'MACHINERY'
     UNION ALL SELECT c_name, 3, 'no_duplicates_pk' FROM customer
         WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AND c_nationkey > 4
-""")
+"""
+
+
+@query(_PLANNED_SQL)
 def planned_checks(spark, sf_dir):
     return specs.planned_checks(_config(spark, sf_dir)).select("mapping_id", "position", "test_id")
 
 
+@query(f"SELECT * FROM ({_PLANNED_SQL}) WHERE mapping_id IN (SELECT c_name FROM customer WHERE c_nationkey <> 7)")
+def planned_checks_of_the_runner(spark, sf_dir):
+    """What the runner itself plans for each row of the same configuration. It refuses the
+    rows whose settings do not parse, which is those of one nation."""
+    target = spark.createDataFrame([], "balance double, nation int, name string")
+    parents = spark.createDataFrame([], "n_key int")
+    rows = []
+    source = {f"source_{n}": F.lit(v) for n, v in (("bucket", "b"), ("file_path", "f.csv"), ("file_format", "csv"))}
+    config = _config(spark, sf_dir).withColumns({**source, "target_dataset": F.lit(None).cast("string")})
+    for row in config.toLocalIterator():
+        try:
+            mapping = runner.Mapping.from_row(row)
+        except ValueError:
+            continue
+        loaded = runner.LoadedMapping(spark, mapping, target, lambda name: parents)
+        rows.append((mapping.mapping_id, 0, "row_count_match"))
+        rows += [(mapping.mapping_id, p.position, p.check.test_id) for p in runner.plan_mapping(loaded)]
+    return spark.createDataFrame(rows, "mapping_id string, position int, test_id string")
+
+
 @query("""
     SELECT c_name AS mapping_id, c_mktsegment AS description FROM customer
     WHERE c_mktsegment <> 'BUILDING'
@@ -264,6 +287,27 @@ def source_multiline_csv(spark, sf_dir):
     return counts.withColumn("characters", characters.scalar())
 
 
+@query("""
+    SELECT row_number() OVER () - 1 AS position, name AS column_name, n AS filled FROM (
+        SELECT 'o_orderkey' AS name, count(o_orderkey) AS n FROM orders
+        UNION ALL SELECT 'o_orderpriority', count(o_orderpriority) FROM orders
+        UNION ALL SELECT 'o_totalprice', count(o_totalprice) FROM orders)
+""")
+def source_columns(spark, sf_dir):
+    """The columns of a source's files, with how many rows have a value in each."""
+    root = shared_dir(spark, "source-columns")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    orders.write.option("header", "true").csv(root)
+    source = SourceFiles(root, "*.csv")
+    names = files.columns(spark, source)
+    counts = files.read(spark, source).agg(*(F.count(c).alias(c) for c in names))
+    cells = (
+        F.struct(F.lit(i).cast("long").alias("position"), F.lit(c).alias("column_name"), F.col(c).alias("filled"))
+        for i, c in enumerate(names)
+    )
+    return counts.select(F.inline(F.array(*cells)))
+
+
 @query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS malformed_rows FROM documents")
 def source_multiline_ranges(spark, sf_dir):
     """Texts with line breaks and quotes in one file, counted range by range."""
