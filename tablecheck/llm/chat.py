@@ -7,15 +7,17 @@ speaker says, which are what a model is trained on. System turns are context for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bound, steps
+from .common import bound, kept, steps
 
 SYSTEM = "system"
 NOBODY = "unknown"
-#: Turns are rendered in blocks, by turn number, so that a row has a bounded size; a
-#: conversation of fewer turns is one row for each participant.
+#: Turns are rendered in blocks, by their place, so that a row has a bounded number of
+#: them; a conversation of fewer turns is one row for each participant.
 BLOCK_TURNS = 256
+#: Blocks of a conversation that meet one copy of its speakers.
+SHARE_BLOCKS = 64
 END = "<|end|>\n"
 
 
@@ -76,34 +78,72 @@ def rendered(turns: Column, speaker: Column) -> Column:
     return bound(parts, laid_out)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds `place`, a turn's number in its conversation from 0.
+
+    Rows are sorted over all tasks, equal ones too, so no conversation has to fit into
+    one; a place is the number in the task and the turns of the tasks before.
+    """
+    order = ["conv_id", "turn", "role", "digest", "given"]
+    keyed = rows.withColumn("digest", F.md5("text")).withColumn("given", F.monotonically_increasing_id())
+    ordered = kept(
+        rows.sparkSession,
+        keyed.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(*rows.columns, "digest", F.monotonically_increasing_id().alias("id")),
+        "turns",
+    )
+    ordered = ordered.withColumn("task", F.shiftright("id", 33))
+    before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ordered.groupBy("conv_id", "task")
+        .agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        .select(
+            F.col("conv_id").alias("of"), F.col("task").alias("in"),
+            (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
+        )
+    )
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in"))
+    return ordered.join(starts, same).withColumn("place", F.col("id") + F.col("shift"))
+
+
 def perspectives(conversations: DataFrame) -> DataFrame:
     """A row for each conversation, speaker and block: conv_id, speaker, block, n_turns,
     rendered, mask, n_targets.
 
-    A NULL role is a speaker called `unknown`; a NULL text says nothing, a NULL turn comes
-    first, in block 0. Turns with one number are ordered by role, then text; repeated rows
+    A block has `BLOCK_TURNS` turns, the last one of a conversation what is left. A NULL
+    role is a speaker called `unknown`; a NULL text says nothing, a NULL turn comes first.
+    Turns with one number are ordered by role, then by the text's digest; repeated rows
     are repeated turns. A conversation of system turns alone has no speaker and no row. A
     speaker who is silent in a block still has its row, with an empty mask. Rows without
     conv_id are one conversation. Other columns are not read.
     """
-    rows = conversations.select(
-        "conv_id",
-        F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
-        F.coalesce("role", F.lit(NOBODY)).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn(
-        "block", F.greatest(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(0)).cast("long")
-    )
+    rows = placed(
+        conversations.select(
+            "conv_id",
+            F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
+            F.coalesce("role", F.lit(NOBODY)).alias("role"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        )
+    ).withColumn("block", F.floor(F.col("place") / BLOCK_TURNS).cast("long"))
     blocks = rows.groupBy("conv_id", "block").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+        F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns")
     )
+    # A long conversation's speakers come in copies, so that its blocks don't all meet in
+    # one task.
+    last = Window.partitionBy("speaks_in")
     speakers = (
-        rows.where(F.col("role") != SYSTEM)
-        .select(F.col("conv_id").alias("speaks_in"), F.col("role").alias("speaker"))
-        .distinct()
+        rows.groupBy(F.col("conv_id").alias("speaks_in"), F.col("role").alias("speaker"))
+        .agg(F.max("block").alias("last"))
+        .withColumn("last", F.max("last").over(last))
+        .where(F.col("speaker") != SYSTEM)
+        .select("speaks_in", "speaker", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / SHARE_BLOCKS))).alias("share"))
+    )
+    meet = F.col("conv_id").eqNullSafe(F.col("speaks_in")) & (
+        F.floor(F.col("block") / SHARE_BLOCKS) == F.col("share")
     )
     return (
-        blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("speaks_in")))
+        blocks.join(speakers, meet)
         .select(
             "conv_id", "speaker", "block",
             F.size("turns").cast("long").alias("n_turns"),
@@ -114,11 +154,13 @@ def perspectives(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH turns AS (
+WITH given AS (
     SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
-           coalesce(text, '') AS text,
-           CAST(greatest(floor(coalesce(turn, -1) / 256.0), 0) AS BIGINT) AS block
+           coalesce(text, '') AS text
     FROM conversations
+), turns AS (
+    SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) - 1) // 256 AS block
+    FROM given
 ), speakers AS (
     SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
 ), parts AS (
@@ -127,7 +169,7 @@ WITH turns AS (
                 ELSE '<|user name=' || t.role || '|>' END || chr(10) AS opening,
            t.text || '<|end|>' || chr(10) AS said,
            row_number() OVER (PARTITION BY t.conv_id, s.speaker, t.block
-                              ORDER BY t.turn, t.role, t.text) AS place
+                              ORDER BY t.turn, t.role, md5(t.text)) AS place
     FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), laid_out AS (
     SELECT *, sum(length(opening) + length(said)) OVER (

@@ -94,3 +94,28 @@ def test_long_conversations_go_on_in_blocks(spark, turns):
     assert sorted(r.block for r in found) == list(range(-(-turns // 256)))
     assert sum(r.n_turns for r in found) == turns
     assert sum(r.n_targets for r in found) == -(-turns // 2)
+
+
+def test_many_rows_without_conversation_and_turn(spark):
+    """A third of all rows, alike but for a few, have neither; no row gathers more than a
+    block of them, and places are exact."""
+    frame = spark.range(60_000).selectExpr(
+        "CAST(IF(id % 3 = 0, NULL, id % 500) AS LONG) AS conv_id",
+        "CAST(IF(id % 3 = 0, NULL, id) AS LONG) AS turn",
+        "IF(id % 2 = 0, 'a', 'b') AS role", "IF(id % 3000 = 0, CAST(id AS STRING), 'same') AS text",
+    ).repartition(7)
+    found = chat.perspectives(frame).where("conv_id IS NULL AND speaker = 'a'").collect()
+    assert sorted(r.block for r in found) == list(range(-(-20_000 // 256)))
+    assert max(r.n_turns for r in found) == 256 and sum(r.n_turns for r in found) == 20_000
+    assert sum(r.n_targets for r in found) == 10_000
+    said = "".join(r.rendered for r in sorted(found, key=lambda r: r.block))
+    assert said.count("<|assistant|>") == 10_000 and said.index("<|user name=b|>") > said.rindex("<|assistant|>")
+
+
+def test_copies_of_speakers_lose_no_block(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SHARE_BLOCKS", 2)
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
+    frame = spark.range(90).selectExpr("id % 2 AS conv_id", "id AS turn", "concat('r', id % 3) AS role", "'x' AS text")
+    found = chat.perspectives(frame).collect()
+    assert len(found) == 2 * 12 * 3
+    assert sum(r.n_targets for r in found) == 90
