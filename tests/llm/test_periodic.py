@@ -75,9 +75,9 @@ def made(seed):
     return words
 
 
-@pytest.mark.parametrize("seed", range(150))
+@pytest.mark.parametrize("seed", range(40))
 def test_all_runs_of_made_texts(seed):
-    texts = [made(seed * 1000 + k) for k in range(4)]
+    texts = [made(seed * 1000 + k) for k in range(6)]
     assert found(texts) == [brute(t) for t in texts]
 
 
