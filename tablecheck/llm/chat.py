@@ -132,12 +132,13 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     # A long conversation's speakers come in copies, so that its blocks don't all meet in
     # one task.
     last = Window.partitionBy("speaks_in")
+    shares = F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / SHARE_BLOCKS))
     speakers = (
         rows.groupBy(F.col("conv_id").alias("speaks_in"), F.col("role").alias("speaker"))
         .agg(F.max("block").alias("last"))
         .withColumn("last", F.max("last").over(last))
         .where(F.col("speaker") != SYSTEM)
-        .select("speaks_in", "speaker", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / SHARE_BLOCKS))).alias("share"))
+        .select("speaks_in", "speaker", F.explode(shares).alias("share"))
     )
     meet = F.col("conv_id").eqNullSafe(F.col("speaks_in")) & (
         F.floor(F.col("block") / SHARE_BLOCKS) == F.col("share")
