@@ -53,7 +53,8 @@ def _line_features(value: Column, separator: str) -> dict[str, Column]:
 
 def _ranges(lines: DataFrame, separator: str, width: int) -> DataFrame:
     """One row for each byte range (path, block) with what it does to either state."""
-    rows = lines.select("path", "block", "line", *(c.alias(n) for n, c in _line_features(F.col("value"), separator).items()))
+    features = _line_features(F.col("value"), separator)
+    rows = lines.select("path", "block", "line", *(c.alias(n) for n, c in features.items()))
     order = Window.partitionBy("path", "block").orderBy("line")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)

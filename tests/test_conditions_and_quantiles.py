@@ -58,7 +58,7 @@ def brute(rows, items, error, support=None):
 STATES = {"=": "e", "<": "l", ">": "g", "<=": "le", ">=": "ge", "<>": "lg"}
 
 
-@pytest.mark.parametrize(("seed", "error"), [(0, 0.0), (1, 0.0), (2, 0.1), (3, 0.1)])
+@pytest.mark.parametrize(("seed", "error"), [(0, 0.0), (2, 0.1)])
 def test_conditions_are_those_of_every_row(spark, seed, error):
     rng = random.Random(seed)
     rows = []
@@ -112,7 +112,7 @@ def test_suggested_conditions_and_robust_ranges(spark):
     assert {r.test_name: r.estimated_failures for r in plain}["high stays in its range"] == 1
 
 
-@pytest.mark.parametrize("accuracy", [100, 1000])
+@pytest.mark.parametrize("accuracy", [100])
 def test_rank_error_of_quantiles(spark, accuracy):
     rng = random.Random(1)
     values = [rng.lognormvariate(0, 3) for _ in range(20_000)] + [7.0] * 5_000

@@ -61,10 +61,9 @@ def dependencies_of(df, **how):
     return sorted((tuple(r.determinant), r.dependent, r.violating_rows) for r in dep.dependencies(df, **how).collect())
 
 
-@pytest.mark.parametrize("sample", [20_000, 100])
-def test_keys_of_every_given_table(spark, monkeypatch, sample):
-    monkeypatch.setattr(dep, "SAMPLE_ROWS", sample)
-    for table in TABLES if sample == 100 else ("nation", "lineitem"):
+def test_keys_of_every_given_table(spark, monkeypatch):
+    monkeypatch.setattr(dep, "SAMPLE_ROWS", 100)
+    for table in TABLES:
         df = spark.read.parquet(f"{SF}/{table}.parquet")
         assert keys_of(df) == brute_keys(rows_of(df), df.columns, 3), table
 
@@ -79,7 +78,7 @@ def joined(spark):
     return both.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", planted, "s_name", "s_nationkey")
 
 
-@pytest.mark.parametrize(("error", "sample"), [(0.0, 20_000), (0.0, 500), (0.4, 500)])
+@pytest.mark.parametrize(("error", "sample"), [(0.0, 500), (0.4, 500)])
 def test_dependencies_of_a_joined_table(spark, monkeypatch, error, sample):
     monkeypatch.setattr(dep, "SAMPLE_ROWS", sample)
     df = joined(spark)
@@ -90,7 +89,7 @@ def test_dependencies_of_a_joined_table(spark, monkeypatch, error, sample):
     assert bool(planted) == (error > 0) and all(n > 0 for n in planted)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_small_tables_with_nulls_and_odd_values(spark, monkeypatch, seed):
     monkeypatch.setattr(dep, "SAMPLE_ROWS", 8)
     rng = random.Random(seed)
