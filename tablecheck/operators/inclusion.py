@@ -98,20 +98,24 @@ class _Sketch(NamedTuple):
 
     low: object
     high: object
-    hashes: int
+    hashes: int | None = None
 
     def may_share(self, other: _Sketch) -> bool:
         """False only where the two have no value in common for certain."""
         if self.low is None or other.low is None:
             return False
         apart = self.high < other.low or other.high < self.low
-        return not apart and bool(self.hashes & other.hashes)
+        return not apart and (self.hashes is None or bool(self.hashes & other.hashes))
 
 
 def _sketches(
-    frames: dict[str, DataFrame], sides: dict[str, dict[int, tuple[str, ...]]], value_type: str
+    frames: dict[str, DataFrame],
+    sides: dict[str, dict[int, tuple[str, ...]]],
+    value_type: str,
+    bitmaps: bool,
 ) -> dict[int, _Sketch]:
-    """One aggregate a table; what comes back is 4 KB for each side."""
+    """One aggregate a table; what comes back is the bounds of each side, and 4 KB with
+    `bitmaps`."""
     parts = []
     for table, own in sides.items():
         df = frames[table]
@@ -120,19 +124,23 @@ def _sketches(
         found = df.agg(
             *(f(v).alias(f"{n}{i}") for i, v in values.items() for n, f in (("low", F.min), ("high", F.max))),
             *(
-                F.bitmap_construct_agg(F.when(v.isNotNull(), F.bitmap_bit_position(place[i]))).alias(f"bits{i}")
+                F.bitmap_construct_agg(
+                    F.when(v.isNotNull(), F.bitmap_bit_position(place[i]))
+                ).alias(f"bits{i}")
                 for i, v in values.items()
+                if bitmaps
             ),
         )
+        names = ("low", "high", "bits") if bitmaps else ("low", "high")
         cells = F.array(
-            *(
-                F.struct(F.lit(i).alias("side"), *(F.col(f"{n}{i}").alias(n) for n in ("low", "high", "bits")))
-                for i in own
-            )
+            *(F.struct(F.lit(i).alias("side"), *(F.col(f"{n}{i}").alias(n) for n in names)) for i in own)
         )
         parts.append(found.select(F.inline(cells)))
     rows = reduce(DataFrame.unionByName, parts).collect()
-    return {r["side"]: _Sketch(r["low"], r["high"], int.from_bytes(r["bits"], "big")) for r in rows}
+    return {
+        r["side"]: _Sketch(r["low"], r["high"], int.from_bytes(r["bits"], "big") if bitmaps else None)
+        for r in rows
+    }
 
 
 _COLUMNS = (
@@ -147,16 +155,18 @@ def _inclusions(
     pairs: list[tuple[Side, Side]],
     parents: set[Side],
     value_type: str,
-    prune: bool,
+    prune: str,
 ) -> DataFrame:
     """The pairs that share values, all compared in one shuffle.
 
     A cell is its value and a bit set of one side; equal values are merged by OR, so a
     value ends as one row saying which sides hold it, however often it is repeated. The
     bit sets that occur are few; only they, with the number of values behind each, are
-    matched with pairs. No side is joined with another. With `prune`, sides that share
-    no value with any other for certain are not read for it.
+    matched with pairs. No side is joined with another. Sides that share no value with
+    any other for certain, as far as `prune` tells, are not read for it.
     """
+    if prune not in ("none", "bounds", "sketches"):
+        raise ValueError(f"prune must be 'none', 'bounds' or 'sketches', not {prune!r}")
     wanted = list(dict.fromkeys(side for pair in pairs for side in pair))
     frames = {table: tables(table) for table in dict.fromkeys(table for table, _ in wanted)}
 
@@ -171,8 +181,8 @@ def _inclusions(
         return {(table, names): i for table, own in sides.items() for i, names in own.items()}
 
     sides = numbered()
-    if prune and wanted:
-        found, ids = _sketches(frames, sides, value_type), ids_of(sides)
+    if prune != "none" and wanted:
+        found, ids = _sketches(frames, sides, value_type, prune == "sketches"), ids_of(sides)
         pairs = [(c, p) for c, p in pairs if found[ids[c]].may_share(found[ids[p]])]
         wanted = list(dict.fromkeys(side for pair in pairs for side in pair))
         sides = numbered()
@@ -264,14 +274,14 @@ def implied_foreign_keys(
     children: Iterable[tuple[str, str]],
     parents: Iterable[tuple[str, str]],
     min_coverage: float = 0.0,
-    prune: bool = True,
+    prune: str = "bounds",
 ) -> DataFrame:
     """(child_table, child_column, parent_table, parent_column, distinct_values, matched,
     coverage, parent_is_unique) for pairs of columns that share at least one value.
 
-    With `prune` a first pass over the columns keeps their bounds and a bitmap of their
-    values' hashes; columns that share no value with any other for certain are left out
-    of the shuffle. The rows are the same either way.
+    prune: a first pass over the columns keeps their "bounds", or with "sketches" also a
+    bitmap of their values' hashes, which takes longer; columns that share no value with
+    any other for certain are left out of the shuffle. The rows are the same with "none".
     """
     children, parents = list(children), list(parents)
     pairs, value_type = _comparable(tables, children, parents)
@@ -287,7 +297,7 @@ def implied_composite_keys(
     parents: Iterable[tuple[str, str]],
     min_coverage: float = 0.0,
     size: int = 2,
-    prune: bool = True,
+    prune: str = "bounds",
 ) -> DataFrame:
     """The same for sets of 2 to `size` columns of a table; the columns' names are listed
     with commas, a child's in the order of their names.

@@ -161,8 +161,8 @@ def test_pruning_changes_no_row_and_keeps_columns_from_the_shuffle(spark, tmp_pa
     tables = from_frames({t: spark.read.parquet(f"{tmp_path}/{t}") for t in "cp"})
     children = [("c", "near"), ("c", "far"), ("c", "even")]
     for parents in ([("p", "k"), ("p", "odd")], [("p", "odd")]):
-        whole = implied_foreign_keys(tables, children, parents, prune=False)
-        pruned = implied_foreign_keys(tables, children, parents)
+        whole = implied_foreign_keys(tables, children, parents, prune="none")
+        pruned = implied_foreign_keys(tables, children, parents, prune="sketches")
         assert rows(pruned) == rows(whole)
         plan = pruned._jdf.queryExecution().executedPlan().toString()
         assert "far" in whole._jdf.queryExecution().executedPlan().toString()
@@ -170,6 +170,10 @@ def test_pruning_changes_no_row_and_keeps_columns_from_the_shuffle(spark, tmp_pa
         if parents == [("p", "odd")]:
             assert "even#" not in plan, "by the bitmaps of its hashes"
     assert rows(implied_foreign_keys(tables, [("c", "far")], [("p", "k")])) == []
+    bounds = implied_foreign_keys(tables, children, [("p", "k"), ("p", "odd")])
+    assert "far#" not in bounds._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="prune must be"):
+        implied_foreign_keys(tables, children, [("p", "k")], prune="all")
 
 
 def brute_composite(tables, children, parents, size):
@@ -190,7 +194,7 @@ def brute_composite(tables, children, parents, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("seed", "prune"), [(0, True), (1, True), (1, False)])
+@pytest.mark.parametrize(("seed", "prune"), [(0, "bounds"), (1, "sketches"), (1, "none")])
 def test_composite_keys_against_brute_force(spark, seed, prune):
     rng = random.Random(seed)
     pick = lambda *extra: rng.choice([*range(6), *extra])
