@@ -5,18 +5,22 @@ symbols are tested for what random ones would show: equal use of the alphabet (c
 over eight parts of it), as many changes between its halves as by chance (runs test) and
 no correlation of neighbours. The three p-values make one (Cauchy combination).
 
-How random must a run look to be reported? As a control, ordinary text of the same length
-is taken from before each run and goes through the same battery. For every range of
-lengths the cut is the lowest p-value above which the controls, counted over all
-documents, are at most FALSE_SHARE of the runs. Short runs look random more easily, and so
-get a higher cut or none.
+How random must a run look to be reported? Ordinary text and long names are the null
+hypothesis: `chance` says how often a run of some length that is no secret looks as random
+as this one. It comes from a fixed reference and from controls, ordinary text of the same
+length taken from before each run, pooled over neighbouring lengths. A step-up rule over
+all runs apart from base spans then bounds the expected share of false ones by
+FALSE_SHARE. What counts is the share of runs that look random, not their number: one
+document is judged like a thousand of its kind. Short runs look random more easily, and so
+need more.
 """
 
 from __future__ import annotations
 
-from math import pi
+from collections.abc import Callable
+from math import exp, pi, sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import bound, kept, steps, texts
 
@@ -47,10 +51,65 @@ PARTS = 8
 FALSE_SHARE = 0.05
 LENGTHS = (20, 24, 28, 34, 40, 48, 64, 96)
 BINS = 1000
+#: The reference: of texts (three parts) and of names made of words (one part) a share of
+#: AT_ONE * exp((15 - length) / DECAY) / sqrt(r) has a p-value of r or more in the battery.
+#: Fitted once, to 700 of each at each of LENGTHS.
+AT_ONE = 0.025
+DECAY = 9.5
+#: So many controls count as much as the reference.
+WEIGHT = 100
+#: No test of a battery can outweigh a failed one: p-values count as this at most.
+MOST_P = 0.95
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """The results of `add` over all whole numbers up to each place, `add` associative.
+
+    An array that grows by an element is copied, which is quadratic; so the values are
+    cut in blocks of about the root of their number, and blocks are put together after.
+    """
+
+    def grown(array: Column, initial: Column, value: Callable[[Column], Column]) -> Column:
+        def step(done: Column, x: Column) -> Column:
+            last = F.get(done, F.size(done) - 1)
+            return F.concat(done, F.array(F.coalesce(add(last, value(x)), value(x))))
+
+        return F.aggregate(array, initial, step)
+
+    empty = F.array().cast("array<int>")
+
+    def in_blocks(v: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+
+        def together(blocks: Column) -> Column:
+            ends = grown(blocks, empty, lambda b: F.get(b, F.size(b) - 1))
+            return bound(
+                ends,
+                lambda e: F.flatten(
+                    F.transform(
+                        blocks,
+                        lambda b, k: F.transform(
+                            b, lambda x: F.coalesce(add(F.get(e, k - 1), x), x)
+                        ),
+                    )
+                ),
+            )
+
+        def cut(n: Column) -> Column:
+            places = steps(F.ceil(F.size(v) / n).cast("int"))
+            block = F.transform(
+                places, lambda k: grown(F.slice(v, k * n + 1, n), empty, lambda x: x)
+            )
+            return bound(block, together)
+
+        return bound(size, cut)
+
+    return bound(values, in_blocks)
 
 
 def matches(text: Column, pattern: str, group: Column | None = None) -> Column:
-    """start, end, match and the text before, of the leftmost matches in code points.
+    """start, end, match, value (the group) and the text before, of the leftmost matches
+    in code points.
 
     The pieces between matches and the matches alternate, so their lengths add up to
     the places.
@@ -58,27 +117,17 @@ def matches(text: Column, pattern: str, group: Column | None = None) -> Column:
 
     def laid_out(x: Column) -> Column:
         found, between = x["found"], x["between"]
-        start = F.struct(
-            F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
+        lengths = F.transform(
+            found, lambda m, i: F.char_length(F.get(between, i)) + F.char_length(m)
         )
-
-        def add(state: Column, i: Column) -> Column:
-            begin = state["at"] + F.char_length(F.get(between, i))
-            end = begin + F.char_length(F.get(found, i))
-            span = F.struct(begin.alias("start"), end.alias("end"))
-            return F.struct(
-                end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans")
-            )
-
-        spans = F.aggregate(steps(F.size(found)), start, add, lambda s: s["spans"])
         return bound(
-            spans,
-            lambda s: F.transform(
-                s,
-                lambda span, i: F.struct(
-                    span["start"].alias("start"),
-                    span["end"].alias("end"),
-                    F.get(found, i).alias("match"),
+            running(lengths, lambda a, b: a + b),
+            lambda ends: F.transform(
+                found,
+                lambda m, i: F.struct(
+                    (F.get(ends, i) - F.char_length(m)).alias("start"),
+                    F.get(ends, i).alias("end"),
+                    m.alias("match"),
                     F.get(between, i).alias("before"),
                     F.get(x["value"], i).alias("value"),
                 ),
@@ -177,7 +226,7 @@ def serial_test(v: Column) -> Column:
 
 def combined(p_values: list[Column]) -> Column:
     """One p-value of several dependent ones, by the mean of their Cauchy quantiles."""
-    inside = [F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p)) for p in p_values]
+    inside = [F.greatest(F.lit(1e-12), F.least(F.lit(MOST_P), p)) for p in p_values]
     mean = sum((F.tan((0.5 - p) * pi) for p in inside), F.lit(0.0)) / len(p_values)
     return 0.5 - F.atan(mean) / pi
 
@@ -201,12 +250,48 @@ def randomness(run: Column) -> Column:
     return bound(alphabet, read)
 
 
+def apart(base: Column, runs: Column) -> Column:
+    """For each run, both sorted by start, whether no base span overlaps it.
+
+    Of the spans that start no later the one that reaches furthest decides; of the others
+    the next one, as runs don't overlap each other.
+    """
+    flat = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("run"), b["end"].alias("end"))),
+        F.transform(runs, lambda r: F.struct(r["start"].alias("start"), F.lit(1).alias("run"), r["end"].alias("end"))),
+    )
+
+    def judged(x: Column) -> Column:
+        reach = running(
+            F.transform(x, lambda s: F.when(s["run"] == 0, s["end"]).otherwise(F.lit(0))),
+            lambda a, b: F.when(a.isNotNull(), F.greatest(a, b)),
+        )
+
+        def flags(ends: Column) -> Column:
+            def free(s: Column, i: Column) -> Column:
+                after = F.get(x, i + 1)
+                met = (after["run"] == 0) & (after["start"] < s["end"])
+                return F.struct(
+                    s["run"].alias("run"),
+                    ((F.get(ends, i) <= s["start"]) & ~F.coalesce(met, F.lit(False))).alias("free"),
+                )
+
+            return F.transform(
+                F.filter(F.transform(x, free), lambda s: s["run"] == 1), lambda s: s["free"]
+            )
+
+        return bound(reach, flags)
+
+    return bound(F.sort_array(flat), judged)
+
+
 def with_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans) and runs: start, end, p and control, the control text's p."""
+    """doc_id, base (spans) and runs: start, end, whether apart from base spans, the
+    battery's p and that of the control text."""
     text = F.col("text")
 
-    def measured(found: Column) -> Column:
-        def one(m: Column) -> Column:
+    def measured(x: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
             length = m["end"] - m["start"]
             plain = F.regexp_replace(m["before"], "[^A-Za-z0-9+/_=-]+", "")
             control = F.when(
@@ -216,29 +301,54 @@ def with_runs(docs: DataFrame) -> DataFrame:
             return F.struct(
                 m["start"].alias("start"),
                 m["end"].alias("end"),
+                F.get(x["apart"], i).alias("apart"),
                 randomness(m["match"]).alias("p"),
                 bound(control, lambda c: F.coalesce(randomness(c), F.when(c.isNotNull(), 0.0))).alias("control"),
             )
 
-        return F.transform(found, one)
+        return F.transform(x["found"], one)
 
-    return texts(docs).select(
-        "doc_id", base_spans(text).alias("base"), bound(matches(text, RUN), measured).alias("runs")
+    spans = texts(docs).select(
+        "doc_id", base_spans(text).alias("base"), matches(text, RUN).alias("found")
     )
+    free = F.struct(F.col("found").alias("found"), apart(F.col("base"), F.col("found")).alias("apart"))
+    none = F.array().cast(
+        "array<struct<start:int,end:int,apart:boolean,p:double,control:double>>"
+    )
+    runs = F.when(F.size("found") > 0, bound(free, measured)).otherwise(none)
+    return spans.select("doc_id", "base", runs.alias("runs"))
 
 
 def length_range(length: Column) -> Column:
     return sum(((length >= low).cast("int") for low in LENGTHS), F.lit(0))
 
 
+def chance(length: int, r: float, above: int, controls: int) -> float:
+    """How often what is no secret looks as random as `r`: the reference, or more if of
+    the controls more do. Without controls it is the reference."""
+    reference = min(1.0, AT_ONE * exp((15 - length) / DECAY) / sqrt(max(r, 1e-9)))
+    return max(reference, (WEIGHT * reference + above) / (WEIGHT + controls))
+
+
+def stepped_up(tested: list[tuple[float, int]]) -> float:
+    """The highest chance that is still reported, of (chance, number of runs), by the rule
+    of Benjamini and Hochberg; below 0 if none is."""
+    total, seen, cut = sum(n for _, n in tested), 0, -1.0
+    for p, n in sorted(tested):
+        seen += n
+        if p * total <= FALSE_SHARE * seen:
+            cut = p
+    return cut
+
+
 def cuts(rows: DataFrame) -> dict[int, float]:
     """The least p-value that is reported, for each range of lengths that has one."""
     runs = rows.select(F.explode("runs").alias("r")).select(
-        length_range(F.col("r.end") - F.col("r.start")).alias("lengths"), "r.p", "r.control"
+        length_range(F.col("r.end") - F.col("r.start")).alias("lengths"), "r.*"
     )
 
     def binned(p: str, run: int) -> DataFrame:
-        return runs.where(F.col(p).isNotNull()).select(
+        return runs.where(F.col(p).isNotNull() & (F.lit(run == 0) | F.col("apart"))).select(
             "lengths",
             F.least(F.floor(F.col(p) * BINS), F.lit(BINS - 1)).alias("bin"),
             F.lit(run).alias("run"),
@@ -249,14 +359,27 @@ def cuts(rows: DataFrame) -> dict[int, float]:
         binned("p", 1).union(binned("control", 0)).groupBy("lengths", "bin")
         .agg(F.sum("run").alias("run"), F.sum("control").alias("control"))
     )
-    above = Window.partitionBy("lengths").orderBy(F.desc("bin"))
-    shares = counts.select(
-        "lengths", "bin", F.sum("run").over(above).alias("run"),
-        F.sum("control").over(above).alias("control"),
-    )
-    fine = shares.where(F.col("control") + 1 <= FALSE_SHARE * F.col("run"))
-    found = fine.groupBy("lengths").agg(F.min("bin").alias("bin")).collect()
-    return {r["lengths"]: r["bin"] / BINS for r in found}  # a row for each range
+    found = counts.collect()  # at most a row for each bin of each range
+    tested = []
+    for lengths in sorted({c["lengths"] for c in found}):
+        near = [c for c in found if abs(c["lengths"] - lengths) <= 1]
+        controls = sum(c["control"] for c in near)
+        upwards = [0] * BINS
+        for c in near:
+            upwards[c["bin"]] += c["control"]
+        for b in range(BINS - 2, -1, -1):
+            upwards[b] += upwards[b + 1]
+        for c in found:
+            if c["lengths"] == lengths and c["run"]:
+                r = c["bin"] / BINS
+                p = chance(LENGTHS[lengths - 1], r, upwards[c["bin"]], controls)
+                tested.append((lengths, r, p, c["run"]))
+    limit = stepped_up([(p, n) for *_, p, n in tested])
+    least: dict[int, float] = {}
+    for lengths, r, p, _ in tested:
+        if p <= limit:
+            least[lengths] = min(r, least.get(lengths, 1.0))
+    return least
 
 
 def listed(spans: Column) -> Column:
@@ -276,9 +399,8 @@ def secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, the numbers of base spans by kind, n_random, base_sha256 and spans.
 
     A NULL or empty text has no spans. A run that overlaps a base span adds none. Repeated
-    rows get the same result and count as often as they occur in the cuts; a NULL doc_id
-    stays. Where there are too few runs of a length to bound the false ones, none of that
-    length is added. Other columns are not read.
+    rows get the same result and count as often as they occur; a NULL doc_id stays. Other
+    columns are not read.
     """
     rows = kept(spark, with_runs(docs), "runs")
     found = cuts(rows)
@@ -288,8 +410,7 @@ def secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
         cut = F.lit(2.0)
         for name, p in found.items():
             cut = F.when(lengths == name, F.lit(p)).otherwise(cut)
-        apart = ~F.exists("base", lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
-        return apart & F.coalesce(run["p"] >= cut, F.lit(False))
+        return run["apart"] & F.coalesce(run["p"] >= cut, F.lit(False))
 
     added = F.transform(
         F.filter("runs", is_secret),

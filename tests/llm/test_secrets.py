@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import re
 
@@ -85,10 +86,79 @@ def test_random_strings_are_told_from_long_words(spark):
     assert false <= 0.1 * len(rows)
 
 
-def test_too_few_runs_add_nothing(spark):
-    rows, _ = planted(8)
+@pytest.mark.parametrize("n", [2, 8, 38, 40, 400])
+def test_the_number_of_documents_decides_nothing(spark, n):
+    """The same kind of table with one key, with 19, 20 and with many."""
+    rows, places = planted(n)
     found = S.secrets(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.n_random for r in found} == {0}
+    hits = sum(r.spans == places.get(r.doc_id, "none") for r in found)
+    assert hits >= (0.85 if n > 8 else 0.7) * len(places)
+    assert sum("random" in r.spans for r in found if r.doc_id not in places) <= 0.1 * n
+
+
+def test_repeating_a_table_changes_no_verdict(spark):
+    rows, _ = planted(20)
+    seen = []
+    for copies in (1, 3, 25):
+        again = [(1000 * k + i, t) for k in range(copies) for i, t in rows]
+        found = S.secrets(spark, spark.createDataFrame(again, "doc_id long, text string")).collect()
+        seen.append(sorted((r.doc_id, r.spans) for r in found if r.doc_id < 1000))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_chances_fall_with_length_and_randomness():
+    by_length = [S.chance(n, 0.1, 0, 0) for n in S.LENGTHS]
+    by_score = [S.chance(28, r / 100, 0, 0) for r in range(101)]
+    assert by_length == sorted(by_length, reverse=True)
+    assert by_score == sorted(by_score, reverse=True)
+    # Controls that look random raise a chance, others don't lower it.
+    assert S.chance(40, 0.5, 0, 10**6) == S.chance(40, 0.5, 0, 0)
+    assert S.chance(40, 0.5, 500, 1000) > 0.4
+
+
+def test_stepping_up_is_the_largest_rank_that_fits():
+    rng = random.Random(8)
+    for _ in range(300):
+        tested = [(rng.random() ** rng.choice([1, 4]), rng.randint(1, 5)) for _ in range(rng.randint(0, 12))]
+        each = sorted(p for p, n in tested for _ in range(n))
+        fits = [p for k, p in enumerate(each, 1) if p * len(each) <= S.FALSE_SHARE * k]
+        assert S.stepped_up(tested) == (max(fits) if fits else -1.0)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 99, 2000])
+def test_running_sums_and_maxima(spark, n):
+    rng = random.Random(n)
+    values = [rng.randint(0, 1000) for _ in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<int>").select(
+        S.running(F.col("v"), lambda a, b: a + b).alias("sums"),
+        S.running(F.col("v"), lambda a, b: F.when(a.isNotNull(), F.greatest(a, b))).alias("most"),
+    ).first()
+    assert row.sums == list(itertools.accumulate(values))
+    assert row.most == list(itertools.accumulate(values, max))
+
+
+def test_runs_apart_from_base_spans(spark):
+    rng = random.Random(12)
+    cases = []
+    for _ in range(300):
+        base = [(a, rng.randint(0, 2), a + rng.randint(1, 30)) for a in rng.sample(range(300), rng.randint(0, 8))]
+        runs, at = [], 0
+        while at < 300 and len(runs) < 8:
+            at += rng.randint(0, 30)
+            runs.append((at, at + rng.randint(20, 40)))
+            at = runs[-1][1]
+        cases.append((sorted(base), runs))
+    schema = "b array<struct<start:int,kind:int,end:int>>, r array<struct<start:int,end:int>>"
+    rows = spark.createDataFrame(cases, schema).select("b", "r", S.apart(F.col("b"), F.col("r")).alias("free"))
+    for row in rows.collect():
+        assert row.free == [not any(b.start < r.end and b.end > r.start for b in row.b) for r in row.r]
+
+
+def test_one_text_with_very_many_matches(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=30))
+    text = " ".join(f"token={i:06d}x {key}" for i in range(15_000))
+    agrees(spark, spark.createDataFrame([(1, text), (2, "token=abcdef")], "doc_id long, text string"))
 
 
 @pytest.mark.parametrize("run, low, high", [
