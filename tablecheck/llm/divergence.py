@@ -3,17 +3,22 @@
 Two histograms are compared with references by Jensen-Shannon distance: the classes of a
 document's characters, and its common words. The references are the sums over all
 different documents of a language that pass the base rules, each of which counts for few
-words however long it is. A document is held against the reference of its own language
-only; without one it is not judged. Words are counted by hash in a fixed
-number of buckets, so references take bounded memory and a small shuffle; common words
-stand far out of what rare words add to a bucket. Short documents are not judged: their
-histograms are far from any reference by chance.
+words however long it is. A document is held against the reference of its own language.
+
+A reference of few documents says little. That of the characters is therefore drawn
+towards the nearest of a few fixed profiles of scripts, that of the words towards the
+document itself, as if PRIOR_DOCUMENTS more had been seen. So a language of one document
+is judged like any other, only more leniently by its words, and no number of documents
+makes a verdict jump.
+
+Words are counted by hash in a fixed number of buckets, so references take bounded memory
+and a small shuffle; common words stand far out of what rare words add to a bucket. Short
+documents are not judged: their histograms are far from any reference by chance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -27,13 +32,23 @@ MOST_REPEATED = 20
 BUCKETS = 4096
 COMMON = 64
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "other")
-#: A reference needs so many words, a document so many to be judged by it.
-REFERENCE_WORDS = 2000
-#: A document counts in its reference for so many words at most, so that a reference has
-#: 50 different documents at least and none has more than a fiftieth of it.
+#: Shares of CLASSES in prose of letters a-z, of another alphabet and of a
+#: script without spaces.
+SCRIPTS = (
+    (0.76, 0.03, 0.01, 0.16, 0.03, 0.0, 0.01),
+    (0.01, 0.0, 0.01, 0.16, 0.03, 0.0, 0.79),
+    (0.03, 0.01, 0.02, 0.02, 0.01, 0.0, 0.91),
+)
+PRIOR_DOCUMENTS = 10
+#: A document counts in its reference for so many words at most.
 DOCUMENT_WORDS = 40
+#: A reference takes under 6 KB; so many are broadcast, more are joined by a shuffle in
+#: which each language has SALTS keys.
+BROADCAST_LANGUAGES = 2000
+SALTS = 32
 #: Parts of a word that references are summed in: sums of whole numbers have no order.
 PARTS = 1 << 24
+#: A document needs so many words to be judged by its characters, by its words.
 CLASS_WORDS = 30
 COMMON_WORDS = 100
 CLASS_DISTANCE = 0.33
@@ -151,19 +166,11 @@ def profiles(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class References:
-    """For each language the shares of character classes, and those of the common words
-    of any language and of all other words; `bins` gives a bucket's common word or -1."""
-
-    classes: list[list[float]]
-    words: list[list[float]]
-    bins: list[int]
-    langs: tuple[str, ...] = ()
-
-
-def references(rows: DataFrame) -> References:
-    """From the profiles of all documents that pass the base rules, copies once."""
+def references(rows: DataFrame) -> DataFrame:
+    """A row for each language with a document that passes the base rules, copies once:
+    lang, docs (how many whole documents it is made of), ref_classes (shares of CLASSES),
+    ref_words (shares of its common words and of all others) and bins (the place of each
+    bucket in ref_words)."""
     weight = F.least("n_words", F.lit(DOCUMENT_WORDS)) * F.lit(float(PARTS))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     passing = (
@@ -174,56 +181,52 @@ def references(rows: DataFrame) -> References:
         .withColumn("chars", chars)
     )
     sums = passing.groupBy("lang").agg(
-        F.sum(F.least("n_words", F.lit(DOCUMENT_WORDS))).alias("n_words"),
+        (F.sum(F.least("n_words", F.lit(DOCUMENT_WORDS))) / DOCUMENT_WORDS).alias("docs"),
         F.sum(F.col("n_words") * F.col("per_word")).alias("weight"),
-        *(
-            F.sum(F.floor(weight * F.get("classes", F.lit(i)) / F.col("chars")).cast("long"))
-            .alias(f"c{i}")
-            for i in range(len(CLASSES))
-        ),
+        F.array(
+            *(
+                F.sum(F.floor(weight * F.get("classes", F.lit(i)) / F.col("chars")).cast("long"))
+                for i in range(len(CLASSES))
+            )
+        ).alias("classes"),
     )
-    known = {
-        r["lang"]: r for r in sums.where(F.col("n_words") >= REFERENCE_WORDS).orderBy("lang").collect()
-    }
-    if not known:
-        return References([], [], [-1] * BUCKETS)
-    counts = kept(
-        rows.sparkSession,
-        passing.where(F.col("lang").isin(list(known)))
-        .select("lang", "per_word", F.explode("buckets").alias("bucket"))
-        .groupBy("lang", "bucket").agg(F.sum("per_word").alias("count")),
-        "buckets",
+    counts = (
+        passing.select("lang", "per_word", F.explode("buckets").alias("bucket"))
+        .groupBy("lang", "bucket").agg(F.sum("per_word").alias("count"))
     )
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "bucket")
-    common = {
-        r["bucket"]
-        for r in counts.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= COMMON).select("bucket").collect()
-    }
-    places = {bucket: i for i, bucket in enumerate(sorted(common))}
-    words = {lang: [0.0] * (len(places) + 1) for lang in known}
-    chosen = counts.where(F.col("bucket").isin(list(places) or [-1]))
-    for r in chosen.collect():  # languages times common words
-        words[r["lang"]][places[r["bucket"]]] = r["count"] / known[r["lang"]]["weight"]
-    for shares in words.values():
-        shares[-1] = 1 - sum(shares)
-    classes = []
-    for r in known.values():
-        parts = [r[f"c{i}"] for i in range(len(CLASSES))]
-        classes.append([x / max(1, sum(parts)) for x in parts])
-    bins = [places.get(b, -1) for b in range(BUCKETS)]
-    return References(classes, list(words.values()), bins, tuple(known))
-
-
-def literal(values: list, kind: str) -> Column:
-    """A constant array, written as SQL so that it is one expression for the driver."""
+    common = (  # at most COMMON rows of a language
+        counts.withColumn("place", F.row_number().over(order) - 1)
+        .where(F.col("place") < COMMON)
+        .groupBy("lang")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "bucket", "count"))).alias("common"))
+    )
+    parts = F.greatest(F.lit(1), F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))
+    shares = F.transform("common", lambda c: c["count"] / F.col("weight"))
+    entries = F.transform("common", lambda c: F.struct(c["bucket"], c["place"]))
+    place = bound(
+        F.map_from_entries(entries),
+        lambda m: F.transform(
+            steps(F.lit(BUCKETS)),
+            lambda b: F.coalesce(F.try_element_at(m, b.cast("short")), F.size("common")).cast("byte"),
+        ),
+    )
+    return sums.join(common, "lang").select(
+        "lang",
+        "docs",
+        bound(parts, lambda n: F.transform("classes", lambda x: x / n)).alias("ref_classes"),
+        bound(shares, lambda s: F.concat(s, F.array(1 - total(s)))).alias("ref_words"),
+        place.alias("bins"),
+    )
 
-    def sql(x) -> str:
-        if isinstance(x, list):
-            return f"array({', '.join(map(sql, x))})"
-        return f"{x!r}D" if isinstance(x, float) else str(x)
 
-    return F.expr(f"cast({sql(values)} AS {kind})")
+def with_references(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """Every row with the reference of its language, NULL where there is none."""
+    if refs.count() <= BROADCAST_LANGUAGES:
+        return rows.join(F.broadcast(refs), "lang", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")
+    spread = refs.withColumn("salt", F.explode(steps(F.lit(SALTS))))
+    return rows.withColumn("salt", salt).join(spread, ["lang", "salt"], "left").drop("salt")
 
 
 def divergence_term(p: Column, q: Column) -> Column:
@@ -243,42 +246,32 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def to_reference(
-    values: list[list[float]], refs: References, lang: Column | None, to: Callable[[Column], Column]
-) -> Column:
-    """Distance to the reference of a language, NULL if it has none; without a language
-    to the nearest of all."""
-    table = literal(values, "array<array<double>>")
-    if lang is None:
-        return F.array_min(F.transform(table, to))
-    place = F.array_position(F.array(*map(F.lit, refs.langs)), lang).cast("int") - 1
-    return bound(F.get(table, place), lambda ref: F.when(ref.isNotNull(), to(ref)))
+def drawn(own: Column, docs: Column, prior: Column) -> Column:
+    """A share in a reference of `docs` documents, drawn towards a prior one."""
+    return (docs * own + PRIOR_DOCUMENTS * prior) / (docs + PRIOR_DOCUMENTS)
 
 
-def class_distance(classes: Column, refs: References, lang: Column | None = None) -> Column:
-    """Distance of the character classes to the language's (or the nearest) reference."""
+def class_distance(classes: Column, own: Column, docs: Column) -> Column:
+    """Distance of the character classes to the language's reference, drawn towards the
+    script that makes it nearest. Without a reference `docs` is 0."""
 
     def nearest(shares: Column) -> Column:
-        def to(ref: Column) -> Column:
+        def to(script: tuple[float, ...]) -> Column:
+            fixed = F.array(*map(F.lit, script))
+            ref = F.zip_with(own, fixed, lambda q, s: drawn(q, docs, s))
             return distance(total(F.zip_with(shares, ref, divergence_term)))
 
-        return to_reference(refs.classes, refs, lang, to)
+        return F.least(*map(to, SCRIPTS))
 
     sums = F.aggregate(classes, F.lit(0).cast("long"), lambda a, x: a + x)
     shares = bound(sums, lambda n: F.transform(classes, lambda x: x / F.greatest(n, F.lit(1))))
     return bound(shares, nearest)
 
 
-def word_distance(buckets: Column, refs: References, lang: Column | None = None) -> Column:
-    """Distance of the common words' histogram to the language's (or the nearest) reference."""
-    table = literal(refs.bins, "array<int>")
-    other = len(refs.words[0]) - 1 if refs.words else 0
-    found = F.sort_array(
-        F.transform(
-            buckets,
-            lambda b: F.when(F.get(table, b) >= 0, F.get(table, b)).otherwise(F.lit(other)),
-        )
-    )
+def word_distance(buckets: Column, bins: Column, own: Column, docs: Column) -> Column:
+    """Distance of the histogram of common words to the language's reference, drawn
+    towards the document; NULL without a reference."""
+    found = F.sort_array(F.transform(buckets, lambda b: F.get(bins, b.cast("int"))))
 
     def starts(s: Column) -> Column:
         return F.filter(steps(F.size(s)), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
@@ -289,22 +282,26 @@ def word_distance(buckets: Column, refs: References, lang: Column | None = None)
             return F.transform(
                 at,
                 lambda i, j: F.struct(
-                    F.get(s, i).alias("bin"),
+                    F.get(own, F.get(s, i).cast("int")).alias("q"),
                     ((F.coalesce(F.get(at, j + 1), end) - i) / end).alias("p"),
                 ),
             )
 
         return bound(starts(s), shares)
 
-    def nearest(bins: Column) -> Column:
-        def to(ref: Column) -> Column:
-            here = total(F.transform(bins, lambda x: divergence_term(x["p"], F.get(ref, x["bin"]))))
-            absent = 1 - total(F.transform(bins, lambda x: F.get(ref, x["bin"])))
+    def apart(seen: Column) -> Column:
+        both = F.transform(
+            seen, lambda x: F.struct(x["p"].alias("p"), drawn(x["q"], docs, x["p"]).alias("q"))
+        )
+
+        def summed(pairs: Column) -> Column:
+            here = total(F.transform(pairs, lambda x: divergence_term(x["p"], x["q"])))
+            absent = 1 - total(F.transform(pairs, lambda x: x["q"]))
             return distance(here + 0.5 * absent)
 
-        return to_reference(refs.words, refs, lang, to)
+        return bound(both, summed)
 
-    return bound(bound(found, present), nearest)
+    return F.when(bins.isNotNull(), bound(bound(found, present), apart))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -312,17 +309,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A NULL or empty text has no words and fails the base rules. Repeated rows get the same
     result and count once in the references; a NULL doc_id stays, a NULL or missing lang is
-    a language of its own. A distance is NULL where the document is too short or its
-    language has too few documents for a reference; then it rejects nothing. Of other
-    columns none is read.
+    a language of its own. A distance is NULL where the document is too short, that of the
+    words also where no document of its language passes the base rules; then it rejects
+    nothing. Of other columns none is read.
     """
     rows = profiles(spark, docs)
-    refs = references(rows)
-    if refs.classes:
-        by_class = class_distance(F.col("classes"), refs, F.col("lang"))
-        by_word = word_distance(F.col("buckets"), refs, F.col("lang"))
-    else:
-        by_class = by_word = F.lit(None).cast("double")
+    rows = with_references(rows, kept(spark, references(rows), "references"))
+    docs_seen = F.coalesce("docs", F.lit(0.0))
+    own = F.coalesce("ref_classes", F.array(*(F.lit(0.0) for _ in CLASSES)))
+    by_class = class_distance(F.col("classes"), own, docs_seen)
+    by_word = word_distance(F.col("buckets"), F.col("bins"), F.col("ref_words"), docs_seen)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     judged = rows.select(
         "doc_id", *counts, "base_failed",

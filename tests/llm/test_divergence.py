@@ -66,22 +66,59 @@ def js(p, q):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_distances_are_jensen_shannon(spark, seed):
+@pytest.mark.parametrize("docs", [0.0, 1.0, 50.0, 1e9])
+def test_distances_are_jensen_shannon(spark, seed, docs):
     rng = np.random.default_rng(seed)
-    words = rng.dirichlet(np.ones(6), size=2)
-    classes = rng.dirichlet(np.ones(len(D.CLASSES)), size=2)
-    bins = [-1] * D.BUCKETS
+    words, classes = rng.dirichlet(np.ones(6)), rng.dirichlet(np.ones(len(D.CLASSES)))
+    bins = [5] * D.BUCKETS
     for i in range(5):
         bins[100 * i + 7] = i
-    refs = D.References(classes.tolist(), words.tolist(), bins)
     buckets = rng.choice([7, 107, 207, 900, 1000], size=50).tolist()
     counts = rng.integers(0, 50, size=len(D.CLASSES)).tolist()
-    row = spark.createDataFrame([(buckets, counts)], "b array<int>, c array<bigint>").select(
-        D.word_distance(F.col("b"), refs).alias("w"), D.class_distance(F.col("c"), refs).alias("c")
+    schema = "b array<int>, c array<bigint>, bins array<tinyint>, w array<double>, r array<double>, n double"
+    row = spark.createDataFrame([(buckets, counts, bins, words.tolist(), classes.tolist(), docs)], schema).select(
+        D.word_distance(F.col("b"), F.col("bins"), F.col("w"), F.col("n")).alias("w"),
+        D.class_distance(F.col("c"), F.col("r"), F.col("n")).alias("c"),
     ).first()
-    share = np.bincount([bins[b] if bins[b] >= 0 else 5 for b in buckets], minlength=6) / 50
-    assert row.w == pytest.approx(min(js(share, q) for q in words), abs=1e-9)
-    assert row.c == pytest.approx(min(js(np.array(counts) / sum(counts), q) for q in classes), abs=1e-9)
+    share = np.bincount([bins[b] for b in buckets], minlength=6) / 50
+    m = docs / (docs + D.PRIOR_DOCUMENTS)
+    assert row.w == pytest.approx(js(share, m * words + (1 - m) * share), abs=1e-6)
+    mixed = [m * classes + (1 - m) * np.array(s) for s in D.SCRIPTS]
+    assert row.c == pytest.approx(min(js(np.array(counts) / sum(counts), q) for q in mixed), abs=1e-6)
+
+
+def test_scripts_are_shares():
+    assert all(sum(s) == pytest.approx(1) and len(s) == len(D.CLASSES) for s in D.SCRIPTS)
+
+
+def test_references_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = D.profiles(spark, docs)
+    refs = {r.lang: r for r in D.references(rows).collect()}
+    seen = {(r.lang, r.key): r for r in rows.collect() if not r.base_failed}
+    assert set(refs) == {lang for lang, _ in seen}
+    for lang, ref in refs.items():
+        mine = [r for (x, _), r in seen.items() if x == lang]
+        assert ref.docs == pytest.approx(sum(min(r.n_words, 40) for r in mine) / 40)
+        count, classes = Counter(), np.zeros(len(D.CLASSES))
+        for r in mine:
+            for b in r.buckets:
+                count[b] += min(r.n_words, 40) / r.n_words
+            classes += min(r.n_words, 40) * np.array(r.classes) / sum(r.classes)
+        assert list(ref.ref_classes) == pytest.approx(list(classes / classes.sum()), abs=1e-5)
+        placed = {b: i for b, i in enumerate(ref.bins) if i < D.COMMON}
+        assert len(placed) == D.COMMON == len(ref.ref_words) - 1
+        whole = sum(count.values())
+        for b, i in placed.items():
+            assert ref.ref_words[i] == pytest.approx(count[b] / whole, abs=1e-5)
+        assert min(count[b] for b in placed) >= max(n for b, n in count.items() if b not in placed) - 1e-4
+
+
+def test_more_languages_than_are_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(str, D.quality_rules(spark, docs).collect()))
+    monkeypatch.setattr(D, "BROADCAST_LANGUAGES", 1)
+    assert sorted(map(str, D.quality_rules(spark, docs).collect())) == want
 
 
 def test_no_python_runs(spark, docs):
@@ -105,10 +142,27 @@ def test_a_document_is_judged_by_its_own_language(spark):
     rows += [(2000 + i, noise + " end", "en") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: r for r in D.quality_rules(spark, docs).collect()}
-    # A language with one document, short or long, has no reference and judges nothing.
-    for doc_id in (1000, 1002, 1004):
-        assert found[doc_id].class_distance is None and found[doc_id].word_distance is None
-        assert found[doc_id].kept
+    # A language with one document is judged by its script, and mildly by its words.
+    assert found[1000].kept and found[1004].kept
     # Neither a long document nor many copies of it make noise a reference of others.
-    assert not any(found[i].kept for i in (1001, 1003, 2000))
+    assert not any(found[i].kept for i in (1001, 1002, 1003, 2000))
     assert all(found[i].kept for i in range(80))
+
+
+def test_no_number_of_documents_makes_a_verdict_jump(spark):
+    """One text of each kind beside 0, 5, 49, 50 and 500 others of its language."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "bcdfghlmnp" for b in ("at", "en", "ir", "ost", "und", "aver")]
+    good = prose(rng, words, 300)
+    noise = " ".join("".join(rng.choices("#$%&|0123456789", k=7)) for _ in range(300))
+    rows, sizes = [], (0, 5, 49, 50, 500)
+    for n in sizes:
+        rows += [(f"good {n}", good, f"l{n}"), (f"noise {n}", noise, f"l{n}")]
+        rows += [(f"{n} {i}", prose(random.Random(i), words, 60), f"l{n}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    found = {r.doc_id: r for r in D.quality_rules(spark, docs).collect()}
+    for n in sizes:
+        assert found[f"good {n}"].kept and not found[f"noise {n}"].kept
+    for kind in ("good", "noise"):
+        for by in ("class_distance", "word_distance"):
+            assert abs(found[f"{kind} 49"][by] - found[f"{kind} 50"][by]) < 0.01
