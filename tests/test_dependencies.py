@@ -140,3 +140,29 @@ def test_repeated_values_of_many_columns_in_one_shuffle(spark):
     assert dep.repeated_values(df, names) == expected
     assert dep.repeated_values(df, []) == {}
     assert dep.repeated_values(df.limit(0), ["v3"]) == {"v3": 0}
+
+
+@pytest.mark.parametrize("error", [0.0, 0.2])
+def test_only_sets_of_values_with_many_rows_are_grouped_by_grouping_sets(spark, monkeypatch, error):
+    """The others are grouped at their home, from one shuffle for many sets."""
+    monkeypatch.setattr(dep, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(dep, "TASK_ROWS", 40)
+    monkeypatch.setattr(dep, "SLICED_FROM", 10)
+    rng = random.Random(5)
+    rows = [
+        (k // 2, rng.choice([None, "x", "y"]), k % 2, str(k // 6), None if k % 5 == 0 else k // 3, rng.choice([1, 2]))
+        for k in range(300)
+    ]
+    df = spark.createDataFrame(rows, "a int, b string, c long, d string, e int, f int")
+    table = dep._Table(df, None)
+    hot = {"b", "c", "e", "f"}  # NULL is the value of 60 rows of e
+    grouped = dep._grouped
+
+    def watched(own, frame, wanted):
+        assert frame is not own.rows or all(set(s) <= hot for s in wanted), wanted
+        return grouped(own, frame, wanted)
+
+    monkeypatch.setattr(dep, "_grouped", watched)
+    rows = rows_of(df)
+    assert keys_of(df) == brute_keys(rows, table.names, 3) and ("a", "c") in keys_of(df)
+    assert dependencies_of(df, error=error) == brute_dependencies(rows, table.names, 2, error)

@@ -14,6 +14,7 @@ from tablecheck.operators.patterns import combined, learned_patterns as patterns
 from tablecheck.operators.quantiles import column_quantiles as quantiles_of, robust_outliers as far_from_median
 
 from tablecheck.operators.renames import column_signatures, renamed_columns as renames_of
+from tablecheck.session import written
 from tablecheck.sources.tables import from_frames
 
 from .registered import load, query
@@ -161,7 +162,7 @@ def _joined(spark, sf_dir) -> DataFrame:
 
 
 def _found(spark, sf_dir, error: float) -> DataFrame:
-    return dependencies(_joined(spark, sf_dir), error=error).select(
+    return dependencies(written(_joined(spark, sf_dir), "joined"), error=error).select(
         F.array_join("determinant", ",").alias("determinant"), "dependent", "violating_rows"
     )
 
