@@ -18,7 +18,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..functions import predicates as P
 from ..functions.sqltext import quote_column, quote_table, string_literal
@@ -136,13 +136,25 @@ class Planned:
         return f"{self.position}:{self.check.test_id}"
 
 
+@dataclass(frozen=True)
+class TableSchema:
+    """What planning needs to know of a table where there is no session, as in a task."""
+
+    schema: T.StructType
+
+    @property
+    def columns(self) -> list[str]:
+        return self.schema.names
+
+
 @dataclass(frozen=True)
 class LoadedMapping:
-    """A mapping with its target table and its settings, given or inferred."""
+    """A mapping with its target table and its settings, given or inferred. Without a
+    session it can be planned, from the schemas of its tables, but not run."""
 
-    spark: SparkSession
+    spark: SparkSession | None
     mapping: Mapping
-    target: DataFrame
+    target: DataFrame | TableSchema
     tables: Tables
     required: tuple[str, ...] = ()
 
@@ -189,7 +201,10 @@ def _pattern(plan: Planned, loaded: LoadedMapping, patterns) -> None:
 
 
 def _duplicates(plan: Planned, loaded: LoadedMapping, key) -> None:
-    plan.violations = no_duplicates_pk(loaded.target, key)
+    for name in key:
+        field_type(loaded.target.schema, name)
+    if loaded.spark is not None:
+        plan.violations = no_duplicates_pk(loaded.target, key)
     columns = ", ".join(loaded.column(c) for c in key)
     plan.sql_query = (
         f"SELECT {columns}, count(*) AS duplicate_count FROM {loaded.table}"
@@ -198,7 +213,8 @@ def _duplicates(plan: Planned, loaded: LoadedMapping, key) -> None:
 
 
 def _referential(plan: Planned, loaded: LoadedMapping, checks) -> None:
-    plan.violations = referential_integrity(loaded.target, checks, loaded.tables)
+    if loaded.spark is not None:
+        plan.violations = referential_integrity(loaded.target, checks, loaded.tables)
     selects = []
     for column, ref in checks.items():
         parent = loaded.tables(ref["table"]).schema
@@ -221,7 +237,9 @@ def _referential(plan: Planned, loaded: LoadedMapping, checks) -> None:
 
 def _outliers(plan: Planned, loaded: LoadedMapping, columns) -> None:
     columns = chosen_columns(columns, loaded.mapping.outlier_which)
-    plan.violations = outlier_detection(loaded.target, columns, "all")
+    P.require_numbers(loaded.target.schema, columns)
+    if loaded.spark is not None:
+        plan.violations = outlier_detection(loaded.target, columns, "all")
     values = [f"CAST({loaded.column(c)} AS DOUBLE)" for c in columns]
     far = P.any_of(
         f"abs({v} - (SELECT avg({v}) FROM {loaded.table}))"
@@ -245,7 +263,12 @@ _PLANNERS: dict[str, tuple[str, Callable]] = {
 
 def plan_mapping(loaded: LoadedMapping) -> list[Planned]:
     """The checks of one mapping, without running any. A check that cannot be planned
-    carries its error."""
+    carries its error.
+
+    Without a session, predicates and query texts are settled from the schemas, but there
+    are no violations frames, and the engine is not asked whether it takes date bounds and
+    patterns.
+    """
     wanted = loaded.mapping.enabled_test_ids or [
         c.test_id for c in registry.CHECKS if c.is_global
     ]

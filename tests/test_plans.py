@@ -385,6 +385,22 @@ def test_row_checks_share_one_scan(spark, people, tables):
     assert metrics.count() == 4
 
 
+def test_a_mapping_is_planned_without_a_session_from_schemas(people, tables):
+    m = mapping(
+        people,
+        primary_key_columns=("id",),
+        pattern_checks={"email": "@"},
+        numeric_range_checks={"email": {"min": 1, "max": 2}},
+        enabled_test_ids=("no_duplicates_pk", "numeric_range", "pattern_validation", "outlier_detection", "gone"),
+    )
+    schema = runner.TableSchema(people.schema)
+    with_session = runner.plan_mapping(runner.LoadedMapping(people.sparkSession, m, people, tables))
+    plans = runner.plan_mapping(runner.LoadedMapping(None, m, schema, lambda name: schema))
+    told = [(p.position, p.check.test_id, p.predicate, p.sql_query, p.error) for p in plans]
+    assert told == [(p.position, p.check.test_id, p.predicate, p.sql_query, p.error) for p in with_session]
+    assert len(plans) >= 3 and all(p.violations is None for p in plans) and any(p.error for p in plans)
+
+
 def test_a_mapping_suggests_further_checks(spark, people, tables):
     run = run_mapping(spark, mapping(people, auto_suggest=True), tables)
     found = {(r.column_name, r.test_category) for r in run.suggestions.collect()}

@@ -172,20 +172,26 @@ def planned_checks(spark, sf_dir):
 def planned_checks_of_the_runner(spark, sf_dir):
     """What the runner itself plans for each row of the same configuration. It refuses the
     rows whose settings do not parse, which is those of one nation."""
-    target = spark.createDataFrame([], "balance double, nation int, name string")
-    parents = spark.createDataFrame([], "n_key int")
-    rows = []
+    target = runner.TableSchema(spark.createDataFrame([], "balance double, nation int, name string").schema)
+    parents = runner.TableSchema(spark.createDataFrame([], "n_key int").schema)
+
+    def planned(rows):
+        for row in rows:
+            try:
+                mapping = runner.Mapping.from_row(row)
+            except ValueError:
+                continue
+            loaded = runner.LoadedMapping(None, mapping, target, lambda name: parents)
+            yield mapping.mapping_id, 0, "row_count_match"
+            for p in runner.plan_mapping(loaded):
+                yield mapping.mapping_id, p.position, p.check.test_id
+
     source = {f"source_{n}": F.lit(v) for n, v in (("bucket", "b"), ("file_path", "f.csv"), ("file_format", "csv"))}
     config = _config(spark, sf_dir).withColumns({**source, "target_dataset": F.lit(None).cast("string")})
-    for row in config.toLocalIterator():
-        try:
-            mapping = runner.Mapping.from_row(row)
-        except ValueError:
-            continue
-        loaded = runner.LoadedMapping(spark, mapping, target, lambda name: parents)
-        rows.append((mapping.mapping_id, 0, "row_count_match"))
-        rows += [(mapping.mapping_id, p.position, p.check.test_id) for p in runner.plan_mapping(loaded)]
-    return spark.createDataFrame(rows, "mapping_id string, position int, test_id string")
+    # a row is planned in the task that reads it, from schemas alone
+    return spark.createDataFrame(
+        config.rdd.mapPartitions(planned), "mapping_id string, position int, test_id string"
+    )
 
 
 @query("""
