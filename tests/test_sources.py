@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pytest
 
 from tablecheck.sources import files, tables as T
 from tablecheck.sources.files import SourceError, SourceFiles
+from workload import loads
 
 
 def write(folder, name, text):
@@ -164,3 +167,17 @@ def test_a_source_without_a_place_is_refused():
     for bad in ((None, "x"), ("x", None), (3, "x")):
         with pytest.raises(SourceError, match="needs a"):
             SourceFiles(*bad)
+
+
+def test_much_text_makes_several_files_of_the_ranges_query(spark, tmp_path, monkeypatch):
+    """No task writes all documents; all are counted."""
+    rows = [(k, f'line {k}\n"quoted", {k}' + "x" * 50, "en") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    roots = []
+    shared = loads.shared_dir
+    monkeypatch.setattr(loads, "shared_dir", lambda s, name: roots.append(shared(s, name)) or roots[-1])
+    for limit, expected in ((1 << 20, 1), (8_000, 4)):
+        monkeypatch.setattr(loads, "ONE_FILE_BYTES", limit)
+        assert tuple(loads.source_multiline_ranges(spark, str(tmp_path)).first()) == (400, 0)
+        files_there = [f for f in Path(roots[-1].removeprefix("file:")).iterdir() if f.suffix == ".csv"]
+        assert len(files_there) == expected

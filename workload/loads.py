@@ -314,12 +314,21 @@ def source_columns(spark, sf_dir):
     return counts.select(F.inline(F.array(*cells)))
 
 
+#: Text that one task writes to one file; ranges of a file are smaller.
+ONE_FILE_BYTES = 512 << 20
+
+
 @query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS malformed_rows FROM documents")
 def source_multiline_ranges(spark, sf_dir):
-    """Texts with line breaks and quotes in one file, counted range by range."""
+    """Texts with line breaks and quotes in one file, counted range by range; more text
+    than a task should write makes several files, each of several ranges."""
     root = shared_dir(spark, "source-one-file")
     documents = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    documents.coalesce(1).write.option("header", "true").option("escape", '"').csv(root)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files_written = max(1, -(-size // ONE_FILE_BYTES))
+    # round robin, as files of equal size are wanted; a single one needs no shuffle
+    dealt = documents.coalesce(1) if files_written == 1 else documents.repartition(files_written)
+    dealt.write.option("header", "true").option("escape", '"').csv(root)
     counts = files.count_by_file(spark, SourceFiles(root, "*.csv", multiline=True))
     return counts.agg(
         F.sum("rows").alias("rows"), F.sum("malformed_rows").alias("malformed_rows")
