@@ -1,8 +1,11 @@
 import itertools
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tablecheck.operators import quantiles
 from tablecheck.operators.conditions import conditions, evidence, items_of
 from tablecheck.operators.quantiles import column_quantiles, robust_outliers, robust_ranges
 from tablecheck.plans.suggestions import suggest_checks
@@ -142,3 +145,27 @@ def test_outliers_do_not_hide_each_other(spark):
     assert robust_outliers(constant, ["v"]).count() == 0
     with pytest.raises(ValueError):
         robust_outliers(spark.createDataFrame([("x",)], "s string"), ["s"])
+
+
+def test_quantiles_of_high_accuracy_are_exact_without_a_large_sketch(spark, monkeypatch):
+    """Also where the first bracket misses, and among repeated, infinite and missing values."""
+    rng = random.Random(3)
+    monkeypatch.setattr(quantiles, "ACCURACY", 20)
+    rows = [(rng.choice([None, float("nan"), rng.gauss(0, 1), 5.0, math.inf]), k % 7, None) for k in range(2_000)]
+    df = spark.createDataFrame(rows, "v double, w int, x double")
+    ps = (0.0, 0.01, 0.3, 0.5, 0.99, 1.0)
+
+    def refuse(column, p, accuracy):
+        assert accuracy <= quantiles.SKETCHED
+        return approximate(column, p, accuracy)
+
+    approximate = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", refuse)
+    for margin in (3.0, 0.0):
+        monkeypatch.setattr(quantiles, "MARGIN", margin or 1e-6)
+        got = {(r.column_name, r.probability): r.quantile for r in column_quantiles(df, probabilities=ps, accuracy=2_000_000).collect()}
+        for name, at in (("v", 0), ("w", 1)):
+            own = sorted(float(r[at]) for r in rows if r[at] is not None and r[at] == r[at])
+            assert [got[name, p] for p in ps] == [own[max(math.ceil(p * len(own)), 1) - 1] for p in ps]
+        assert {got["x", p] for p in ps} == {None}
+    assert robust_outliers(df, ["w"], accuracy=2_000_000).count() == 0
