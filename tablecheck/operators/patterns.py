@@ -234,14 +234,18 @@ def learned_patterns(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
             raise ValueError(f"column {name!r} is not text")
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, pattern string, n_values long, bits double")
-    readings = _readings(_cells(df, names))
-    elements = written(_elements(readings), "elements")
+    cells = _cells(df, names)
+    elements = written(_elements(_readings(cells)), "elements")
     chosen = written(_shortest(written(_groups(elements), "groups")), "patterns")
     own = ["column_name", "level", "signature"]
     parts = elements.join(chosen.select(*own), own, "left_semi")
     # The text of a literal is read off one value of its group, found by its hash.
     wanted = parts.where("literal").select(*own, F.col("example").alias("hash")).distinct()
-    texts = readings.join(wanted, [*own, "hash"], "left_semi").dropDuplicates([*own, "hash"])
+    # Only the values with such a hash are read once more.
+    few = written(wanted, "examples")
+    examples = cells.join(few.select("column_name", "hash").distinct(), ["column_name", "hash"], "left_semi")
+    readings = _readings(examples.dropDuplicates(["column_name", "hash", "value"]))
+    texts = readings.join(few, [*own, "hash"], "left_semi").dropDuplicates([*own, "hash"])
     texts = texts.select(*own, F.col("hash").alias("example"), F.col("tokens").alias("words"))
     told = (
         parts.join(texts, [*own, "example"], "left")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tablecheck.operators import patterns
 from tablecheck.operators.patterns import accepted, learned_patterns
 from tablecheck.plans.suggestions import suggest_checks
 
@@ -83,3 +84,11 @@ def test_suggested_pattern_counts_the_failing_rows(spark):
     assert "v follows its pattern" not in [
         r.test_name for r in suggest_checks("m", target, "t", learn_from=source).collect()
     ]
+
+
+def test_values_are_read_on_all_levels_once_but_for_examples(spark, monkeypatch):
+    read = []
+    readings = patterns._readings
+    monkeypatch.setattr(patterns, "_readings", lambda cells: (read.append(cells.count()), readings(cells))[1])
+    assert found(frame(spark, [f"id-{k:04}" for k in range(500)]))["v"] == [("^id-[0-9]{4}$", 500)]
+    assert read[0] == 500 and sum(read[1:]) <= 5
