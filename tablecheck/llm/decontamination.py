@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, bound, row_key, steps, texts, words_of
+from .common import ascii_lower, bound, kept, row_key, steps, texts, words_of
 
 #: Fixed value: a word is what holds no ASCII sign other than letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,7 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     rows = texts(docs)
     wanted = benchmark_windows(benchmark)
-    hits = found_windows(rows, wanted)
+    # written, as both aggregates below would look through all documents again
+    hits = kept(docs.sparkSession, found_windows(rows, wanted), "windows-found")
     key = ["key_a", "key_b"]
     spans = hits.groupBy(*key).agg(
         F.sort_array(F.collect_set(F.struct("at", "n"))).alias("spans")

@@ -74,3 +74,16 @@ def test_only_contaminated_documents_go_and_columns_stay(spark, odd):
     left = D.without_contaminated(odd, items)
     assert left.columns == odd.columns
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 5, 7, 8, 9]
+
+
+def test_windows_are_looked_up_once(spark, monkeypatch):
+    """The rows found are written; what follows only counts the documents' words again."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "c d e f g h i j k l")], "item_id string, text string")
+    looked = []
+    kept = D.kept
+    monkeypatch.setattr(D, "kept", lambda s, frame, name: looked.append(name) or kept(s, frame, name))
+    found = D.contamination(docs, items)
+    assert looked == ["windows-found"] and found.first().n_hit == 10
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("getbit") == 0
