@@ -4,23 +4,33 @@ A labelled good document is preferred to a labelled bad one. The chance of that
 logistic function of the difference of their scores, a score is linear in a document's
 features, so the weights minimise the logistic loss of feature differences. The threshold
 is the quantile of the scores of the labelled documents that splits them best.
+
+All pairs of all labelled documents count. The chance of a pair depends on its two scores
+alone, so a Newton step needs of each label, for each small range of scores, the number of
+documents and the sums of their features and products of features: every task adds those
+of its documents, and what comes back is as long as there are ranges. A range stands at
+its mean score.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import ascii_lower, bound, kept, steps, texts, words_of
 
-#: At most this many labelled documents of each label are learnt from, chosen by the hash
-#: of doc_id.
-SAMPLE_EACH = 10_000
-SLICES = 1_000_000
-PAIRS = 200_000
+#: Ranges of scores told apart in a step, and in how many deviations of the
+#: scores around their mean; beyond them there is one more on each side.
+RANGES, DEVIATIONS = 126, 4.0
+#: Fixed value: ranges of scores at whose limits the threshold can be.
+FINE = 1 << 16
+#: Tasks that add up, each sending a few hundred rows a step.
+ADDING_TASKS = 64
 RIDGE = 1e-4
 #: Fixed value: the score from which a document is predicted to be good.
 PREDICTED_FROM = 0.3
@@ -121,79 +131,179 @@ class Ranker:
         return 1 / (1 + F.exp(-total))
 
 
-def fit_ranker(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Ranker:
-    """Weights from the features of good and of bad documents, one row for each."""
-    both = np.concatenate([good, bad])
-    if not len(good) or not len(bad):  # nothing to prefer: every document is as good
-        size = both.shape[1]
-        keep = -1.0 if len(bad) else 1.0
-        return Ranker([0.0] * size, [1.0] * size, [0.0] * size, -keep, 0.0)
-    mean, scale = both.mean(axis=0), both.std(axis=0)
+@dataclass(frozen=True)
+class Sums:
+    """Of each label (0, 1) and range: documents, and the sums of their features and of
+    products of features."""
+
+    n: np.ndarray
+    x: np.ndarray
+    xx: np.ndarray
+
+    @classmethod
+    def of(cls, label: np.ndarray, x: np.ndarray, ranges: np.ndarray, size: int) -> Sums:
+        out = cls(np.zeros((2, size)), np.zeros((2, size, x.shape[1])), np.zeros((2, size) + (x.shape[1],) * 2))
+        for k in (0, 1):
+            for at in np.unique(ranges[label == k]):
+                own = x[(label == k) & (ranges == at)]
+                out.n[k, at], out.x[k, at], out.xx[k, at] = len(own), own.sum(axis=0), own.T @ own
+        return out
+
+
+@dataclass(frozen=True)
+class Scoring:
+    """Linear scores, and the ranges they are put in: equal ones between `low` and `high`."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    low: float
+    high: float
+    size: int
+
+    def standard(self, features: np.ndarray) -> np.ndarray:
+        return (features - self.mean) / self.scale
+
+    def ranges(self, scores: np.ndarray) -> np.ndarray:
+        width = (self.high - self.low) / (self.size - 2)
+        at = np.floor((scores - self.low) / width) + 1 if width > 0 else np.zeros(len(scores))
+        return np.clip(at, 0, self.size - 1).astype(int)
+
+    def sums(self, label: np.ndarray, features: np.ndarray) -> Sums:
+        x = self.standard(features)
+        return Sums.of(label, x, self.ranges(x @ self.weights), self.size)
+
+
+def fit(width: int, added: Callable[[Scoring], Sums], counted: Callable[[Scoring], tuple]) -> Ranker:
+    """A ranker from what `added` and `counted` tell of all labelled documents: their sums,
+    and (lowest and highest score, documents of each label and fine range)."""
+    plain = added(Scoring(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0, 3))
+    n = plain.n.sum(axis=1)
+    if not n.all():  # nothing to prefer: every document is as good
+        keep = -1.0 if n[0] else 1.0
+        return Ranker([0.0] * width, [1.0] * width, [0.0] * width, -keep, 0.0)
+    mean = plain.x.sum(axis=(0, 1)) / n.sum()
+    centred = added(Scoring(mean, np.ones(width), np.zeros(width), 0.0, 0.0, 3)).xx.sum(axis=(0, 1)) / n.sum()
+    scale = np.sqrt(np.diag(centred))
     scale[scale < 1e-9] = 1.0
-    g, b = (good - mean) / scale, (bad - mean) / scale
-    rng = np.random.default_rng(seed)
-    draws = min(pairs, 20 * len(both))
-    difference = g[rng.integers(len(g), size=draws)] - b[rng.integers(len(b), size=draws)]
-    weights = np.zeros(difference.shape[1])
+    spread = centred / np.outer(scale, scale)
+    weights = np.zeros(width)
     for _ in range(25):  # Newton steps of the logistic loss
-        chance = 1 / (1 + np.exp(-np.clip(difference @ weights, -30, 30)))
-        gradient = difference.T @ (chance - 1) / draws + RIDGE * weights
-        curve = (difference * (chance * (1 - chance))[:, None]).T @ difference / draws
-        step = np.linalg.solve(curve + RIDGE * np.eye(len(weights)), gradient)
-        weights -= step
-        if np.abs(step).max() < 1e-6:
+        reach = DEVIATIONS * math.sqrt(max(weights @ spread @ weights, 0.0))
+        s = added(Scoring(mean, scale, weights, -reach, reach, RANGES + 2))
+        # the chance that the good one is preferred, for every two ranges
+        at = (s.x @ weights) / np.maximum(s.n, 1)
+        chance = 1 / (1 + np.exp(-np.clip(at[1][:, None] - at[0][None, :], -30, 30)))
+        pairs = n[0] * n[1]
+        gradient = ((chance - 1) @ s.n[0]) @ s.x[1] - (s.n[1] @ (chance - 1)) @ s.x[0]
+        bend = chance * (1 - chance)
+        cross = s.x[1].T @ bend @ s.x[0]
+        curve = np.tensordot(bend @ s.n[0], s.xx[1], 1) + np.tensordot(s.n[1] @ bend, s.xx[0], 1) - cross - cross.T
+        step = np.linalg.solve(
+            curve / pairs + RIDGE * np.eye(width), gradient / pairs + RIDGE * weights
+        )
+        weights = weights - step
+        if np.abs(step).max() < 1e-6 * max(1.0, np.abs(weights).max()):
             break
-    quantile, threshold = best_quantile(g @ weights, b @ weights)
+    low, high, counts = counted(Scoring(mean, scale, weights, 0.0, 0.0, 3))
+    quantile, threshold = best_quantile(low, high, counts)
     return Ranker(mean.tolist(), scale.tolist(), weights.tolist(), threshold, quantile)
 
 
-def best_quantile(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """The quantile of all scores, and the score there, that parts good from bad best.
+def fit_ranker(good: np.ndarray, bad: np.ndarray) -> Ranker:
+    """Weights from the features of good and of bad documents, one row for each."""
+    both = np.concatenate([good, bad])
+    label = np.repeat([1, 0], [len(good), len(bad)])
+
+    def counted(scoring: Scoring) -> tuple:
+        scores = scoring.standard(both) @ scoring.weights
+        low, high = scores.min(), scores.max()
+        at = np.minimum((scores - low) * (FINE / max(high - low, 1e-300)), FINE - 1).astype(int)
+        return low, high, np.stack([np.bincount(at[label == k], minlength=FINE) for k in (0, 1)])
+
+    return fit(both.shape[1], lambda scoring: scoring.sums(label, both), counted)
+
+
+def best_quantile(low: float, high: float, counts: np.ndarray) -> tuple[float, float]:
+    """The quantile of all scores, and the score there, that parts good from bad best;
+    `counts` has the documents of each label in equal ranges from `low` to `high`.
 
     Best is the highest mean of both labels' shares on the right side; of quantiles that
     are equally good, the middle.
     """
     grid = np.linspace(0.002, 0.998, 499)
-    cuts = np.quantile(np.concatenate([good, bad]), grid)
-    kept_good = (good[:, None] >= cuts).mean(axis=0)
-    left_bad = (bad[:, None] < cuts).mean(axis=0)
-    right = kept_good + left_bad
+    every = np.cumsum(counts.sum(axis=0))
+    # as far between the ranges of two documents next to each other as the quantile is
+    place = grid * (every[-1] - 1)
+    one, next_one = (np.searchsorted(every, f(place), side="right") for f in (np.floor, np.ceil))
+    cuts = np.ceil(one + (place - np.floor(place)) * (next_one - one)).astype(int)
+    below = np.concatenate([np.zeros((2, 1)), np.cumsum(counts, axis=1)], axis=1)[:, cuts]
+    bad, good = below / counts.sum(axis=1)[:, None]
+    right = bad - good
     best = np.flatnonzero(right >= right.max() - 1e-9)
     at = best[len(best) // 2]
-    return float(grid[at]), float(cuts[at])
+    return float(grid[at]), float(low + cuts[at] * (high - low) / counts.shape[1])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def learn(features: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Ranker:
-    """A ranker from labelled rows that are not held out, at most `each` of a label."""
+def learn(features: DataFrame, labels: DataFrame) -> Ranker:
+    """A ranker from all labelled rows that are not held out."""
     known = (
         labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
         .join(features.dropDuplicates(["doc_id"]), "doc_id")
+        .select(F.col("quality").cast("int").alias("quality"), "features")
     )
-
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-
-    def sample(label: int) -> np.ndarray:
-        # A slice of the hashes that holds a few more than are wanted, so that only those
-        # are sorted and sent.
-        parts = math.ceil(SLICES * min(1.0, 1.2 * each / max(1, counts.get(label, 0))))
-        rows = (
-            known.where((F.col("quality") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) < parts))
-            .orderBy(F.xxhash64("doc_id"), "doc_id")
-            .select("features")
-            .limit(each)
-            .collect()
+    known = kept(features.sparkSession, known, "labelled").coalesce(ADDING_TASKS)
+    first = known.select(F.size("features").alias("width")).first()
+    width = first["width"] if first else 0
+
+    def added(scoring: Scoring) -> Sums:
+        def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((2, scoring.size))
+            x, xx = np.zeros((*n.shape, width)), np.zeros((*n.shape, width, width))
+            for batch in batches:
+                if batch.num_rows:
+                    values = batch["features"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    s = scoring.sums(batch["quality"].to_numpy(zero_copy_only=False), values)
+                    n, x, xx = n + s.n, x + s.x, xx + s.xx
+            label, at = np.nonzero(n)
+            rows = [np.concatenate([n[k, i : i + 1], x[k, i], xx[k, i].ravel()]) for k, i in zip(label, at)]
+            sums = pa.array(rows, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(label, pa.int32()), pa.array(at, pa.int32()), sums], names=["label", "at", "sums"]
+            )
+
+        out = Sums(
+            np.zeros((2, scoring.size)), np.zeros((2, scoring.size, width)),
+            np.zeros((2, scoring.size, width, width)),
         )
-        return np.array([r["features"] for r in rows], dtype=float)
-
-    good, bad = sample(1), sample(0)
-    width = max(x.shape[1] if len(x) else 0 for x in (good, bad))
-    return fit_ranker(*(x if len(x) else np.zeros((0, width)) for x in (good, bad)))
+        table = known.mapInArrow(of_batches, "label int, at int, sums array<double>").collect()
+        for row in sorted(table):  # so that sums don't depend on which task was first
+            values = np.array(row["sums"])
+            out.n[row["label"], row["at"]] += values[0]
+            out.x[row["label"], row["at"]] += values[1 : 1 + width]
+            out.xx[row["label"], row["at"]] += values[1 + width :].reshape(width, width)
+        return out
+
+    def counted(scoring: Scoring) -> tuple:
+        slopes = scoring.weights / scoring.scale
+        score = F.lit(float(-(scoring.mean @ slopes)))
+        for i, slope in enumerate(slopes.tolist()):
+            score = score + F.get("features", F.lit(i)) * slope
+        scored = known.select("quality", score.alias("score"))
+        low, high = scored.agg(F.min("score"), F.max("score")).first()
+        at = F.least(F.floor((F.col("score") - low) * (FINE / max(high - low, 1e-300))), F.lit(FINE - 1))
+        counts = np.zeros((2, FINE))
+        for row in scored.groupBy("quality", at.alias("at")).count().collect():  # FINE of each label at most
+            counts[row["quality"], row["at"]] = row["count"]
+        return low, high, counts
+
+    return fit(width, added, counted)
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -57,3 +57,28 @@ def test_odd_rows(spark, odd, none, labelled):
     left = Q.good_documents(spark, odd, labels)
     assert left.columns == odd.columns
     assert left.count() == sum(r.predicted for r in found)
+
+
+def test_all_labelled_rows_and_pairs_are_learnt_from(spark):
+    """Tasks add up what one fit of all rows gives, and the last row tells like the first."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(25_000, 2))
+    good = x @ [1.5, -1.0] + rng.logistic(size=len(x)) > 0
+    rows = [(k, v.tolist(), int(g)) for k, (v, g) in enumerate(zip(x, good))]
+    frame = spark.createDataFrame(rows, "doc_id long, features array<double>, quality int").repartition(6)
+    ranker = Q.learn(frame.drop("quality"), frame.drop("features"))
+    used = np.array([r.doc_id for r in frame.where(~Q.held_out(frame.doc_id)).collect()])
+    local = Q.fit_ranker(x[used][good[used]], x[used][~good[used]])
+    assert np.allclose(ranker.mean, x[used].mean(axis=0)) and np.allclose(ranker.scale, x[used].std(axis=0))
+    assert np.allclose(ranker.weights, local.weights) and np.isclose(ranker.threshold, local.threshold)
+
+
+def test_fit_of_all_pairs_against_every_pair():
+    rng = np.random.default_rng(6)
+    g, b = rng.normal(0.7, 1, size=(60, 2)), rng.normal(0, 1, size=(80, 2))
+    ranker = Q.fit_ranker(g, b)
+    both = np.concatenate([g, b])
+    d = ((g[:, None] - b[None]) / both.std(axis=0)).reshape(-1, 2)
+    w = np.array(ranker.weights)
+    gradient = d.T @ (1 / (1 + np.exp(-d @ w)) - 1) / len(d) + Q.RIDGE * w
+    assert np.abs(gradient).max() < 1e-3
