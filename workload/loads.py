@@ -188,9 +188,10 @@ def planned_checks_of_the_runner(spark, sf_dir):
 
     source = {f"source_{n}": F.lit(v) for n, v in (("bucket", "b"), ("file_path", "f.csv"), ("file_format", "csv"))}
     config = _config(spark, sf_dir).withColumns({**source, "target_dataset": F.lit(None).cast("string")})
-    # a row is planned in the task that reads it, from schemas alone
+    # a row is planned in a task, from schemas alone; a small file would be a single task
+    dealt = config.repartition(spark.sparkContext.defaultParallelism)
     return spark.createDataFrame(
-        config.rdd.mapPartitions(planned), "mapping_id string, position int, test_id string"
+        dealt.rdd.mapPartitions(planned), "mapping_id string, position int, test_id string"
     )
 
 
