@@ -2,8 +2,8 @@
 the corpus, predict the next symbol.
 
 Symbols are the frequent words, classes of the other words by their last characters, and
-the end of a text. A context, a sequence of up to `DEPTH` symbols, is a candidate if its
-share of the corpus is at least `SHARE`; it is kept if its next symbols diverge from
+the end of a text. Every context, a sequence of up to `DEPTH` symbols, of the training
+texts is a candidate, with all its next symbols; it is kept if these diverge from
 those of its longest kept suffix by more than their number would explain. A text is
 scored symbol by symbol from the state that is the longest kept suffix of what came
 before. A state's counts are discounted and smoothed with the distribution of the next
@@ -12,21 +12,26 @@ of a class is then chosen within it by its own count, so every word's count in t
 corpus tells, and an unknown word has a share too.
 
 The corpus is coded once, in chunks of about `CHUNK_BYTES` with a dictionary each. Counts
-of words come from one shuffle of the dictionaries, counts of contexts from one shuffle a
-level. `SHARE` and `STORED` bound the tree (at most 1 / SHARE contexts and 1 / STORED
-transitions a level), which is sent to the tasks; the words' counts have no bound and
-come to each chunk by a join.
+of words come from one shuffle of the dictionaries and come to each chunk by a join.
+Contexts with a share of `FREQUENT` make the tree that is sent to the tasks: at most
+1 / FREQUENT a level, each with at most one transition a symbol; their counts come from one
+shuffle a level. The others are too many to be sent. Places with such contexts are shuffled
+by the shortest of them, which brings all places of the longer ones along: a bucket has all
+that these contexts need, and returns by how much they change each document's score. What is
+frequent decides where contexts are counted, not what a text scores.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -35,13 +40,19 @@ from .common import kept, texts
 #: Fixed values of the model.
 DEPTH = 3
 SHARE = 5e-5
-STORED = 1e-6
 CLASSES = 1024
 DISCOUNT = 0.5
 MASS = 5.0
 
+#: Contexts with this share of all documents are counted in the tree, others in buckets, of which
+#: none has more than this share besides its `BUCKET_PLACES` or so.
+FREQUENT = 1e-3
+BUCKET_PLACES = 1_250_000
+#: Up to so many chances of the tree are kept as a table as well.
+TABLE_CELLS = 4_000_000
 #: A symbol's bits in a packed context; 1 / SHARE + CLASSES + 2 symbols at most.
 BITS = 15
+SYMBOL = (1 << BITS) - 1
 START, END = 0, 1
 FIRST_CLASS = 2
 FIRST_WORD = FIRST_CLASS + CLASSES
@@ -55,9 +66,12 @@ CHUNK = (
     "chunk long, doc_ids array<long>, held array<boolean>, starts array<int>,"
     " sequence binary, words array<string>, counts array<int>, tokens long, trained long"
 )
-GRAMS = "gram long, n long"
+GRAMS = "gram long, n long, seen long"
+BLOCKS = "bucket long, chunk long, size int, symbols binary, places binary"
+BLOCK_PARTS = "chunk long, places binary, parts array<double>"
+PARTS = "chunk long, place int, part double"
 SCORES = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
+    "chunk long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
     " base_score double, score double"
 )
 
@@ -83,10 +97,11 @@ def coded(docs: DataFrame) -> DataFrame:
     training documents."""
 
     def of_chunk(number: int, ids: list, held: list, raws: list[bytes]) -> pa.RecordBatch:
-        known: dict[bytes, int] = {}
+        known: defaultdict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__
+        number_of = known.__getitem__
         sequences = [
-            np.array([known.setdefault(w, len(known)) for w in raw.translate(LOWER).split()], np.int32)
-            for raw in raws
+            np.fromiter(map(number_of, raw.translate(LOWER).split()), np.int32) for raw in raws
         ]
         starts = np.append(0, np.cumsum([len(s) for s in sequences]))
         train = [s for s, h in zip(sequences, held, strict=True) if not h]
@@ -165,7 +180,7 @@ def with_dictionaries(chunks: DataFrame, known: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("at", "c", "symbol"))).alias("known")
     )
     return chunks.drop("words", "counts").join(own, "chunk", "left").select(
-        "doc_ids", "held", "starts", "sequence",
+        "chunk", "doc_ids", "held", "starts", "sequence",
         F.col("known.c").alias("c"), F.col("known.symbol").alias("symbol"),
     )
 
@@ -178,6 +193,7 @@ class Chunk:
             column = batch[name][k]
             return column.values.to_numpy(zero_copy_only=False) if column.is_valid else np.empty(0, np.int64)
 
+        self.number = batch["chunk"][k].as_py()
         self.doc_ids = batch["doc_ids"][k].values
         self.held = values("held").astype(bool)
         self.counts = values("c").astype(np.int64)
@@ -204,6 +220,15 @@ class Chunk:
             packed = (packed << BITS) | self.x[at - back]
         return at, packed
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """All places but the STARTs, and each with the `DEPTH` symbols before it, packed;
+        before a START are more of them."""
+        packed = self.x.copy()
+        for back in range(1, DEPTH + 1):
+            packed[back:] |= np.where(self.offset[back:] >= back, self.x[:-back], START) << (BITS * back)
+        at = np.flatnonzero(self.offset > 0)
+        return at, packed[at]
+
 
 def read_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
@@ -215,42 +240,94 @@ def among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Where each of the keys is in the sorted `wanted`, and whether it is there."""
     if not len(wanted):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    if wanted[-1] <= SYMBOL and keys.max(initial=0) <= SYMBOL:
+        table = np.full(SYMBOL + 1, -1)
+        table[wanted] = np.arange(len(wanted))
+        at = table[keys]
+        return at, at >= 0
     at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
     return at, wanted[at] == keys
 
 
 def level_counts(chunks: DataFrame, depth: int, contexts) -> DataFrame:
-    """gram, n: how often each candidate context of `depth` symbols is followed by each
-    symbol in training documents; both packed. `contexts` is a broadcast sorted array."""
+    """gram, n, seen: how often each given context of `depth` symbols is followed by each
+    symbol in training documents, and in all; both packed. `contexts` is a broadcast sorted
+    array."""
 
     def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(parts: list) -> pa.RecordBatch:
-            grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
+        def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+            keys, inverse = np.unique(keys, return_inverse=True)
+            return keys, np.bincount(inverse, counts, minlength=len(keys)).astype(np.int64)
+
+        def sent(found: list) -> pa.RecordBatch:
+            keys, counts = counted(*(np.concatenate(each) for each in zip(*found, strict=True)))
+            first = np.flatnonzero(np.diff(keys >> 1, prepend=-1) != 0)
+            sums = [np.add.reduceat(each, first) for each in (counts * (keys & 1), counts)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys[first] >> 1), *map(pa.array, sums)], names=["gram", "n", "seen"]
+            )
 
-        parts: list = []
+        found: list = []
         for chunk in read_chunks(batches):
             at, packed = chunk.contexts(depth)
-            train = chunk.trained[at]
-            at, packed = at[train], packed[train]
             if depth:
-                candidate = among(packed, contexts.value)[1]
-                at, packed = at[candidate], packed[candidate]
-            parts.append(np.unique((packed << BITS) | chunk.x[at], return_counts=True))
-            if sum(len(g) for g, _ in parts) > HELD_GRAMS:
-                yield sent(parts)
-                parts = []
-        if parts:
-            yield sent(parts)
+                given = among(packed, contexts.value)[1]
+                at, packed = at[given], packed[given]
+            keys = (((packed << BITS) | chunk.x[at]) << 1) | chunk.trained[at]
+            found.append(np.unique(keys, return_counts=True))
+            if sum(len(keys) for keys, _ in found) > HELD_GRAMS:
+                yield sent(found)
+                found = []
+        if any(len(keys) for keys, _ in found):
+            yield sent(found)
 
     found = chunks.mapInArrow(of_batches, GRAMS)
-    return found.groupBy("gram").agg(F.sum("n").alias("n"))
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+def lengths(packed: np.ndarray) -> np.ndarray:
+    """How long contexts of `DEPTH` symbols, padded by STARTs, are without the padding."""
+    out = np.full(len(packed), DEPTH, np.int8)
+    for depth in range(DEPTH - 1, 0, -1):
+        out[(packed >> (BITS * (depth - 1))) & SYMBOL == START] = depth
+    return out
+
+
+def joined(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Grams with `bits` bits a symbol, as rows of so many bytes as needed."""
+    out = np.zeros(len(grams), "<i8")
+    for back in range(DEPTH, -1, -1):
+        out = (out << bits) | ((grams >> (BITS * back)) & SYMBOL)
+    return out.view(np.uint8).reshape(-1, 8)[:, : -(-bits * (DEPTH + 1) // 8)]
+
+
+def unjoined(data: bytes, count: int, bits: int) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(count, -1)
+    packed = np.zeros((count, 8), np.uint8)
+    packed[:, : rows.shape[1]] = rows
+    packed = packed.view("<i8").ravel()
+    out = np.zeros(count, np.int64)
+    for back in range(DEPTH, -1, -1):
+        out = (out << BITS) | ((packed >> (bits * back)) & ((1 << bits) - 1))
+    return out
+
+
+def compared(of: np.ndarray, n: np.ndarray, before: np.ndarray, size: int) -> tuple:
+    """For transitions seen `n` times, of the contexts numbered `of`, whose parents give
+    them the chances `before`: their chances; and for each of the `size` contexts the share
+    that its parent gets, and whether the context is kept."""
+    totals = np.bincount(of, n, minlength=size)
+    own = np.where(n > 0, n - DISCOUNT, 0) / (totals[of] + MASS)
+    passed = 1 - np.bincount(of, own, minlength=size)
+    chances = own + passed[of] * before
+    gain = np.bincount(of, n * np.log(chances / before), minlength=size)
+    successors = np.bincount(of, n > 0, minlength=size)
+    return chances, passed, gain > 0.5 * successors * np.log(np.maximum(totals, 2))
 
 
 class Level(NamedTuple):
     """The kept contexts of one length, sorted; of each the number of its parent, the
-    share its parent gets, and its stored transitions as sorted `node << BITS | symbol`."""
+    share its parent gets, and its transitions as sorted `node << BITS | symbol`."""
 
     contexts: np.ndarray
     first: int
@@ -259,17 +336,25 @@ class Level(NamedTuple):
 
 
 class Tree:
-    """Node 0 is the root; `levels[d]` has the nodes whose context has d symbols."""
-
-    def __init__(self, symbols: np.ndarray):
+    """The frequent contexts. Node 0 is the root; `levels[d - 1]` has the nodes whose
+    context has d symbols, `frequent[d - 1]` all frequent contexts of d symbols, sorted,
+    with the node of the longest kept suffix of each."""
+
+    def __init__(self, symbols: np.ndarray, places: int):
+        self.table: np.ndarray | None = None
+        self.places = places  # of training documents and others
+        self.bits = (len(symbols) - 1).bit_length()
         self.root = (symbols + 1) / (symbols.sum() + len(symbols) - 1)
         self.root[START] = 0  # nothing goes back to the start
         self.levels: list[Level] = []
+        self.frequent: list[tuple[np.ndarray, np.ndarray]] = []
         self.parents = np.zeros(1, np.int64)
         self.passed = np.ones(1)
 
     def chance(self, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The chance of each symbol in each state."""
+        if self.table is not None:
+            return self.table[nodes * len(self.root) + symbols]
         out = np.ones(len(nodes))
         rest = np.arange(len(nodes))
         for level in reversed(self.levels):
@@ -285,13 +370,22 @@ class Tree:
         out[rest] *= self.root[symbols[rest]]
         return out
 
-    def states(self, contexts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-        """For every place the node of the longest kept context before it."""
-        nodes = np.zeros(size, np.int64)
-        for level, (at, packed) in zip(self.levels, contexts, strict=False):
-            where, found = among(packed, level.contexts)
-            nodes[at[found]] = level.first + where[found]
-        return nodes
+    def finish(self) -> None:
+        """Looks all chances up at once, if these are few enough."""
+        nodes, symbols = len(self.parents), len(self.root)
+        if nodes * symbols <= TABLE_CELLS:
+            self.table = self.chance(np.repeat(np.arange(nodes), symbols), np.tile(np.arange(symbols), nodes))
+
+    def states(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For contexts of `DEPTH` symbols, padded by STARTs: how long their longest
+        frequent suffix is, and the node of their longest kept one."""
+        lengths, nodes = np.zeros(len(packed), np.int8), np.zeros(len(packed), np.int64)
+        rest = np.arange(len(packed))
+        for depth, (contexts, own) in enumerate(self.frequent, 1):  # suffixes of frequent ones are frequent
+            where, found = among(packed[rest] & ((1 << (BITS * depth)) - 1), contexts)
+            rest = rest[found]
+            lengths[rest], nodes[rest] = depth, own[where[found]]
+        return lengths, nodes
 
     def suffixes(self, packed: np.ndarray) -> np.ndarray:
         """The node of the longest kept proper suffix of contexts one longer than the
@@ -302,62 +396,156 @@ class Tree:
             nodes[found] = level.first + where[found]
         return nodes
 
-    def grow(self, contexts: np.ndarray, totals: np.ndarray, grams: np.ndarray, n: np.ndarray) -> None:
-        """Adds the level of the candidate contexts (sorted) that diverge from their
-        parents. `grams` (sorted) are their stored transitions, `totals` all they have."""
+    def grow(self, contexts: np.ndarray, grams: np.ndarray, n: np.ndarray) -> None:
+        """Adds the level of the frequent contexts (sorted) that diverge from their
+        parents. `grams` (sorted) are all their transitions."""
         of = np.searchsorted(contexts, grams >> BITS)
-        symbols = grams & ((1 << BITS) - 1)
+        symbols = grams & SYMBOL
         parents = self.suffixes(contexts)
         before = self.chance(parents[of], symbols)
-        own = (n - DISCOUNT) / (totals[of] + MASS)
-        size = len(contexts)
-        passed = 1 - np.bincount(of, own, minlength=size)
-        chances = own + passed[of] * before
-        left = totals - np.bincount(of, n, minlength=size)
-        gain = np.bincount(of, n * np.log(chances / before), minlength=size)
-        gain += left * np.log(passed)
-        successors = np.bincount(of, minlength=size)
-        kept_ones = gain > 0.5 * successors * np.log(np.maximum(totals, 2))
+        chances, passed, kept_ones = compared(of, n, before, len(contexts))
         first = len(self.parents)
         numbers = first + np.cumsum(kept_ones) - 1
-        stored = kept_ones[of]
+        own = kept_ones[of]
         self.levels.append(
-            Level(
-                contexts[kept_ones], first, (numbers[of[stored]] << BITS) | symbols[stored], chances[stored]
-            )
+            Level(contexts[kept_ones], first, (numbers[of[own]] << BITS) | symbols[own], chances[own])
         )
+        self.frequent.append((contexts, np.where(kept_ones, numbers, parents)))
         self.parents = np.concatenate([self.parents, parents[kept_ones]])
         self.passed = np.concatenate([self.passed, passed[kept_ones]])
 
-
-def learnt(spark: SparkSession, chunks: DataFrame, symbols: int, tokens: int) -> Tree:
-    """Grows the tree level by level; a level's candidates extend those of the one before."""
-    least, stored = max(2, math.ceil(SHARE * tokens)), max(2, math.ceil(STORED * tokens))
-    counts = np.zeros(symbols, np.int64)
+    def change(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The chance of the last symbol of each gram (sorted, seen `n` times) as a multiple
+        of its chance in the tree, if contexts that are not frequent tell too. All grams with
+        the same such context have to be given."""
+        frequent, nodes = self.states(grams >> BITS)
+        whole = lengths(grams >> BITS)
+        before = self.chance(nodes, grams & SYMBOL)
+        chances = before.copy()
+        for depth in range(1, DEPTH + 1):
+            own = np.flatnonzero((frequent < depth) & (depth <= whole))
+            keys, at = grams[own], np.arange(len(own))
+            if depth < DEPTH:
+                keys, at = np.unique(keys & ((1 << (BITS * (depth + 1))) - 1), return_inverse=True)
+            shorter = np.empty(len(keys))
+            shorter[at] = chances[own]
+            of = np.cumsum(np.diff(keys >> BITS, prepend=-1) != 0) - 1
+            size = int(of[-1]) + 1 if len(of) else 0
+            longer, _, kept_ones = compared(of, np.bincount(at, n[own], minlength=len(keys)), shorter, size)
+            chances[own] = np.where(kept_ones[of], longer, shorter)[at]
+        return chances / before
+
+
+def learnt(spark: SparkSession, chunks: DataFrame, symbols: int) -> Tree:
+    """Grows the tree of the frequent contexts level by level; those of a level extend those
+    of the one before. The other contexts are for `parts`."""
+    counts, seen = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
     single = level_counts(chunks, 0, None).toArrow()
     counts[single["gram"].to_numpy()] = single["n"].to_numpy()
-    tree = Tree(counts)
-    starts = int(counts[END])
-    contexts = np.flatnonzero(counts >= least)
-    contexts = contexts[contexts != END]
-    if starts >= least:
-        contexts = np.union1d(contexts, [START])
+    seen[single["gram"].to_numpy()] = single["seen"].to_numpy()
+    least = max(1, math.ceil(FREQUENT * seen.sum()))
+    tree = Tree(counts, int(seen.sum()))
+    seen[START], seen[END] = seen[END], 0
+    contexts = np.flatnonzero(seen >= least)
     for depth in range(1, DEPTH + 1):
         if not len(contexts):
             break
         sent = spark.sparkContext.broadcast(contexts)
-        grams = kept(spark, level_counts(chunks, depth, sent), f"suffixtree-{depth}")
-        by_context = grams.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("n"))
-        totals = np.zeros(len(contexts), np.int64)
-        table = by_context.toArrow()  # one row for each candidate
-        totals[np.searchsorted(contexts, table["context"].to_numpy())] = table["n"].to_numpy()
-        table = grams.where(F.col("n") >= stored).orderBy("gram").toArrow()
-        own, n = table["gram"].to_numpy(), table["n"].to_numpy()
-        tree.grow(contexts, totals, own, n)
-        contexts = own[(n >= least) & ((own & ((1 << BITS) - 1)) != END)]
+        table = level_counts(chunks, depth, sent).toArrow()  # one row at most for each context and symbol
+        order = np.argsort(table["gram"].to_numpy())
+        grams, n, seen = (table[name].to_numpy()[order] for name in ("gram", "n", "seen"))
+        tree.grow(contexts, grams, n)
+        contexts = grams[(seen >= least) & (grams & SYMBOL != END)]
+    tree.finish()
     return tree
 
 
+def blocks(chunks: DataFrame, model, buckets: int) -> DataFrame:
+    """For each chunk and bucket the places that have contexts which are not frequent and
+    the shortest of these in the bucket: the symbols up to there, and the document's number
+    in the chunk, twice, plus one if held out."""
+
+    def of_chunk(chunk: Chunk, tree: Tree) -> pa.RecordBatch:
+        at, grams = chunk.grams()
+        frequent, _ = tree.states(grams >> BITS)
+        rare = frequent < lengths(grams >> BITS)
+        at, grams = at[rare], grams[rare]
+        shortest = (grams >> BITS) & ((1 << (BITS * (frequent[rare].astype(np.int64) + 1))) - 1)
+        mixed = (shortest + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        symbols = joined(grams[order], tree.bits)
+        doc = np.repeat(2 * np.arange(len(chunk.held)) + chunk.held, chunk.sizes + 2)[at[order]]
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+        rows = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k for k, _, _ in rows], pa.int64()),
+                pa.array([chunk.number] * len(rows), pa.int64()),
+                pa.array([b - a for _, a, b in rows], pa.int32()),
+                pa.array([symbols[a:b].tobytes() for _, a, b in rows], pa.binary()),
+                pa.array([squeezed(np.diff(doc[a:b], prepend=0)) for _, a, b in rows], pa.binary()),
+            ],
+            names=["bucket", "chunk", "size", "symbols", "places"],
+        )
+
+    def of_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in read_chunks(batches):
+            yield of_chunk(chunk, model.value.tree)
+
+    return chunks.mapInArrow(of_batches, BLOCKS)
+
+
+def parts(chunks: DataFrame, model, buckets: int) -> DataFrame:
+    """chunk, place, part: what the contexts that are not frequent add to the score of the
+    document with that number in the chunk."""
+
+    def of_bucket(table: pa.Table) -> pa.Table:
+        tree = model.value.tree
+        sizes = table["size"].to_numpy()
+        grams, places = np.empty(sizes.sum(), np.int64), np.empty(sizes.sum(), np.int64)
+        end = 0
+        for size, symbols, docs in zip(sizes.tolist(), table["symbols"], table["places"], strict=True):
+            own = slice(end, end := end + size)
+            grams[own] = unjoined(symbols.as_buffer(), size, tree.bits)
+            places[own] = np.cumsum(unsqueezed(docs.as_buffer(), size))
+        different, at = np.unique(grams, return_inverse=True)
+        n = np.bincount(at, places & 1 == 0)
+        logs = np.log10(tree.change(different, n))[at]
+        starts = np.append(0, np.cumsum(sizes))
+        new = np.diff(places, prepend=-1) != 0
+        new[starts[:-1]] = True
+        first = np.flatnonzero(new)
+        offsets = np.searchsorted(first, starts)
+        numbers, sums = places[first] >> 1, pa.array(np.add.reduceat(logs, first))
+        spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        return pa.table(
+            {
+                "chunk": table["chunk"],
+                "places": pa.array([squeezed(np.diff(numbers[a:b], prepend=0)) for a, b in spans], pa.binary()),
+                "parts": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), sums),
+            }
+        )
+
+    def of_chunk(table: pa.Table) -> pa.Table:
+        sizes = pc.list_value_length(table["parts"]).to_pylist()
+        places = [
+            np.cumsum(unsqueezed(diffs.as_buffer(), size))
+            for diffs, size in zip(table["places"], sizes, strict=True)
+        ]
+        part = np.bincount(np.concatenate(places), pc.list_flatten(table["parts"]).to_numpy())
+        return pa.table(
+            {
+                "chunk": pa.array(np.full(len(part), table["chunk"][0].as_py(), np.int64)),
+                "place": pa.array(np.arange(len(part)), pa.int32()),
+                "part": pa.array(part),
+            }
+        )
+
+    in_blocks = blocks(chunks, model, buckets).groupBy("bucket").applyInArrow(of_bucket, BLOCK_PARTS)
+    return in_blocks.groupBy("chunk").applyInArrow(of_chunk, PARTS)
+
+
 class Model(NamedTuple):
     tree: Tree
     tokens: int
@@ -367,14 +555,14 @@ class Model(NamedTuple):
 
 
 def scores(chunks: DataFrame, model) -> DataFrame:
-    """A row for each document: what `scored` returns. `model` is a broadcast `Model`."""
+    """A row for each document: its chunk, its number in it, and what `scored` returns with
+    the frequent contexts alone. `model` is a broadcast `Model`."""
 
     def of_chunk(chunk: Chunk, m: Model) -> pa.RecordBatch:
-        places = chunk.offset > 0
-        levels = [chunk.contexts(d) for d in range(1, DEPTH + 1)]
-        nodes = m.tree.states(levels, len(chunk.x))
+        places, grams = chunk.grams()
+        _, nodes = m.tree.states(grams >> BITS)
         logs = np.zeros(len(chunk.x))
-        logs[places] = np.log10(m.tree.chance(nodes[places], chunk.x[places]))
+        logs[places] = np.log10(m.tree.chance(nodes, grams & SYMBOL))
         # a word within its class
         classed = chunk.symbols < FIRST_WORD
         inside = np.zeros(len(chunk.symbols))
@@ -390,6 +578,8 @@ def scores(chunks: DataFrame, model) -> DataFrame:
         base[places] -= math.log10(m.tokens + m.types + 1)
         return pa.RecordBatch.from_arrays(
             [
+                pa.array(np.full(len(chunk.held), chunk.number, np.int64)),
+                pa.array(np.arange(len(chunk.held)), pa.int32()),
                 chunk.doc_ids,
                 pa.array(chunk.held),
                 pa.array(chunk.sizes + 1),
@@ -399,6 +589,7 @@ def scores(chunks: DataFrame, model) -> DataFrame:
                 pa.array(np.add.reduceat(logs, chunk.begin)),
             ],
             names=[
+                "chunk", "place",
                 "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
             ],
         )
@@ -451,14 +642,14 @@ def fitted(spark: SparkSession, docs: DataFrame, held_out: Column) -> tuple[Data
         "chunk", "at", "c", F.coalesce("number", F.col("class") + FIRST_CLASS).alias("symbol")
     )
     ready = kept(spark, with_dictionaries(chunks, known), "suffixtree-coded")
-    tree = learnt(spark, ready, FIRST_WORD + len(frequent), tokens)
+    tree = learnt(spark, ready, FIRST_WORD + len(frequent))
     return ready, Model(tree, tokens, types, trained, mass)
 
 
 def scored(spark: SparkSession, docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, n_tokens, n_known (tokens seen in
     training), train_tokens, base_score (single words, one added to each count) and
-    score, the tree's log10 probability of the document's words and its end.
+    score, the model's log10 probability of the document's words and its end.
 
     A text is its words, A-Z lower-cased, and an end, so a NULL, empty or blank one is
     just an end. Rows whose `held_out` (default `one_in_seven`; NULL is false) is
@@ -468,4 +659,8 @@ def scored(spark: SparkSession, docs: DataFrame, held_out: Column | None = None)
     """
     held_out = one_in_seven() if held_out is None else F.coalesce(held_out, F.lit(False))
     ready, model = fitted(spark, docs, held_out)
-    return scores(ready, spark.sparkContext.broadcast(model))
+    sent = spark.sparkContext.broadcast(model)
+    buckets = 1 + model.tree.places // BUCKET_PLACES
+    rows = scores(ready, sent).join(parts(ready, sent, buckets), ["chunk", "place"], "left")
+    score = F.col("score") + F.coalesce("part", F.lit(0.0))
+    return rows.withColumn("score", score).drop("chunk", "place", "part")

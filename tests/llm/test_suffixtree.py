@@ -152,6 +152,79 @@ def test_scores_are_those_of_the_longest_states(spark, docs):
     assert seen > 5
 
 
+def whole_scores(chunks, model):
+    """(score, held out) of each document, with all contexts in dictionaries."""
+    docs = []
+    for chunk in chunks:
+        for doc, (begin, size) in enumerate(zip(chunk.begin, chunk.sizes, strict=True)):
+            words = chunk.words[chunk.places.searchsorted(begin) :][:size]
+            inside = sum(
+                math.log10((chunk.counts[w] + 1) / model.class_mass[chunk.symbols[w] - st.FIRST_CLASS])
+                for w in words
+                if chunk.symbols[w] < st.FIRST_WORD
+            )
+            docs.append((chunk.x[begin : begin + size + 2].tolist(), inside, bool(chunk.held[doc])))
+    seen = {}
+    for x, _, held in docs:
+        for i in range(1, 0 if held else len(x)):
+            for d in range(1, min(i, st.DEPTH) + 1):
+                seen.setdefault(tuple(x[i - d : i]), Counter())[x[i]] += 1
+    kept = {}
+
+    def chance(context, symbol):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return model.tree.root[symbol]
+        n, total = seen[context], seen[context].total()
+        passed = 1 - (total - st.DISCOUNT * len(n)) / (total + st.MASS)
+        own = (n[symbol] - st.DISCOUNT) / (total + st.MASS) if n[symbol] else 0
+        return own + passed * chance(context[1:], symbol)
+
+    for context in sorted(seen, key=len):
+        n = seen[context]
+        before = {s: chance(context[1:], s) for s in n}
+        kept[context] = True
+        gain = sum(n[s] * math.log(chance(context, s) / before[s]) for s in n)
+        if gain <= 0.5 * len(n) * math.log(max(n.total(), 2)):
+            del kept[context]
+    return kept, [
+        (inside + sum(math.log10(chance(tuple(x[max(0, i - st.DEPTH) : i]), x[i])) for i in range(1, len(x))), held)
+        for x, inside, held in docs
+    ]
+
+
+@pytest.mark.parametrize("frequent", [1e-9, 1e-3, 0.02, 1.0])
+def test_all_contexts_tell(spark, docs, monkeypatch, frequent):
+    monkeypatch.setattr(st, "FREQUENT", frequent)
+    monkeypatch.setattr(st, "BUCKET_PLACES", 5_000)
+    some = docs.where("doc_id % 10 = 3").repartition(3)
+    ready, model = model_of(spark, some)
+    kept, wanted = whole_scores(st.read_chunks(ready.toArrow().to_batches()), model)
+    assert any(len(c) == st.DEPTH for c in kept)
+    got = sorted((r.score, r.held_out) for r in st.scored(spark, some).collect())
+    assert [g[0] for g in got] == pytest.approx([w[0] for w in sorted(wanted)], rel=1e-9)
+    assert [g[1] for g in got] == [w[1] for w in sorted(wanted)]
+
+
+def test_a_passage_seen_twice_tells_in_a_large_corpus(spark):
+    """Its contexts are far below any share of the corpus."""
+    rng = random.Random(5)
+    filler = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    rows = [(i, " ".join(rng.choices(filler, k=700))) for i in range(600)]
+    passage = " ".join(rng.choices(filler, k=50))
+    learnt = next(i for i in range(1000, 2000) if not is_held(i))
+    held = next(i for i in range(2000, 3000) if is_held(i))
+    other = next(i for i in range(3000, 4000) if is_held(i))
+    again = passage.split()
+    rng.shuffle(again)
+    rows += [(learnt, passage), (held, passage), (other, " ".join(again))]
+    found = st.scored(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    score = {r.doc_id: r.score for r in found.where(f"doc_id IN ({learnt}, {held}, {other})").collect()}
+    assert score[held] == pytest.approx(score[learnt], abs=1e-9)
+    assert score[held] > score[other] + 20
+
+
 @pytest.mark.parametrize("numbers", [[], [0], [0, 0, 0], [255, 256, 1], list(range(70_000)), [2**24, 5]])
 def test_numbers_come_back(numbers):
     numbers = np.array(numbers, np.int64)
